@@ -111,12 +111,16 @@ class Rolling:
     """
 
     def __init__(self, seed: int):
+        self.seed = seed
         r = np.random.default_rng(seed)
         self.table = r.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = (int(r.integers(1 << 60)) << 3 | 5) & (1 << 64) - 1
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
+    def __reduce__(self):
+        return Rolling, (self.seed,)
+
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
             n = max(n, 2 * len(self.up))
@@ -134,6 +138,7 @@ class Rolling:
         return s
 
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self._grow(len(prefix))
         return mix((prefix[end] - prefix[start]) * self.down[start])
 
     def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
@@ -141,6 +146,7 @@ class Rolling:
         n = len(prefix) - width
         if n <= 0:
             return np.zeros(0, np.uint64)
+        self._grow(n)
         return mix((prefix[width:] - prefix[:n]) * self.down[:n])
 
 

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,7 +255,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             inner = col.flatten()
             hi, lo = (inner.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             raw = np.stack([hi, lo], 1).astype(np.int64).tobytes() if len(hi) else b""
-            sizes = np.nan_to_num(np.array([0 if x is None else x for x in pa.compute.list_value_length(col).to_pylist()], np.int64))
+            sizes = np.nan_to_num(np.array([0 if x is None else x for x in pc.list_value_length(col).to_pylist()], np.int64))
             ends = np.cumsum(sizes)
             for text, n, e in zip(_texts(b.column("text")), sizes.tolist(), ends.tolist(), strict=True):
                 parts = text.split(b"\n")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from attesta.llm import line_dedup
+from attesta.llm import decontaminate, line_dedup, topk, url_filter
 
-QUERIES = {"op1_line_dedup": line_dedup.op1_line_dedup}
-SQL = {"op1_line_dedup": line_dedup.OP1_SQL}
+QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op6_top_k": topk.op6_top_k,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op10_url_filter": url_filter.op10_url_filter,
+}
+SQL = {"op1_line_dedup": line_dedup.OP1_SQL, "op6_top_k": topk.OP6_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op10_url_filter": url_filter.OP10_SQL}
