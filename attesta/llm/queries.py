@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from attesta.llm import decontaminate, language_id, line_dedup, quality, topk, url_filter
+from attesta.llm import decontaminate, language_id, line_dedup, pieces, quality, topk, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_language_id": language_id.op2_language_id,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op6_top_k": topk.op6_top_k,
     "op7_quality": quality.op7_quality,
     "op8_decontaminate": decontaminate.op8_decontaminate,
