@@ -275,7 +275,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-win AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM d WHERE len(h) >= 100)),
+block AS (SELECT doc_id, k, substr(h, 512 * k + 1, 610) AS p FROM (SELECT doc_id, h, unnest(range(0, len(h) // 512 + 1)) AS k FROM d)),
+win AS (SELECT doc_id, 256 * k + j AS i, substr(p, 2 * j - 1, 100) AS g FROM (SELECT doc_id, k, p, unnest(range(1, least(257, len(p) // 2 - 48))) AS j FROM block WHERE len(p) >= 100)),
 least AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g HAVING count(*) > 1),
 dup AS (SELECT w.doc_id, w.i FROM win w JOIN least l ON w.g = l.g WHERE w.doc_id > l.m),
 cut AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM dup),
