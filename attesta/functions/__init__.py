@@ -1 +1 @@
-"""Evidence analytics on Spark."""
+"""Column expressions and vectorised numerics."""

@@ -1 +1 @@
-"""Evidence analytics on Spark."""
+"""Operators: functions from DataFrames to DataFrames, over all facts at once."""

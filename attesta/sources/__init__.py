@@ -1 +1 @@
-"""Evidence analytics on Spark."""
+"""Where rows come from: the event log, text evidence, adapters for plain tables."""
