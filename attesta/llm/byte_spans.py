@@ -30,6 +30,8 @@ from attesta.llm.induced import repeated_windows
 WIDTH, GRAM = 50, 20
 #: Distinct runs of one minimizer that a shard sorts.
 HOT = 50_000
+#: About 100 bytes of memory go with each byte of a chunk, and with each byte of a shard's runs.
+SHARD_BYTES, CHUNK_MIN = 12 << 20, 3 << 19
 _ONE, _TWO = Rolling(31), Rolling(32)
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -72,7 +74,7 @@ class _Chunk:
             self.row = np.searchsorted(self.off, self.lo, "right") - 1
         run = _TWO.ranges(_TWO.prefix(self.data), self.lo, self.hi + width)
         run = mix(run ^ mix((a.astype(np.int64) - self.lo).astype(np.uint64) * np.uint64(2) + np.uint64(1)))
-        one, two = h >> np.uint64(16), run & _LOW
+        one, two = mix(h) >> np.uint64(16), run & _LOW  # minimizers are small hashes: scrambled, they spread evenly over shards
         order = np.argsort(one, kind="stable")
         one, two = one[order], two[order]
         same = one[1:] == one[:-1]
@@ -188,7 +190,7 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
     """docs with kept (binary), n_bytes, n_removed and n_spans (maximal removed stretches). See the module's text."""
     if not 8 <= gram <= width < 1 << 14:
         raise ValueError("gram must be from 8 to width")
-    corpus = Corpus(docs, "bytes", chunk, shards)
+    corpus = Corpus(docs, "bytes", chunk, shards, shard_bytes=SHARD_BYTES, chunk_min=CHUNK_MIN)
     shards = corpus.shards
 
     def ask_runs(batch, _):

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch on its way to Python; batches are put together again up to CHUNK_BYTES, so long texts can't make one huge batch.
-BATCH_ROWS = 64
-CHUNK_BYTES = 4 << 20
+BATCH_ROWS = 16
+CHUNK_BYTES = 3 << 19
 #: Bytes a task may receive as a broadcast. Every broadcast in this subpackage is measured against it and has another way beyond it.
 BROADCAST_BYTES = 32 << 20
 #: Stands for a null doc_id where ids are compared: smaller than every id.
@@ -63,9 +63,12 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about size bytes."""
+    """The same rows in batches of about size bytes; only a batch that is larger by itself makes one beyond 1.5 times that."""
     held, n = [], 0
     for b in batches:
+        if held and n + b.nbytes > 1.5 * size:
+            yield from _joined(held)
+            held, n = [], 0
         held.append(b)
         n += b.nbytes
         if n >= size:

@@ -21,31 +21,56 @@ from attesta.llm.common import chunks, shared_path, tune
 
 #: Text bytes of a shard, and the least and most of a chunk. A chunk grows with the number of shards, so packed rows keep a useful size.
 SHARD_BYTES = 24 << 20
-CHUNK_MIN, CHUNK_MAX = 4 << 20, 128 << 20
+CHUNK_MIN, CHUNK_MAX = 2 << 20, 128 << 20
+
+
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket into which a table bucketed by a bigint column puts each value (32-bit Murmur3 with seed 42)."""
+    m = np.uint64(0xFFFFFFFF)
+    rotate = lambda x, r: ((x << np.uint64(r)) | (x >> np.uint64(32 - r))) & m
+    x, h = ids.astype(np.uint64), np.uint64(42)
+    for word in (x & m, x >> np.uint64(32)):
+        k = rotate(word * np.uint64(0xCC9E2D51) & m, 15) * np.uint64(0x1B873593) & m
+        h = (rotate(h ^ k, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & m
+    h = h ^ np.uint64(8)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(by) & m
+    h = h ^ (h >> np.uint64(16))
+    return h.astype(np.uint32).astype(np.int32) % buckets
+
+
+def chunk_ids(part: int, buckets: int) -> Iterator[int]:
+    """Ids of a task's chunks, chosen so that all fall into one bucket: a task writes one file, not one for each chunk."""
+    at = 0
+    while True:
+        ids = part << 32 | np.arange(at, at + 8 * buckets)
+        yield from ids[bucket_of(ids, buckets) == part % buckets].tolist()
+        at += 8 * buckets
 
 
 class Corpus:
     """docs as a written table of chunks."""
 
-    def __init__(self, docs: DataFrame, name: str, chunk: int | None = None, shards: int | None = None):
+    def __init__(self, docs: DataFrame, name: str, chunk: int | None = None, shards: int | None = None, shard_bytes: int = SHARD_BYTES, chunk_min: int = CHUNK_MIN):
         self.spark = spark = docs.sparkSession
         tune(spark)
         self.schema = docs.schema
         if shards is None or chunk is None:
             size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-            shards = shards or max(1, -(-int(size) // SHARD_BYTES))
-        self.shards, chunk = shards, chunk or min(CHUNK_MAX, max(CHUNK_MIN, shards * 16_384))
+            shards = shards or max(1, -(-int(size) // shard_bytes))
+        self.shards, chunk = shards, chunk or min(CHUNK_MAX, max(chunk_min, shards * 16_384))
+
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
         def pack(batches):
-            part = TaskContext.get().partitionId()
+            ids = chunk_ids(TaskContext.get().partitionId(), buckets)
             options = pa.ipc.IpcWriteOptions(compression="zstd")
-            for k, b in enumerate(chunks(batches, chunk)):
+            for b in chunks(batches, chunk):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, b.schema, options=options) as w:
                     w.write_batch(b)
-                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([next(ids)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "body"])
 
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.table = f"attesta_{name}_{uuid.uuid4().hex}"
         path = shared_path(spark, name)
         packed = docs.mapInArrow(pack, "chunk long, body binary")

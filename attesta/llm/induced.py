@@ -237,18 +237,20 @@ def repeated_windows(strings: np.ndarray, sizes: np.ndarray, ids: np.ndarray, wi
     sizes = np.asarray(sizes, np.int64)
     if not n:
         return np.zeros(0, bool)
-    owner = np.repeat(np.arange(n), sizes)
     text = np.zeros(len(strings) + n, np.int16)
     raw = np.zeros(len(text) + 8, np.uint8)
-    place = np.arange(len(strings)) + owner
-    text[place], raw[place] = strings.astype(np.int16) + np.int16(1), strings
+    inside = np.ones(len(text), bool)
+    inside[np.cumsum(sizes + 1) - 1] = False
+    text[inside], raw[: len(text)][inside] = strings.astype(np.int16) + np.int16(1), strings
+    del inside
     first = np.cumsum(sizes + 1) - (sizes + 1)
     count = sizes - width + 1
     begin = np.cumsum(count) - count
     # position -> number of its window, or -1
-    window = np.full(len(text), -1, np.int64)
     total = int(count.sum())
-    window[np.repeat(first - begin, count) + np.arange(total)] = np.arange(total)
+    kind = np.int32 if len(text) < 2**31 - 1 else np.int64
+    window = np.full(len(text), -1, kind)
+    window[np.repeat((first - begin).astype(kind), count) + np.arange(total, dtype=kind)] = np.arange(total, dtype=kind)
     order = np.concatenate([a[window[a] >= 0] for a in suffix_order(text, width, budget)])
     wide = np.ndarray((len(text),), "<u8", buffer=raw.data, strides=(1,))
     same = np.ones(max(0, len(order) - 1), bool)
