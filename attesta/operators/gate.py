@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.canon import CanonicalError, canonical_args, fact_key
 from attesta.operators import constraints as C
+from attesta.operators import verifier
 
 SUPPORT, ALIAS_SIMILARITY, SUPERSEDE_ALPHA, HYSTERESIS = 8, 0.85, 0.01, 3.0
 TYPES = ("crisp", "frequency", "categorical")
@@ -156,9 +157,17 @@ def _supersede(r: Registry, b: dict) -> dict:
     return b
 
 
+def _verifier(r: Registry, b: dict) -> dict:
+    if not isinstance(b.get("code"), str) or not isinstance(b.get("entry"), str):
+        raise Rejected(1, "a check needs code and the name of its function")
+    if why := verifier.check(b["code"], b["entry"], [(list(v[0]), v[1]) for v in b.get("vectors") or []]):
+        raise Rejected(3, why)
+    return {"oracle": b.get("oracle_id") or f"verifier:{verifier.code_id(b['code'])}", "kind": b.get("oracle_kind", "deterministic_total")}
+
+
 def decide(candidates: list[tuple[str, str, dict]], registry: Registry) -> list[dict]:
     """Decisions on (id, kind, body) in order; admitted ones change the registry."""
-    judge = {"symbol": _symbol, "fact": _fact, "alias": _alias, "constraint": _constraint, "rule": lambda r, b: _rule(r, b, False), "guard": lambda r, b: _rule(r, b, True), "supersede_valid_time": _supersede}
+    judge = {"symbol": _symbol, "fact": _fact, "alias": _alias, "constraint": _constraint, "verifier": _verifier, "rule": lambda r, b: _rule(r, b, False), "guard": lambda r, b: _rule(r, b, True), "supersede_valid_time": _supersede}
     out = []
     for cid, kind, body in candidates:
         try:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import expressions as E
 from attesta.operators import dispersion, series, tallies
+from attesta.sources.shared import checkpointed
 
 MIN_OBS, Z_FLAG = 16, 3.0
 PREV, HOUR, DOW = "derived:prev", "derived:hour", "derived:dow"
@@ -61,22 +62,23 @@ def sweep(obs: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     if facts is not None:
         obs = obs.join(facts.select("fact").distinct(), "fact", "left_semi")
     n = obs.groupBy("fact").agg(F.count("*").alias("n"))
-    live = obs.join(n.where(F.col("n") >= MIN_OBS).select("fact"), "fact", "left_semi").withColumn("hit", F.col("outcome").cast("int"))
+    live = checkpointed(obs.join(n.where(F.col("n") >= MIN_OBS).select("fact"), "fact", "left_semi").withColumn("hit", F.col("outcome").cast("int")))
     split = series.holdout(live.select("fact", "seq", "hit"), ["fact"])
     counts = split.where("NOT held_out").groupBy("fact").agg(F.count("*").alias("n_disc"))
-    rows = frames(live).join(split, ["fact", "seq"])
+    # The rest reads these many times: they are written once, which also keeps the plan small.
+    rows = checkpointed(frames(live).join(split, ["fact", "seq"]))
     by = ["fact", "key"]
-    usable, tests = _tests(rows.where("NOT held_out"), counts, by)
+    usable, tests = (checkpointed(t) for t in _tests(rows.where("NOT held_out"), counts, by))
 
     s = live.select("fact", "seq", "hit")
-    change = series.changepoints(s, ["fact"])
+    change = checkpointed(series.changepoints(s, ["fact"]))
     again = series.recurrent(s, change)
     change = change.join(again, "fact", "left").withColumn("one_way", F.col("detected") & ~F.coalesce("recurrent", F.lit(False)))
     # the previous outcome explains a series only if nothing is left of time within each of its values
     prev_rows = rows.where(F.col("key") == PREV).select(F.concat_ws("\u0001", "fact", "val").alias("fact"), "seq", "hit")
     rest = series.temporal_dispersion(prev_rows).select("fact").unionByName(series.changepoints(prev_rows, ["fact"]).where("detected").select("fact"))
     leaves = rest.select(F.split("fact", "\u0001")[0].alias("fact")).distinct().unionByName(change.where("one_way").select("fact")).distinct().withColumn("key", F.lit(PREV))
-    guards = _proposals(rows, rows.where("held_out"), usable, tests.join(leaves, by, "left_anti"), by, [_derived(), "key"])
+    guards = checkpointed(_proposals(rows, rows.where("held_out"), usable, tests.join(leaves, by, "left_anti"), by, [_derived(), "key"]))
 
     zmax = tests.groupBy("fact").agg(F.max("z").alias("zmax"))
     over_time = series.temporal_dispersion(s).select("fact", F.lit(True).alias("over_time"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import canon
 from attesta.functions import expressions as X
-from attesta.operators import calibration, conjecture, constraints, datalog, dispersion, gate, predict, retrieval, series, sweep, tallies, trust
+from attesta.operators import calibration, claims, conjecture, constraints, datalog, dispersion, gate, predict, retrieval, series, sweep, tallies, trust
 from attesta.sources import adapters, ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -405,6 +405,72 @@ def _(s, d):
     return adapters.table(s, d, "labels").cube("quality", "toxic").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
+# ---- claims
+
+
+@query("claim_triage", """WITH c AS (SELECT doc_id AS claim, doc_id::VARCHAR AS fact, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'oracle:a' WHEN 2 THEN 'tool:x' WHEN 3 THEN 'later' ELSE 'oracle:b' END AS criterion FROM documents)
+SELECT claim, fact, criterion, CASE WHEN criterion = '' THEN 'unsettleable' WHEN criterion LIKE 'oracle:%' THEN 'tool_decidable' WHEN claim % 2 = 0 THEN 'entailed' WHEN criterion LIKE 'tool:%' THEN 'tool_decidable' ELSE 'observation_pending' END AS settlement,
+CASE WHEN criterion = '' THEN NULL WHEN criterion LIKE 'oracle:%' THEN criterion WHEN claim % 2 = 0 THEN 'verifier:closure' WHEN criterion LIKE 'tool:%' THEN criterion ELSE 'verifier:observation(' || criterion || ')' END AS verifier,
+CASE WHEN criterion = '' THEN NULL WHEN criterion = 'oracle:a' OR (criterion NOT LIKE 'oracle:%' AND claim % 2 = 0) THEN 'certain' ELSE 'estimated' END AS certainty FROM c""")
+def _(s, d):
+    i = F.col("doc_id")
+    c = adapters.table(s, d, "documents").select(i.alias("claim"), i.cast("string").alias("fact"), F.element_at(F.array(*map(F.lit, ["", "oracle:a", "tool:x", "later", "oracle:b"])), (i % 5 + 1).cast("int")).alias("criterion"))
+    oracles = s.createDataFrame([("oracle:a", "deterministic_total"), ("oracle:b", "stochastic")], "oracle string, kind string")
+    return claims.triage(c, oracles, c.where("claim % 2 = 0").select("fact"))
+
+
+@query("settled_surprisal", f"WITH {_D} SELECT fact, outcome, round(-ln(CASE WHEN outcome THEN greatest(1e-12, least(1 - 1e-12, p)) ELSE 1 - greatest(1e-12, least(1 - 1e-12, p)) END), 6) AS surprisal FROM c")
+def _(s, d):
+    c = _claims(s, d)
+    first = c.select(F.col("fact").alias("claim"), "outcome", F.lit(1).alias("seq"))
+    again = first.select("claim", (~F.col("outcome")).alias("outcome"), F.lit(2).alias("seq"))
+    return _round(claims.settle(c.select(F.col("fact").alias("claim"), "p"), first.unionByName(again)).select(F.col("claim").alias("fact"), "outcome", "surprisal"), "surprisal")
+
+
+@query("blame_target", "WITH x AS (SELECT l_orderkey AS claim, l_partkey::VARCHAR AS component, max(l_quantity) AS s FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY ALL) SELECT claim, component FROM (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY s DESC, component) AS r FROM x) WHERE r = 1")
+def _(s, d):
+    x = adapters.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("claim"), F.col("l_partkey").cast("string").alias("component")).agg(F.max("l_quantity").alias("s"))
+    f = adapters.table(s, d, "lineitem").select(F.col("l_partkey").cast("string").alias("fact"), F.lit("exact").alias("kind"), (F.col("l_partkey") % 3 == 0).alias("frozen")).distinct()
+    return claims.blame(x, f)
+
+
+@query("vote_baselines", f"""WITH {_D}, w AS (SELECT *, (tp + tn + 1) / (tp + fn + fp + tn + 2) AS acc, (tp + 1) / (tp + fn + 2) AS se, (fp + 1) / (fp + tn + 2) AS fa FROM conf)
+SELECT fact, round(avg(vote::INT), 6) AS mean_vote, round(1 / (1 + exp(-sum(CASE WHEN vote THEN 1 ELSE -1 END * ln(acc / (1 - acc))))), 6) AS one_coin, round(1 / (1 + exp(-sum(CASE WHEN vote THEN ln(se / fa) ELSE ln((1 - se) / (1 - fa)) END))), 6) AS two_coin FROM r JOIN w USING (actor) GROUP BY fact""")
+def _(s, d):
+    reports, _settled = adapters.judges(s, d)
+    return _round(claims.baselines(reports.withColumnRenamed("outcome", "vote"), trust.confusion(_votes(s, d))), "mean_vote", "one_coin", "two_coin")
+
+
+@query("current_facts", "SELECT s_suppkey AS fact FROM supplier WHERE s_suppkey % 4 <> 0 AND NOT (s_suppkey % 3 = 0 AND s_suppkey % 2 = 1)")
+def _(s, d):
+    k = F.col("s_suppkey")
+    f = adapters.table(s, d, "supplier").select(k.alias("fact"), F.lit("admitted").alias("structural"), F.when(k % 4 == 0, F.lit(1)).alias("valid_to"))
+    pins = f.where("fact % 3 = 0").select("fact", F.lit(1).alias("seq"), F.lit("-").alias("polarity"), F.lit(True).alias("active"))
+    return claims.current(f, pins.unionByName(pins.where("fact % 2 = 0").withColumn("seq", F.lit(2)).withColumn("polarity", F.lit("+")))).select("fact")
+
+
+@query("distribution_report")
+def _(s, d):
+    o = adapters.from_events(s, d)
+    return claims.distribution(o, sweep.sweep(o))
+
+
+@query("prediction_caveats")
+def _(s, d):
+    o = adapters.from_events(s, d)
+    r = sweep.sweep(o)
+    facts = r.select("fact", "flagged", "breadth_class", (F.col("fact").cast("int") % 30).cast("string").alias("source"), "n")
+    goals = r.select((F.col("fact").cast("int") % 10).cast("string").alias("goal"), "fact")
+    return claims.caveats(goals, facts, claims.stability(o), tallies.regime_mixed(o)).withColumn("caveats", F.array_join("caveats", ","))
+
+
+@query("why_report")
+def _(s, d):
+    c = tallies.fact_counts(adapters.from_events(s, d))
+    f = c.select("fact").distinct()
+    return claims.why(f, c, f.select("fact", F.concat(F.lit("cand:"), "fact").alias("candidate"), F.lit("log").alias("source"))).withColumn("reports", F.to_json("reports"))
+
+
 # ---- probability engine
 
 

@@ -219,3 +219,19 @@ def test_streams_equal_batches(spark, tmp_path):
     d.awaitTermination()
     assert spark.table("quota").agg(F.sum("used")).first()[0] == 120
     assert fold.over_quota(o, most=0).count() > 0
+
+
+def test_checks_as_code(spark):
+    from attesta.operators import verifier
+
+    good = "def even(x):\n    return x % 2 == 0"
+    assert verifier.check(good, "even", [([2], True), ([3], False)]) is None
+    assert "gives" in verifier.check(good, "even", [([2], False)])
+    assert verifier.check(good, "even", []) and verifier.check("def f(:", "f", [([], 1)])
+    for bad in ("import os\ndef f(): return 1", "def f(): return ().__class__", "def f(): return open('x')", "def f():\n  while True: pass"):
+        assert verifier.check(bad, "f", [([], 1)])
+    df = spark.range(4).select(verifier.as_udf(good, "even", [([2], True)], "boolean")(F.col("id")).alias("e"))
+    assert [r["e"] for r in df.collect()] == [True, False, True, False]
+    reg = gate.Registry()
+    out = gate.decide([("1", "verifier", {"code": good, "entry": "even", "vectors": [[[4], True]]}), ("2", "verifier", {"code": good, "entry": "even", "vectors": [[[4], False]]})], reg)
+    assert [(d["status"], d["failing_step"]) for d in out] == [("admitted", None), ("rejected", 3)]
