@@ -27,14 +27,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Rolling, buffers, mix, text_table, with_fields, words, written
+from attesta.llm.common import BATCH_ROWS, Rolling, buffers, mix, text_table, with_fields, words, written
 from attesta.llm.components import connected_components
 from attesta.llm.exchange import Corpus, opened
 
 PERCENT, BANDS, ROWS = 75, 40, 4
 PLACES = 1 << 20
 #: Members of one partner in one shard, and bytes of sets in a shard.
-SPREAD, SHARD = 4_000, 48 << 20
+SPREAD, SHARD = 4_000, 24 << 20
+#: About 100 bytes of memory go with each byte of a chunk.
+CHUNK_MIN = 3 << 19
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -153,7 +155,8 @@ def _confirmed(corpus: Corpus, pairs: DataFrame, known: DataFrame, percent: int,
             own.setdefault(d, []).append(i)
         rows = [(s, r, d, p, packed[i]) for d, p, s, r in zip(*(want.column(c).to_pylist() for c in ("doc", "partner", "shard", "role")), strict=True) for i in own.get(d, ())]
         s, r, d, p, x = zip(*rows, strict=True) if rows else ((),) * 5
-        return pa.table({"shard": pa.array(s, pa.int64()), "role": pa.array(r, pa.int32()), "doc": pa.array(d, pa.int64()), "partner": pa.array(p, pa.int64()), "sets": pa.array(x, pa.binary())})
+        out = pa.table({"shard": pa.array(s, pa.int64()), "role": pa.array(r, pa.int32()), "doc": pa.array(d, pa.int64()), "partner": pa.array(p, pa.int64()), "sets": pa.array(x, pa.binary())})
+        return pa.concat_tables([out.slice(i, BATCH_ROWS) for i in range(0, max(1, len(rows)), BATCH_ROWS)])  # small batches: executors hold one at a time
 
     def unpacked(raw: bytes) -> np.ndarray:
         n = len(raw) // 6
@@ -229,7 +232,7 @@ def _components(corpus: Corpus, percent: int, bands: int, rows: int) -> tuple[Da
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, chunk: int | None = None) -> DataFrame:
     """One row a document: (doc_id, n_shingles, component_id, kept). Sizes and links are of full sets; see the module's text."""
-    corpus = Corpus(docs.select("doc_id", "text"), "near", chunk)
+    corpus = Corpus(docs.select("doc_id", "text"), "near", chunk, chunk_min=CHUNK_MIN)
     known, final = _components(corpus, percent, bands, rows)
     c = known.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc")
@@ -238,7 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, chunk: int | None = None) -> DataFrame:
     """The rows of docs that are kept, one document of each component, with all their columns; texts aren't shuffled for it."""
-    corpus = Corpus(docs, "near", chunk)
+    corpus = Corpus(docs, "near", chunk, chunk_min=CHUNK_MIN)
     known, final = _components(corpus, percent, bands, rows)
     c = known.where("doc IS NOT NULL").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     gone = c.where(F.coalesce("component", "rep", "doc") != F.col("doc")).select("chunk", "doc").distinct()
