@@ -52,6 +52,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete what the operators wrote into the shared folder, once their results are written elsewhere. DataFrames that still read it fail afterwards."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("attesta_"):
+            spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/attesta")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -60,7 +60,7 @@ class Corpus:
             shards = shards or max(1, -(-int(size) // shard_bytes))
         self.shards, chunk = shards, chunk or min(CHUNK_MAX, max(chunk_min, shards * 16_384))
 
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # more buckets Spark refuses
 
         def pack(batches):
             ids = chunk_ids(TaskContext.get().partitionId(), buckets)

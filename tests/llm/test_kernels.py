@@ -58,3 +58,32 @@ def test_buffers_of_slices_and_nulls():
     a = pa.array(["ab", None, "", "cde"])[1:]
     data, off = common.buffers(a)
     assert data.tobytes() == b"cde" and off.tolist() == [0, 0, 0, 3]
+
+
+def test_chunk_ids_fall_into_one_bucket(spark):
+    from pyspark.sql import functions as F
+
+    from attesta.llm import exchange
+
+    ids = np.concatenate((np.arange(-5, 50), np.random.default_rng(1).integers(0, 1 << 62, 200)))
+    df = spark.createDataFrame([(int(i),) for i in ids], "c long").select("c", F.pmod(F.hash("c"), F.lit(51)).alias("b")).collect()
+    assert [r["b"] for r in df] == exchange.bucket_of(np.array([r["c"] for r in df]), 51).tolist()
+    g = exchange.chunk_ids(7, 51)
+    own = [next(g) for _ in range(30)]
+    assert len(set(own)) == 30 and set(exchange.bucket_of(np.array(own), 51).tolist()) == {7} and {i >> 32 for i in own} == {7}
+
+
+def test_ids_are_packed():
+    from attesta.llm import exchange
+
+    for ids in ([], [5], [7, 3, 2**31], [common.NULL_ID, 2**62]):
+        assert exchange.unpack_ids(exchange.pack_ids(np.array(ids, np.int64))).tolist() == ids
+
+
+def test_shared_folder_can_be_emptied(spark):
+    kept = common.written(spark.range(3), "some")
+    assert kept.count() == 3
+    common.forget(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        spark.catalog.clearCache()
+        kept.count()
