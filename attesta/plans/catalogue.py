@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from attesta.functions import canon
 from attesta.functions import expressions as X
-from attesta.operators import calibration, claims, conjecture, constraints, datalog, dispersion, gate, predict, retrieval, series, sweep, tallies, trust
+from attesta.operators import calibration, claims, components, conjecture, constraints, datalog, dispersion, gate, predict, retrieval, series, sweep, tallies, trust
 from attesta.sources import adapters, ledger
+from attesta.sources.shared import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -637,6 +638,21 @@ def _(s, d):
     return constraints.violations(a, [("status", "mutex", {"pred": "status", "exclusive_values": ["F", "O"], "value_position": 1})])
 
 
+@query("alias_component", """WITH RECURSIVE e AS (SELECT s_name AS a, 'n' || s_nationkey AS b FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation WHERE n_nationkey % 4 <> 0),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS symbol, min(b) AS component FROM r GROUP BY a""")
+def _(s, d):
+    n = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    e = adapters.table(s, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("canonical"), n("n", "s_nationkey").alias("alias"))
+    return components.alias_members(e.unionByName(adapters.table(s, d, "nation").where("n_nationkey % 4 <> 0").select(n("n", "n_nationkey").alias("canonical"), n("r", "n_regionkey").alias("alias"))))
+
+
+@query("alias_union_counts", f"""WITH {_E}, c AS (SELECT CASE WHEN fact::INT % 2 = 0 THEN fact ELSE (fact::INT - 1)::VARCHAR END AS fact, actor, count(*) AS n, count(*) FILTER (outcome) AS k FROM e GROUP BY ALL) SELECT fact, actor, 'alea' AS channel, n, k FROM c""")
+def _(s, d):
+    c = tallies.fact_counts(adapters.from_events(s, d))
+    pair = F.expr("cast(cast(fact as int) - cast(fact as int) % 2 as string)")
+    return tallies.alias_counts(c, c.select("fact", pair.alias("component")).distinct())
+
+
 @query("signature_cosine", """WITH f AS (SELECT DISTINCT s_nationkey::VARCHAR AS symbol, 'r:' || (s_suppkey % 9) || ':0' AS feature FROM supplier), g AS (SELECT symbol, feature, count(*) AS w FROM (SELECT s_nationkey::VARCHAR AS symbol, 'r:' || (s_suppkey % 9) || ':0' AS feature FROM supplier) GROUP BY ALL),
 n AS (SELECT symbol, sqrt(sum(w * w)) AS norm FROM g GROUP BY symbol HAVING count(*) >= 2), p AS (SELECT a.symbol, b.symbol AS other, round(sum(a.w * b.w) / any_value(x.norm * y.norm), 6) AS sim FROM g a JOIN g b ON a.feature = b.feature AND a.symbol <> b.symbol JOIN n x ON x.symbol = a.symbol JOIN n y ON y.symbol = b.symbol GROUP BY ALL)
 SELECT symbol, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY sim DESC, other) AS r FROM p WHERE sim >= 0.3) WHERE r <= 16""")
@@ -670,7 +686,7 @@ def _questions(s, d):
 
 def _bm25(s, d):
     c = _corpus(s, d)
-    post = retrieval.postings(c)
+    post = checkpointed(retrieval.postings(c))
     df, n = retrieval.statistics(c, post)
     terms = _questions(s, d).select("query", F.explode(retrieval.tokens(F.coalesce("text", F.lit("")))).alias("term")).withColumn("mix", F.lit(1.0))
     return _round(retrieval.bm25(terms, post, df, n), "score"), terms, post, df, n
@@ -686,7 +702,9 @@ def _(s, d):
     return retrieval.ranked(_bm25(s, d)[0], 10)
 
 
-@query("rm3_terms")
+@query("rm3_terms", f"""WITH {_TOK}, top AS (SELECT query, entry FROM rk WHERE rank <= 10), g AS (SELECT top.query, post.term, sum(tf / l * ln(1 + (n.n - df + 0.5) / (df + 0.5))) AS gain FROM top JOIN post USING (entry) JOIN len USING (entry) JOIN df ON df.term = post.term, n
+WHERE length(post.term) >= 3 AND NOT regexp_matches(post.term, '^[0-9]+$') AND NOT EXISTS (SELECT 1 FROM q WHERE q.query = top.query AND q.term = post.term) GROUP BY ALL)
+SELECT query, term, 0.4::DOUBLE AS mix FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(gain, 12) DESC, term) AS r FROM g) WHERE r <= 8""")
 def _(s, d):
     scores, terms, post, df, n = _bm25(s, d)
     return retrieval.feedback_terms(scores, terms, post, df, n)
