@@ -1,39 +1,13 @@
-"""Connected components of an edge table: alternating large-star and small-star steps on DataFrames."""
+"""Connected components, with steps written to the shared folder as Parquet."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from attesta.llm.common import written
-
-
-def _digest(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return r["n"], r["x"], r["s"]
+from attesta.operators import components
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (a, b); component is the smallest node that is reachable.
-
-    Each step keeps one edge table and needs the minimum neighbour of each node, which a partial aggregation computes: no neighbourhood is ever gathered,
-    so a node with a third of all edges is as cheap as others, and AQE splits its join partition. Steps are O(log n); each is written to the shared
-    folder. Null ends and loops are dropped; an empty table has no components.
-    """
-    now = written(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    was = _digest(now)
-    while was[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        # large star: every larger neighbour of u goes to the least of u's neighbourhood
-        large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: the smaller neighbours of u, and u, go to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        pairs = large.join(low, F.col("a") == F.col("u"))
-        small = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = written(small.where("a <> b").distinct(), "edges")
-        is_now = _digest(now)
-        if is_now == was:
-            break
-        was = is_now
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    """(node, component) of edges (a, b); see attesta.operators.components."""
+    return components.connected_components(edges, cut=lambda df: written(df, "edges"))
