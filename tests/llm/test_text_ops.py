@@ -32,7 +32,7 @@ def test_lines_without_filters_and_with_heavy_keys(docs, docs_list, monkeypatch)
     assert got(line_dedup.dedup_lines(docs), "doc_id", "n_lines", "n_dropped", sha("text")) == want(brute.lines(docs_list))
 
 
-@pytest.mark.parametrize("args", [{}, {"chunk": 3000, "shards": 5}, {"chunk": 2000, "shards": 3, "hot": 1}])
+@pytest.mark.parametrize("args", [{}, {"chunk": 3000, "shards": 5}, {"chunk": 2000, "shards": 3, "hot": 1}, {"chunk": 2000, "shards": 3, "crowded": 1}, {"chunk": 2000, "shards": 2, "crowded": 0}])
 def test_bytes(docs, docs_list, empty, args):
     out = byte_spans.dedup_bytes(docs, **args)
     assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)) == want(brute.byte_spans(docs_list))
