@@ -8,7 +8,7 @@ Plan (see exchange): (1) texts are written in chunks. (2) Each chunk sends its d
 runs a smaller document has (all their windows go), and which minimizers have other runs too. (3) Of the latter only the distinct runs, with their smallest
 document, are sent as bytes; their shard sorts all suffixes by external induced sorting (see induced) and finds, from common prefixes of neighbours, the windows
 that a smaller document has. Runs of a minimizer with more than HOT runs, which no shard could hold, are sent as hashes of single windows instead, spread
-by those. (4) The chunk removes bytes. Texts are shuffled at no point; a copied passage sends nothing but its hashes.
+by those. Minimizers with more than CROWDED distinct runs in any chunk (a phrase that a large share of all texts holds) are found in a pass before (2) and take that way at once. (4) The chunk removes bytes. Texts are shuffled at no point; a copied passage sends nothing but its hashes.
 
 Whole texts can't be sorted as one suffix array on a cluster without moving each suffix with its next 50 bytes; the reduction to runs gives the same result.
 
@@ -30,6 +30,8 @@ from attesta.llm.induced import repeated_windows
 WIDTH, GRAM = 50, 20
 #: Distinct runs of one minimizer that a shard sorts.
 HOT = 50_000
+#: Distinct runs of one minimizer in one chunk from which it is settled by single windows throughout, and the most minimizers for which that is so.
+CROWDED, MOST_CROWDED = 64, 1 << 20
 #: About 100 bytes of memory go with each byte of a chunk, and with each byte of a shard's runs.
 SHARD_BYTES, CHUNK_MIN = 12 << 20, 3 << 19
 _ONE, _TWO = Rolling(31), Rolling(32)
@@ -39,7 +41,7 @@ _LOW = np.uint64((1 << 48) - 1)
 class _Chunk:
     """Runs of one chunk, and their distinct ones (groups) in order of hash."""
 
-    def __init__(self, batch: pa.RecordBatch, width: int, gram: int):
+    def __init__(self, batch: pa.RecordBatch, width: int, gram: int, crowded: np.ndarray | None = None):
         self.data, self.off = buffers(batch.column(batch.schema.get_field_index("text")))
         self.ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
         self.width = width
@@ -95,18 +97,30 @@ class _Chunk:
         smallest = np.flatnonzero(own == self.least[self.group])
         self.some[self.group[smallest]] = smallest
 
+        none = crowded is None or not len(crowded)
+        self.crowded = np.zeros(len(self.one), bool) if none else crowded[np.minimum(np.searchsorted(crowded, self.one), len(crowded) - 1)] == self.one
+        self.plain = np.flatnonzero(~self.crowded)
+
+    def many(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(minimizer, distinct runs) of those with more than least runs."""
+        one, n = np.unique(self.one, return_counts=True)
+        return one[n > least], n[n > least]
+
     def bounds(self, shards: int) -> np.ndarray:
         return shard_bounds(self.one << np.uint64(16), shards)
 
     def flags(self, given: dict, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By group: a smaller document has the run; to be sent as bytes; to be sent as windows."""
-        edge = self.bounds(shards)
+        edge = shard_bounds(self.one[self.plain] << np.uint64(16), shards)
         out = []
         for k in range(shards):
             n = int(edge[k + 1] - edge[k])
             raw = np.frombuffer(given[1, k], np.uint8).reshape(3, -1)
             out.append(np.unpackbits(raw, axis=1, count=n).astype(bool))
-        return tuple(np.concatenate(out, 1))
+        every = np.zeros((3, len(self.one)), bool)
+        every[:, self.plain] = np.concatenate(out, 1)
+        every[2] |= self.crowded
+        return tuple(every)
 
     def windows(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start of each window of the groups' sample runs, windows by group)."""
@@ -186,25 +200,38 @@ def _sort(width: int, shards: int):
     return sort
 
 
-def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, chunk: int | None = None, shards: int | None = None) -> DataFrame:
+def _crowded(corpus: Corpus, width: int, gram: int, least: int) -> np.ndarray:
+    """Minimizers, ascending, that have more than least distinct runs in some chunk: the MOST_CROWDED with the most, which is all unless that is too much to broadcast."""
+
+    def count(batch, _):
+        for one, n in zip(*(v.tolist() for v in _Chunk(batch, width, gram).many(least)), strict=True):
+            yield {"one": one, "n": n}
+
+    found = corpus.ask(count, "chunk long,one long,n long").groupBy("one").agg(F.sum("n").alias("n"))
+    rows = found.orderBy(F.desc("n"), "one").limit(MOST_CROWDED).toArrow()
+    return np.sort(rows.column("one").to_numpy().astype(np.uint64))
+
+
+def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, crowded: int = CROWDED, chunk: int | None = None, shards: int | None = None) -> DataFrame:
     """docs with kept (binary), n_bytes, n_removed and n_spans (maximal removed stretches). See the module's text."""
     if not 8 <= gram <= width < 1 << 14:
         raise ValueError("gram must be from 8 to width")
     corpus = Corpus(docs, "bytes", chunk, shards, shard_bytes=SHARD_BYTES, chunk_min=CHUNK_MIN)
     shards = corpus.shards
+    held = corpus.spark.sparkContext.broadcast(_crowded(corpus, width, gram, crowded))
 
     def ask_runs(batch, _):
-        c = _Chunk(batch, width, gram)
-        edge = c.bounds(shards)
+        c = _Chunk(batch, width, gram, held.value)
+        edge = shard_bounds(c.one[c.plain] << np.uint64(16), shards)
         for k in range(shards):
-            s = slice(edge[k], edge[k + 1])
+            s = c.plain[edge[k] : edge[k + 1]]
             yield {"shard": k, "one": _six(c.one[s]), "two": _six(c.two[s]), "ids": pack_ids(c.least[s])}
 
     schema = "shard long,chunk long,one binary,two binary,ids binary"
     known = written(reply(corpus.ask(ask_runs, schema), _judge(hot), 1), "runs")
 
     def ask_windows(batch, given):
-        c = _Chunk(batch, width, gram)
+        c = _Chunk(batch, width, gram, held.value)
         _, as_bytes, as_windows = c.flags(given, shards)
         edge = c.bounds(shards)
         for k in range(shards):
@@ -223,7 +250,7 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
     names = [f for f in docs.columns if f.lower() not in {"kept", "n_bytes", "n_removed", "n_spans"}]
 
     def drop(batch, given):
-        c = _Chunk(batch, width, gram)
+        c = _Chunk(batch, width, gram, held.value)
         covered, as_bytes, as_windows = c.flags(given, shards)
         edge = c.bounds(shards)
         delta = np.zeros(len(c.data) + 1, np.int32)
