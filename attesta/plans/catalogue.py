@@ -724,6 +724,13 @@ def _(s, d):
     return retrieval.ranked(_round(retrieval.cosine(v.where("entry < 5").select(F.col("entry").alias("query"), F.col("embedding").alias("vector")), v), "score"), 10)
 
 
+@query("cosine_topk_all", """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT query, vec_id AS entry, round(list_sum(list_transform(list_zip(a, embedding::DOUBLE[]), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a, lambda x: x * x))) * sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))), 6) AS score FROM embeddings, q)
+SELECT query, entry, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, entry) AS rank FROM p) WHERE rank <= 10""")
+def _(s, d):
+    v = adapters.table(s, d, "embeddings").select(F.col("vec_id").alias("entry"), "embedding")
+    return retrieval.nearest(v.where("entry % 50 = 0").select(F.col("entry").alias("query"), F.col("embedding").alias("vector")), v, 10)
+
+
 @query("ranking_metrics", f"""WITH {_TOK}, gold AS (SELECT query, entry FROM rk WHERE rank IN (1, 3, 12)), g AS (SELECT query, count(*) AS g FROM gold GROUP BY query), h AS (SELECT query, count(*) AS h, sum(1 / log2(rank + 1)) AS dcg, max(1 / rank) AS mrr FROM rk JOIN gold USING (query, entry) WHERE rank <= 10 GROUP BY query)
 SELECT query, round(h / g, 6) AS recall, round(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= g), 6) AS ndcg, round(mrr, 6) AS mrr FROM g JOIN h USING (query)""")
 def _(s, d):
