@@ -398,7 +398,7 @@ def _(s, d):
 @query("paired_bootstrap")
 def _(s, d):
     y = F.col("outcome").cast("int")
-    return calibration.paired_bootstrap(_claims(s, d).select(F.pow(F.col("p") - y, 2).alias("a"), F.pow(0.5 - y, 2).alias("b"), F.col("fact").alias("key")), draws=1000)
+    return calibration.paired_bootstrap(_claims(s, d).select(F.pow(F.col("p") - y, 2).alias("a"), F.pow(0.5 - y, 2).alias("b"), F.col("fact").alias("key")))
 
 
 @query("health_rollup", "SELECT quality, toxic, count(*) AS n, grouping(quality, toxic)::INT AS level FROM labels GROUP BY CUBE (quality, toxic)")
@@ -479,13 +479,13 @@ def _(s, d):
 def _(s, d):
     o = adapters.from_events(s, d)
     none = s.createDataFrame([], "actor string, reliability double")
-    return predict.predict_frequency(tallies.compose(tallies.fact_counts(o), none), samples=128).drop("sensitivity", "mpe")
+    return predict.predict_frequency(tallies.compose(tallies.fact_counts(o), none)).drop("sensitivity", "mpe")
 
 
 @query("predict_crisp")
 def _(s, d):
     reports, _settled = adapters.judges(s, d)
-    return predict.predict_crisp(reports.withColumnRenamed("outcome", "vote"), trust.confusion(_votes(s, d)), samples=128).drop("sensitivity", "mpe")
+    return predict.predict_crisp(reports.withColumnRenamed("outcome", "vote"), trust.confusion(_votes(s, d))).drop("sensitivity", "mpe")
 
 
 @query("predict_goals")
@@ -495,7 +495,7 @@ def _(s, d):
     g = o.groupBy(F.concat(F.lit("goal:"), F.floor(F.col("fact").cast("int") / 4).cast("string")).alias("goal")).agg(F.array_sort(F.collect_list(st)).alias("facts"))
     names = F.transform("facts", lambda f: f["fact"])
     p = g.select("goal", F.array(F.slice(names, 1, 2), F.slice(names, 2, 2)).alias("dnf"), "facts", F.array(F.slice(names, 3, 2)).alias("exclusive"))
-    return predict.predict_goals(p, samples=128).drop("mpe").withColumn("sensitivity", F.get(F.map_keys("sensitivity"), F.lit(0)))
+    return predict.predict_goals(p).drop("mpe").withColumn("sensitivity", F.get(F.map_keys("sensitivity"), F.lit(0)))
 
 
 @query("mpe", f"WITH {_E}, f AS (SELECT fact, fact::INT % 40 AS g, count(*) FILTER (outcome) + 1 AS a, count(*) FILTER (NOT outcome) + 1 AS b FROM e GROUP BY ALL) SELECT fact, a / (a + b) >= 0.5 AND (g >= 20 OR row_number() OVER (PARTITION BY g, a / (a + b) >= 0.5 ORDER BY a / (a + b) DESC, fact) = 1) AS holds FROM f")
