@@ -5,7 +5,7 @@ leftmost S of each stretch (LMS) split the text into substrings. One induction f
 names, and the string of names is sorted by the recursive step; a second induction from the sorted LMS suffixes sorts everything. An induction is a scan in
 order over one queue for each first byte: a block of suffixes is taken from the front of the smallest queue, and those of their predecessors that are L
 (then, from the largest queue down, S) are appended to the queues of their first bytes, which never lie behind the scan. Queues hold positions, are read
-and written in blocks, and go to disk beyond a budget, so the memory for suffixes doesn't grow with the text.
+and written in blocks, and go to disk beyond a budget; the text, the whole order and what belongs to windows are held in memory, so shards must be small.
 
 Order is exact for the first ``depth`` bytes; that is what the common prefixes of neighbours are asked for, and it lets the recursive step stop
 once names cover that many bytes. Neighbours' common prefixes are carried as one bit, whether they reach the depth, from comparing bytes.
