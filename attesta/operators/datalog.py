@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from attesta.functions.expressions import guard_holds
 from attesta.sources.shared import checkpointed
 
-MOST_ROUNDS, MOST_DEPTH = 64, 32
+MOST_DEPTH = 32
 ATOM = "pred string, args array<string>"
 
 
@@ -108,15 +108,15 @@ def _fire(rule: Rule, atoms: DataFrame, new: DataFrame | None) -> DataFrame | No
     return out
 
 
-def closure(atoms: DataFrame, rules: list[Rule], blocked: DataFrame | None = None, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """All derivable atoms. blocked atoms (those pinned as false) hold neither as given nor as derived."""
+def closure(atoms: DataFrame, rules: list[Rule], blocked: DataFrame | None = None) -> DataFrame:
+    """All derivable atoms: rounds go on until one makes nothing new, which comes, as rules make no new terms. blocked atoms (those pinned as false) hold neither as given nor as derived."""
     known = atoms.select("pred", "args").distinct()
     if blocked is not None:
         known = known.join(blocked.select("pred", "args"), ["pred", "args"], "left_anti")
     known = checkpointed(known)
     for group in strata(rules):
         new = None
-        for _ in range(rounds):
+        while True:
             made = [d for r in group if (d := _fire(r, known, new)) is not None]
             if not made:
                 break
