@@ -577,6 +577,25 @@ def _(s, d):
     return ledger.verify_links(e).withColumn("bad_link", F.col("bad_link") | F.col("bad_seq"))
 
 
+def _event_chain(s, d):
+    e = adapters.from_events(s, d)
+    none = F.lit(None).cast("string")
+    body = F.to_json(F.struct("fact", "outcome", "value"), {"ignoreNullFields": "false"})  # canonical: keys in order, no numbers
+    rows = e.select("seq", F.col("ts_ms").alias("ts"), F.lit("observation").alias("kind"), "actor", F.sha2(body.cast("binary"), 256).alias("payload_hash"), none.alias("source_ref"), none.alias("context_sig"))
+    return checkpointed(ledger.chain(rows, ["seq", "ts", "payload_hash"]))
+
+
+@query("event_chain_hash")
+def _(s, d):
+    return _event_chain(s, d).select("seq", "hash")
+
+
+@query("event_chain_verify", "SELECT seq, seq % 1000 = 10 AS bad_hash, seq % 1000 = 16 AS bad_link, seq % 1000 = 16 AS bad_seq FROM (SELECT row_number() OVER (ORDER BY event_id) AS seq FROM events) WHERE seq % 1000 IN (10, 16)")
+def _(s, d):
+    e = _event_chain(s, d).where("seq % 1000 <> 15").withColumn("actor", F.when(F.col("seq") % 1000 == 10, "agent:b").otherwise(F.col("actor")))
+    return ledger.verify_links(e).withColumn("bad_link", F.col("bad_link") | F.col("bad_seq"))
+
+
 @query("fact_keys", """SELECT s_suppkey, 'fact:' || substr(sha256('["supplies",["' || s_name || '","' || s_nationkey || '"]]'), 1, 32) AS fact FROM supplier""")
 def _(s, d):
     t = adapters.table(s, d, "supplier")

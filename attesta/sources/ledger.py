@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,25 @@ def chained(rows: Iterable[tuple], head: tuple[int, str] = (0, GENESIS)) -> tupl
     return events, list(payloads.items())
 
 
+def chain(rows: DataFrame, order: list[str], head: tuple[int, str] = (0, GENESIS)) -> DataFrame:
+    """EVENT of rows (ts, kind, actor, payload_hash, source_ref, context_sig) after head, in the order of the columns named. One task links them in a stream, as each hash needs the one before; payloads are hashed before, in parallel."""
+    names = [f.split()[0] for f in EVENT.split(", ")]
+
+    def link(batches):
+        seq, prev = head
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(c).to_pylist() for c in names[1:7]), strict=True):
+                seq += 1
+                own = event_hash(seq, *row, prev)
+                out.append((seq, *row, prev, own))
+                prev = own
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.string()) for k, c in enumerate(zip(*out, strict=True))], names)
+
+    return rows.repartition(1).sortWithinPartitions(*order).select(F.col("ts").cast("long").alias("ts"), *names[2:7]).mapInArrow(link, EVENT)
+
+
 class Ledger:
     """A log in a folder. Appending is one writer's job and takes one task, as each hash needs the one before; everything else is parallel."""
 

@@ -6,6 +6,7 @@ import pytest
 
 from attesta.operators import calibration, predict
 from attesta.plans import catalogue
+from attesta.sources import adapters, ledger
 
 
 @pytest.mark.parametrize(("name", "module", "argument", "value"), [
@@ -23,3 +24,9 @@ def test_sampled_at_full_size(spark, sf, monkeypatch, name, module, argument, va
     monkeypatch.setattr(module, name, call)
     catalogue.QUERIES[name](spark, sf)
     assert seen == [value]
+
+
+def test_chain_over_all_events(spark, sf):
+    e = adapters.from_events(spark, sf).orderBy("seq").collect()
+    want = ledger.chained([(r.ts_ms, "observation", r.actor, {"fact": r.fact, "outcome": r.outcome, "value": r.value}, None, None) for r in e])[0]
+    assert sorted(map(tuple, catalogue.QUERIES["event_chain_hash"](spark, sf).collect())) == [(r[0], r[8]) for r in want]
