@@ -665,6 +665,14 @@ def _(s, d):
     return components.alias_members(e.unionByName(adapters.table(s, d, "nation").where("n_nationkey % 4 <> 0").select(n("n", "n_nationkey").alias("canonical"), n("r", "n_regionkey").alias("alias"))))
 
 
+@query("alias_component_all", """WITH RECURSIVE e AS (SELECT s_name AS a, 'n' || s_nationkey AS b FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS symbol, min(b) AS component FROM r GROUP BY a""")
+def _(s, d):
+    n = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    e = adapters.table(s, d, "supplier").select(F.col("s_name").alias("canonical"), n("n", "s_nationkey").alias("alias"))
+    return components.alias_members(e.unionByName(adapters.table(s, d, "nation").select(n("n", "n_nationkey").alias("canonical"), n("r", "n_regionkey").alias("alias"))))
+
+
 @query("alias_union_counts", f"""WITH {_E}, c AS (SELECT CASE WHEN fact::INT % 2 = 0 THEN fact ELSE (fact::INT - 1)::VARCHAR END AS fact, actor, count(*) AS n, count(*) FILTER (outcome) AS k FROM e GROUP BY ALL) SELECT fact, actor, 'alea' AS channel, n, k FROM c""")
 def _(s, d):
     c = tallies.fact_counts(adapters.from_events(s, d))

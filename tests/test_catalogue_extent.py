@@ -30,3 +30,8 @@ def test_chain_over_all_events(spark, sf):
     e = adapters.from_events(spark, sf).orderBy("seq").collect()
     want = ledger.chained([(r.ts_ms, "observation", r.actor, {"fact": r.fact, "outcome": r.outcome, "value": r.value}, None, None) for r in e])[0]
     assert sorted(map(tuple, catalogue.QUERIES["event_chain_hash"](spark, sf).collect())) == [(r[0], r[8]) for r in want]
+
+
+def test_aliases_of_all_suppliers_and_nations(spark, sf):
+    names = {r[0] for t, c in (("supplier", "s_name"), ("nation", "concat('n', n_nationkey)")) for r in spark.read.parquet(f"{sf}/{t}.parquet").selectExpr(c).collect()}
+    assert names <= {r.symbol for r in catalogue.QUERIES["alias_component_all"](spark, sf).collect()}
