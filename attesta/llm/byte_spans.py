@@ -13,7 +13,8 @@ by those. Minimizers with more than CROWDED distinct runs in any chunk (a phrase
 Whole texts can't be sorted as one suffix array on a cluster without moving each suffix with its next 50 bytes; the reduction to runs gives the same result.
 
 Cases: null and empty texts have no bytes. A null doc_id is smaller than every id. Rows that repeat a doc_id aren't smaller than each other. Bytes are removed without
-regard to characters, so what is kept is binary. Columns of the input stay, but for kept, n_bytes, n_removed and n_spans, which are replaced.
+regard to characters, so what is kept is binary. Texts of any length are worked on in blocks of BLOCK bytes; what is held for the whole of a chunk is a few bytes
+for each byte. Columns of the input stay, but for kept, n_bytes, n_removed and n_spans, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import NULL_ID, Rolling, buffers, mix, spans, text_table, with_fields, written
-from attesta.llm.exchange import Corpus, bits, pack_ids, reply, shard_bounds, split, unpack_ids
+from attesta.llm.common import NULL_ID, Hasher, buffers, mix, padded, spans, text_table, with_fields, written
+from attesta.llm.exchange import Corpus, Sent, codes, column, ids_of, opened, reply, sums
 from attesta.llm.induced import repeated_windows
 
 WIDTH, GRAM = 50, 20
@@ -32,51 +33,26 @@ WIDTH, GRAM = 50, 20
 HOT = 50_000
 #: Distinct runs of one minimizer in one chunk from which it is settled by single windows throughout, and the most minimizers for which that is so.
 CROWDED, MOST_CROWDED = 64, 1 << 20
-#: About 100 bytes of memory go with each byte of a chunk, and with each byte of a shard's runs.
-SHARD_BYTES, CHUNK_MIN = 12 << 20, 3 << 19
-_ONE, _TWO = Rolling(31), Rolling(32)
-_LOW = np.uint64((1 << 48) - 1)
+#: About 100 bytes of memory go with each byte of a shard's runs.
+SHARD_BYTES = 12 << 20
+#: Windows whose minimizers are found at once.
+BLOCK = 1 << 18
+_ONE, _TWO = Hasher(31), Hasher(32)
 
 
 class _Chunk:
     """Runs of one chunk, and their distinct ones (groups) in order of hash."""
 
     def __init__(self, batch: pa.RecordBatch, width: int, gram: int, crowded: np.ndarray | None = None):
-        self.data, self.off = buffers(batch.column(batch.schema.get_field_index("text")))
+        data, self.off = buffers(batch.column(batch.schema.get_field_index("text")))
+        self.raw, self.wide = padded(data)
         self.ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-        self.width = width
-        n = len(self.data)
-        self.prefix = _ONE.prefix(self.data)
-        self.lo = self.hi = self.row = np.zeros(0, np.int64)
-        a = h = np.zeros(0, np.uint64)
-        if n >= width:
-            h = _ONE.windows(self.prefix, gram)
-            # 32 bits of hash over 32 of position: the smallest hash, leftmost among equals
-            m = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-            size, want = 1, width - gram + 1
-            while 2 * size <= want:
-                m, size = np.minimum(m[:-size], m[size:]), 2 * size
-            if want > size:
-                m = np.minimum(m[: len(m) - (want - size)], m[want - size :])
-            owner = (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            ok = np.zeros(len(owner), bool)
-            length = np.diff(self.off)
-            long = length >= width
-            edge = np.zeros(len(owner) + 1, np.int8)
-            np.add.at(edge, self.off[:-1][long], 1)
-            np.add.at(edge, self.off[1:][long] - width + 1, -1)
-            ok = np.cumsum(edge[:-1], dtype=np.int8) > 0
-            moved = owner[1:] != owner[:-1]
-            begin, end = ok.copy(), ok.copy()
-            begin[1:] &= moved | ~ok[:-1]
-            end[:-1] &= moved | ~ok[1:]
-            self.lo, self.hi = np.flatnonzero(begin), np.flatnonzero(end)
-            a = owner[self.lo]
-            h = h[a]
-            self.row = np.searchsorted(self.off, self.lo, "right") - 1
-        run = _TWO.ranges(_TWO.prefix(self.data), self.lo, self.hi + width)
-        run = mix(run ^ mix((a.astype(np.int64) - self.lo).astype(np.uint64) * np.uint64(2) + np.uint64(1)))
-        one, two = mix(h) >> np.uint64(16), run & _LOW  # minimizers are small hashes: scrambled, they spread evenly over shards
+        self.width, self.size = width, len(data)
+        parts = [self._runs(p, min(p + BLOCK, self.size - width + 1), gram) for p in range(0, self.size - width + 1, BLOCK)]
+        self.lo, count, one, two = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, k) for k in (np.int64, np.int32, np.uint64, np.uint64))
+        del parts
+        self.hi = self.lo + count
+        self.row = (np.searchsorted(self.off, self.lo, "right") - 1).astype(np.int32)
         order = np.argsort(one, kind="stable")
         one, two = one[order], two[order]
         same = one[1:] == one[:-1]
@@ -101,26 +77,51 @@ class _Chunk:
         self.crowded = np.zeros(len(self.one), bool) if none else crowded[np.minimum(np.searchsorted(crowded, self.one), len(crowded) - 1)] == self.one
         self.plain = np.flatnonzero(~self.crowded)
 
+    def _runs(self, p: int, q: int, gram: int) -> tuple[np.ndarray, ...]:
+        """Of the windows that begin in p..q: first window of each run, windows after it, hash of its minimizer, hash of its bytes."""
+        width, want = self.width, self.width - gram + 1
+        h = _ONE.every(self.wide[p:], q - p + want - 1, gram)
+        # 32 bits of hash over 32 of position: the smallest hash, leftmost among equals
+        m = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+        size = 1
+        while 2 * size <= want:
+            m, size = np.minimum(m[:-size], m[size:]), 2 * size
+        if want > size:
+            m = np.minimum(m[: len(m) - (want - size)], m[want - size :])
+        owner = (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        del m
+        r0, r1 = np.searchsorted(self.off, p, "right") - 1, np.searchsorted(self.off, q, "left")
+        lo, hi = np.maximum(self.off[r0:r1], p), np.minimum(self.off[r0 + 1 : r1 + 1] - width + 1, q)  # windows that lie in one text
+        edge = np.zeros(q - p + 1, np.int8)
+        full = hi > lo
+        edge[lo[full] - p] += 1
+        edge[hi[full] - p] -= 1
+        ok = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        moved = owner[1:] != owner[:-1]
+        touch = ok[1:] & ok[:-1] & ~moved  # windows of two texts don't touch
+        begin, end = ok.copy(), ok
+        begin[1:] &= ~touch
+        end[:-1] &= ~touch
+        lo, hi = np.flatnonzero(begin), np.flatnonzero(end)
+        a = owner[lo]
+        run = _TWO.ranges(self.raw, self.wide, lo + p, hi + p + width)
+        run = mix(run ^ mix((a - lo).astype(np.uint64) * np.uint64(2) + np.uint64(1)))
+        return lo + p, (hi - lo).astype(np.int32), mix(h[a]) >> np.uint64(16), run  # minimizers are small hashes: scrambled, they spread evenly over shards
+
     def many(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(minimizer, distinct runs) of those with more than least runs."""
         one, n = np.unique(self.one, return_counts=True)
         return one[n > least], n[n > least]
 
-    def bounds(self, shards: int) -> np.ndarray:
-        return shard_bounds(self.one << np.uint64(16), shards)
+    def sent(self, kind: int, groups: np.ndarray, shards: int) -> Sent:
+        """Groups, which ascend by minimizer, by the shards of their minimizers."""
+        return Sent(kind, self.one[groups] << np.uint64(16), shards)
 
     def flags(self, given: dict, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By group: a smaller document has the run; to be sent as bytes; to be sent as windows."""
-        edge = shard_bounds(self.one[self.plain] << np.uint64(16), shards)
-        out = []
-        for k in range(shards):
-            n = int(edge[k + 1] - edge[k])
-            raw = np.frombuffer(given[1, k], np.uint8).reshape(3, -1)
-            out.append(np.unpackbits(raw, axis=1, count=n).astype(bool))
-        every = np.zeros((3, len(self.one)), bool)
-        every[:, self.plain] = np.concatenate(out, 1)
-        every[2] |= self.crowded
-        return tuple(every)
+        state = np.zeros(len(self.one), np.uint8)
+        state[self.plain] = codes(given, 1, self.sent(1, self.plain, shards).n, 2)
+        return state == 1, state == 2, (state == 3) | self.crowded
 
     def windows(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start of each window of the groups' sample runs, windows by group)."""
@@ -131,29 +132,27 @@ class _Chunk:
     def hashed(self, groups: np.ndarray):
         """Windows of hot groups in order of hash: (order, first hash, second hash, id)."""
         at, n = self.windows(groups)
-        one = _ONE.ranges(self.prefix, at, at + self.width)
-        two = (_TWO.ranges(_TWO.prefix(self.data), at, at + self.width) >> np.uint64(32)).astype(np.uint32)
+        one = _ONE.ranges(self.raw, self.wide, at, at + self.width)
+        two = (_TWO.ranges(self.raw, self.wide, at, at + self.width) >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(one, kind="stable")
         return order, one[order], two[order], np.repeat(self.least[groups], n)[order]
 
 
-def _six(a: np.ndarray) -> bytes:
-    """48 bits each."""
-    return (a & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (a >> np.uint64(32)).astype(np.uint16).tobytes()
+def _six(a: np.ndarray) -> np.ndarray:
+    """48 bits each, as rows of three 16-bit numbers."""
+    return np.ascontiguousarray(a.astype("<u8").view("<u2").reshape(-1, 4)[:, :3])
 
 
 def _of_six(raw: bytes) -> np.ndarray:
-    n = len(raw) // 6
-    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+    out = np.zeros((len(raw) // 6, 4), "<u2")
+    out[:, :3] = np.frombuffer(raw, "<u2").reshape(-1, 3)
+    return out.view("<u8").ravel()
 
 
 def _judge(hot: int):
-    def judge(t: pa.Table) -> list[bytes]:
-        """For each run: three bit rows, see _Chunk.flags."""
-        parts = [unpack_ids(x) for x in t.column("ids").to_pylist()]
-        one = np.concatenate([_of_six(x) for x in t.column("one").to_pylist()])
-        two = np.concatenate([_of_six(x) for x in t.column("two").to_pylist()])
-        ids = np.concatenate(parts)
+    def judge(t: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
+        """For each run: 0 nothing to do, 1 a smaller document has it, 2 to be sent as bytes, 3 to be sent as windows."""
+        one, two, ids = _of_six(column(t, "one")), np.frombuffer(column(t, "two"), np.uint64), ids_of(t)
         order = np.lexsort((two, one))
         a, b, i = one[order], two[order], ids[order]
         top = np.ones(len(a), bool)
@@ -161,53 +160,42 @@ def _judge(hot: int):
         new = top.copy()
         new[1:] |= b[1:] != b[:-1]
         head = np.flatnonzero(new)
-        least = np.minimum.reduceat(i, head)[np.cumsum(new) - 1] if len(head) else i
-        runs = np.bincount(np.cumsum(top)[head] - 1)[np.cumsum(top) - 1] if len(head) else i
-        masks = np.zeros((3, len(a)), bool)
-        masks[0, order] = i > least
-        masks[1, order] = (i == least) & (runs > 1) & (runs <= hot)
-        masks[2, order] = (i == least) & (runs > hot)
-        out, at = [], 0
-        for p in parts:
-            out.append(np.packbits(masks[:, at : at + len(p)], axis=1).tobytes())
-            at += len(p)
-        return out
+        least = np.minimum.reduceat(i, head)[np.cumsum(new) - 1]
+        runs = np.bincount(np.cumsum(top)[head] - 1)[np.cumsum(top) - 1]
+        out = np.zeros(len(a), np.uint8)
+        out[order] = np.where(i > least, 1, np.where(runs > hot, 3, np.where(runs > 1, 2, 0)))
+        return out, t.column("n").to_numpy().astype(np.int64), 2
 
     return judge
 
 
-def _sort(width: int, shards: int):
-    def sort(t: pa.Table) -> list[bytes]:
-        """Which windows a smaller document has: of runs given as bytes (shards below the number of shards), or of windows given as hashes."""
-        parts = [unpack_ids(x) for x in t.column("ids").to_pylist()]
-        ids = np.concatenate(parts)
-        if t.column("shard")[0].as_py() < shards:
-            sizes = [np.frombuffer(x, np.uint16).astype(np.int64) for x in t.column("two").to_pylist()]
-            blob = np.frombuffer(b"".join(t.column("one").to_pylist()), np.uint8)
-            gone = repeated_windows(blob, np.concatenate(sizes), ids, width)
-            return split(gone, [int((s - width + 1).sum()) for s in sizes])
-        one = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("one").to_pylist()])
-        two = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("two").to_pylist()])
+def _sort(width: int):
+    def sort(t: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
+        """Which windows a smaller document has: of runs given as bytes (kind 2), or of windows given as hashes."""
+        ids, n = ids_of(t), t.column("n").to_numpy().astype(np.int64)
+        if t.column("kind")[0].as_py() == 2:
+            sizes = np.frombuffer(column(t, "two"), np.uint16).astype(np.int64)
+            gone = repeated_windows(np.frombuffer(column(t, "one"), np.uint8), sizes, ids, width)
+            return gone.astype(np.uint8), sums(sizes - width + 1, n), 1
+        one, two = np.frombuffer(column(t, "one"), np.uint64), np.frombuffer(column(t, "two"), np.uint32)
         order = np.lexsort((two, one))
         a, b = one[order], two[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        out = np.zeros(len(a), bool)
-        if len(a):
-            out[order] = ids[order] > np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        return split(out, [len(p) for p in parts])
+        out = np.zeros(len(a), np.uint8)
+        out[order] = ids[order] > np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        return out, n, 1
 
     return sort
 
 
 def _crowded(corpus: Corpus, width: int, gram: int, least: int) -> np.ndarray:
     """Minimizers, ascending, that have more than least distinct runs in some chunk: the MOST_CROWDED with the most, which is all unless that is too much to broadcast."""
+    def count(t: pa.Table) -> pa.Table:
+        one, n = _Chunk(opened(t.column("body")[0].as_py()), width, gram).many(least)
+        return pa.table({"one": pa.array(one.astype(np.int64)), "n": pa.array(n)})
 
-    def count(batch, _):
-        for one, n in zip(*(v.tolist() for v in _Chunk(batch, width, gram).many(least)), strict=True):
-            yield {"one": one, "n": n}
-
-    found = corpus.ask(count, "chunk long,one long,n long").groupBy("one").agg(F.sum("n").alias("n"))
+    found = corpus.rows.groupBy("chunk").applyInArrow(count, "one long, n long").groupBy("one").agg(F.sum("n").alias("n"))
     rows = found.orderBy(F.desc("n"), "one").limit(MOST_CROWDED).toArrow()
     return np.sort(rows.column("one").to_numpy().astype(np.uint64))
 
@@ -216,82 +204,73 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
     """docs with kept (binary), n_bytes, n_removed and n_spans (maximal removed stretches). See the module's text."""
     if not 8 <= gram <= width < 1 << 14:
         raise ValueError("gram must be from 8 to width")
-    corpus = Corpus(docs, "bytes", chunk, shards, shard_bytes=SHARD_BYTES, chunk_min=CHUNK_MIN)
+    corpus = Corpus(docs, "bytes", chunk, shards, shard_bytes=SHARD_BYTES)
     shards = corpus.shards
     held = corpus.spark.sparkContext.broadcast(_crowded(corpus, width, gram, crowded))
 
     def ask_runs(batch, _):
         c = _Chunk(batch, width, gram, held.value)
-        edge = shard_bounds(c.one[c.plain] << np.uint64(16), shards)
-        for k in range(shards):
-            s = c.plain[edge[k] : edge[k + 1]]
-            yield {"shard": k, "one": _six(c.one[s]), "two": _six(c.two[s]), "ids": pack_ids(c.least[s])}
+        return [c.sent(1, c.plain, shards).put("one", _six(c.one[c.plain])).put("two", c.two[c.plain]).put_ids(c.least[c.plain])]
 
-    schema = "shard long,chunk long,one binary,two binary,ids binary"
-    known = written(reply(corpus.ask(ask_runs, schema), _judge(hot), 1), "runs")
+    known = written(reply(corpus.ask(ask_runs), _judge(hot)), "runs")
 
     def ask_windows(batch, given):
         c = _Chunk(batch, width, gram, held.value)
         _, as_bytes, as_windows = c.flags(given, shards)
-        edge = c.bounds(shards)
-        for k in range(shards):
-            g = edge[k] + np.flatnonzero(as_bytes[edge[k] : edge[k + 1]])
-            r = c.some[g]
-            size = c.hi[r] - c.lo[r] + width
-            yield {"shard": k, "one": c.data[spans(c.lo[r], size)].tobytes(), "two": size.astype(np.uint16).tobytes(), "ids": pack_ids(c.least[g])}
+        g = np.flatnonzero(as_bytes)
+        r = c.some[g]
+        size = c.hi[r] - c.lo[r] + width
+        out = [c.sent(2, g, shards).put("one", c.raw[spans(c.lo[r], size)], np.cumsum(size)).put("two", size.astype(np.uint16)).put_ids(c.least[g])]
         if as_windows.any():
             _, one, two, ids = c.hashed(np.flatnonzero(as_windows))
-            edge = shard_bounds(one, shards)
-            for k in range(shards):
-                s = slice(edge[k], edge[k + 1])
-                yield {"shard": shards + k, "one": one[s].tobytes(), "two": two[s].tobytes(), "ids": pack_ids(ids[s])}
+            out.append(Sent(3, one, shards).put("one", one).put("two", two).put_ids(ids))
+        return out
 
-    found = reply(corpus.ask(ask_windows, schema, known), _sort(width, shards), 2)
+    found = reply(corpus.ask(ask_windows, known), _sort(width))
     names = [f for f in docs.columns if f.lower() not in {"kept", "n_bytes", "n_removed", "n_spans"}]
 
     def drop(batch, given):
         c = _Chunk(batch, width, gram, held.value)
         covered, as_bytes, as_windows = c.flags(given, shards)
-        edge = c.bounds(shards)
-        delta = np.zeros(len(c.data) + 1, np.int32)
         whole = covered[c.group] | (c.doc > c.least[c.group])
-        np.add.at(delta, c.lo[whole], 1)
-        np.add.at(delta, c.hi[whole] + width, -1)
-        # windows of sent groups, in order of group, then of place in the run
-        sent = np.flatnonzero(as_bytes | as_windows)
-        n = c.hi[c.some[sent]] - c.lo[c.some[sent]] + 1
-        at = np.cumsum(n) - n
-        gone = np.zeros(int(n.sum()), bool)
-        place = np.zeros(len(c.one), np.int64)
-        place[sent] = at
-        for k in range(shards):
-            g = edge[k] + np.flatnonzero(as_bytes[edge[k] : edge[k + 1]])
-            size = c.hi[c.some[g]] - c.lo[c.some[g]] + 1
-            gone[spans(place[g], size)] = bits(given, 2, k, int(size.sum()))
-        if as_windows.any():
-            g = np.flatnonzero(as_windows)
-            order, one, _, _ = c.hashed(g)
-            cut = shard_bounds(one, shards)
-            mask = np.zeros(len(order), bool)
-            mask[order] = np.concatenate([bits(given, 2, shards + k, int(cut[k + 1] - cut[k])) for k in range(shards)])
-            gone[spans(place[g], c.hi[c.some[g]] - c.lo[c.some[g]] + 1)] = mask
-        r = np.flatnonzero(~whole & (as_bytes | as_windows)[c.group])
-        size = c.hi[r] - c.lo[r] + 1
-        start = spans(c.lo[r], size)[gone[spans(place[c.group[r]], size)]]
-        np.add.at(delta, start, 1)
-        np.add.at(delta, start + width, -1)
-        removed = np.cumsum(delta[:-1]) > 0
-        total = np.concatenate(([0], np.cumsum(removed)))
+        starts, ends = [c.lo[whole]], [c.hi[whole] + width]
+        # windows of the groups that were sent, in order of group, then of place in the run
+        for kind, groups in ((2, np.flatnonzero(as_bytes)), (3, np.flatnonzero(as_windows))):
+            if not len(groups):
+                continue
+            n = c.hi[c.some[groups]] - c.lo[c.some[groups]] + 1
+            place = np.zeros(len(c.one), np.int64)
+            place[groups] = np.cumsum(n) - n
+            if kind == 2:
+                gone = codes(given, 2, sums(n, c.sent(2, groups, shards).n)).astype(bool)
+            else:
+                order, one, _, _ = c.hashed(groups)
+                gone = np.zeros(len(order), bool)
+                gone[order] = codes(given, 3, Sent(3, one, shards).n).astype(bool)
+            r = np.flatnonzero(~whole & (as_bytes if kind == 2 else as_windows)[c.group])
+            size = c.hi[r] - c.lo[r] + 1
+            at = spans(c.lo[r], size)[gone[spans(place[c.group[r]], size)]]
+            starts.append(at)
+            ends.append(at + width)
+        start, end = np.concatenate(starts), np.concatenate(ends)
         off = c.off
-        n_removed = total[off[1:]] - total[off[:-1]]
-        opens = removed.copy()
-        opens[1:] &= ~removed[:-1]
-        cut = off[:-1][np.diff(off) > 0]
-        opens[cut] = removed[cut]
-        count = np.concatenate(([0], np.cumsum(opens)))
-        kept_at = off - total[off]
-        kept = pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(kept_at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c.data[~removed]))])
-        arrays = [*[batch.column(batch.schema.get_field_index(x)) for x in names], kept, pa.array(np.diff(off)), pa.array(n_removed), pa.array(count[off[1:]] - count[off[:-1]])]
+        if len(start):
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], np.maximum.accumulate(end[order])
+            head = np.ones(len(start), bool)  # stretches that touch are one, but for those of two texts
+            head[1:] = (start[1:] > end[:-1]) | ((start[1:] == end[:-1]) & np.isin(start[1:], off))
+            tail = np.append(head[1:], True)
+            start, end = start[head], end[tail]
+        row = np.searchsorted(off, start, "right") - 1
+        n_removed = np.bincount(row, weights=end - start, minlength=len(off) - 1).astype(np.int64)
+        count = np.bincount(row, minlength=len(off) - 1)
+        change = np.zeros(c.size + 1, np.int8)
+        change[start] += 1
+        change[end] -= 1
+        keep = np.cumsum(change[:-1], dtype=np.int8) == 0
+        kept_at = np.concatenate(([0], np.cumsum(np.diff(off) - n_removed)))
+        kept = pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(kept_at.astype(np.int32)), pa.py_buffer(c.raw[: c.size][keep])])
+        arrays = [*[batch.column(batch.schema.get_field_index(x)) for x in names], kept, pa.array(np.diff(off)), pa.array(n_removed), pa.array(count)]
         return pa.RecordBatch.from_arrays(arrays, [*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
     return corpus.finish(drop, with_fields(docs, ("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")), known.unionByName(found))

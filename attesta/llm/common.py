@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch on its way to Python; batches are put together again up to CHUNK_BYTES, so long texts can't make one huge batch.
-BATCH_ROWS = 16
+#: Bytes in one Arrow batch on its way to Python (a batch ends with the row that reaches them); batches are put together again up to CHUNK_BYTES.
+BATCH_BYTES = 1 << 20
 CHUNK_BYTES = 3 << 19
 #: Bytes a task may receive as a broadcast. Every broadcast in this subpackage is measured against it and has another way beyond it.
 BROADCAST_BYTES = 32 << 20
@@ -26,15 +27,17 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch in this session (the setting is read when a plan runs, so it stays set)."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Bound the bytes of an Arrow batch in this session (the setting is read when a plan runs, so it stays set)."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset (local runs, tests) a folder of this process."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local run gets a folder of its own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file:///tmp/attesta-{os.getuid()}-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     spark.sparkContext.setCheckpointDir(found)
@@ -115,51 +118,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Rolling:
-    """Hashes of any range of a sequence from prefix sums of a polynomial modulo 2**64 with an odd base.
+def padded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(data with 8 zero bytes after it, the little-endian 64-bit word that begins at each of its bytes, as a view)."""
+    raw = np.zeros(len(data) + 8, np.uint8)
+    raw[: len(data)] = data
+    return raw, np.ndarray((len(data) + 1,), "<u8", buffer=raw.data, strides=(1,))
 
-    ``values`` are scrambled first, so equal ranges have equal hashes and others differ but for chance. Positions are relative to the array at hand;
-    a range's hash is (S[end] - S[start]) * base**-start, which doesn't depend on where the range lies.
+
+#: Byte ranges beyond so many bytes are hashed one by one by xxh3.
+BY_XXH3 = 256
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+class Hasher:
+    """64-bit hashes of sequences, by a step that takes two words to one, is a bijection in either of them and isn't linear.
+
+    A polynomial modulo 2**64 has equal values for different sequences of regular build, whatever its base (Thue-Morse words); steps of multiplication and
+    shift have no such structure. Hashers with different seeds are independent.
     """
 
     def __init__(self, seed: int):
         self.seed = seed
         r = np.random.default_rng(seed)
-        self.table = r.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = (int(r.integers(1 << 60)) << 3 | 5) & (1 << 64) - 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.a, self.b, self.c = (np.uint64(int(x) | 1) for x in r.integers(1 << 62, 1 << 63, 3, dtype=np.uint64))
 
     def __reduce__(self):
-        return Rolling, (self.seed,)
-
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                p = np.full(n, b, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums, one longer than values. uint8 goes through a random table, uint64 is taken as it is."""
-        self._grow(len(values) + 1)
-        v = self.table[values] if values.dtype == np.uint8 else values
-        s = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(v * self.up[: len(v)], out=s[1:])
-        return s
-
-    def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        self._grow(len(prefix))
-        return mix((prefix[end] - prefix[start]) * self.down[start])
-
-    def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
-        """Of every window of width values."""
-        n = len(prefix) - width
+        return Hasher, (self.seed,)
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a * self.a
+        x ^= x >> np.uint64(32)
+        x += b
+        x *= self.b
+        x ^= x >> np.uint64(29)
+        return x
+
+    def windows(self, values: np.ndarray, width: int) -> np.ndarray:
+        """Of every window of width values (uint64), from windows of powers of two that overlap."""
+        size = 1
+        while 2 * size <= width:
+            values, size = self.pair(values[:-size], values[size:]) if len(values) > size else values[:0], 2 * size
+        if width > size:
+            rest = width - size
+            values = self.pair(values[:-rest], values[rest:]) if len(values) > rest else values[:0]
+        return mix(values)
+
+    def every(self, wide: np.ndarray, n: int, width: int) -> np.ndarray:
+        """Of the windows of width bytes, 8 or more, that begin at the first n places; wide: the 64-bit words at each place."""
         if n <= 0:
             return np.zeros(0, np.uint64)
-        self._grow(n)
-        return mix((prefix[width:] - prefix[:n]) * self.down[:n])
+        wide = np.array(wide[: n + width - 8])
+        h = wide[:n] ^ self.c
+        for k in [*range(8, width - 7, 8), *([width - 8] if width % 8 else [])]:
+            h = self.pair(h, wide[k : k + n])
+        return mix(h)
+
+    def ranges(self, raw: np.ndarray, wide: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of byte ranges; raw and wide as padded() gives them. Depends on a range's bytes and their number only."""
+        size = end - start
+        h = size.astype(np.uint64) * self.c
+        live = np.flatnonzero((size > 0) & (size <= BY_XXH3))
+        at, left, own = start[live], size[live], h[live]
+        while len(live):
+            own = self.pair(own, wide[at] & _MASK[np.minimum(left, 8)])
+            done = left <= 8
+            if done.any():
+                h[live[done]] = own[done]
+                go = ~done
+                live, at, left, own = live[go], at[go], left[go], own[go]
+            at, left = at + 8, left - 8
+        for i in np.flatnonzero(size > BY_XXH3).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]], self.seed)
+        return mix(h)
 
 
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -194,6 +224,14 @@ def words(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray) -> tuple[
     return s, e, np.searchsorted(s, offsets)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_fields(df: DataFrame, *fields: tuple[str, str], drop: tuple[str, ...] = ()) -> str:
     """DDL of df's columns, those named in drop or fields left out, with the fields after them."""
     gone = {x.lower() for x in drop} | {n.lower() for n, _ in fields}

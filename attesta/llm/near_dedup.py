@@ -1,20 +1,25 @@
 """MinHash near-dedup: circulant MinHash, banding, exact Jaccard.
 
-A document's set is its distinct 2-word shingles. Two permutations make all signature coordinates: the first, sigma, scatters shingles over a circle of 2**20
-places, the second, pi, gives places values; coordinate k is the least pi at sigma shifted by k, so a shingle's values for all coordinates lie
-side by side in one table. Bands of ROWS coordinates put documents into buckets; links are confirmed on full sets.
-
-Plan: (1) texts are written in chunks (see exchange). (2) One pass computes set size, a 128-bit key of the set and the band hashes. Documents with equal sets
-form a class at once, its smallest doc_id stands for it. (3) Buckets with one member vanish in a partial aggregation. (4) First round: each document is
-held against one partner, the bucket minimum that it meets in most bands. Nearly all members of a family are linked then. (5) Second round: pairs within a
-bucket whose members are still in different components. The largest component of a bucket isn't paired with itself, so a bucket of m members of which s are
-strays costs s * m pairs, not m * m. After it every pair that shares a bucket is confirmed, refuted or connected. (6) Components. For confirming, the sets of members
-are sent to their partner's shard, a partner with more than SPREAD members is sent to several.
-
-Missing a pair with similarity 0.75 has probability (1 - 0.75**4)**40 = 2.5e-7; more similar pairs less.
+A document's set is its distinct 2-word shingles. Two permutations make all signature coordinates. The first, sigma, scatters shingles: 20 bits of it are a place
+on a circle, 32 others tell apart what lies at one place. The second, pi, gives places values; coordinate k is the least value of pi, circularly shifted
+by k, combined with those 32 bits, so a shingle's values for all coordinates lie side by side in one table, and texts with more shingles than the circle has places
+still have signatures of their own. Bands of ROWS coordinates put documents into buckets; one bit of each coordinate is kept beside them. Links are confirmed on full sets.
+
+Plan: (1) texts are written in chunks (see exchange). (2) One pass computes set size, a 128-bit key of the set, bands and bits, kept by chunk. Documents with equal
+sets form a class at once, its smallest doc_id stands for it. (3) Chunks ask which band hashes occur elsewhere too, as packed hashes; only those become rows.
+(4) First round: each document is held against one partner, the bucket minimum that it meets in most bands. Nearly all members of a family are linked
+then. (5) Second round: pairs within a bucket whose members are still in different components. The largest component of a bucket isn't paired with itself, so a
+bucket of m members of which s are strays costs s * m pairs, not m * m. In either round pairs whose bits agree in fewer places than similar sets ever do are refuted
+by 56 bytes a document; only the sets of the others are sent: those of members to their partner's shard, a partner with more than SPREAD members to several.
+(6) Components.
+
+A pair of similarity 0.75 meets in no band with probability (1 - 0.75**6)**74 = 5e-7, and is refuted by bits (five standard deviations below their mean) with
+3e-7; more similar pairs less. Documents of one bucket that aren't similar cost a pair of ids each, which is what is left of all pairs: where a template makes
+a large share of a corpus half equal (at 0.5 a pair shares a bucket with probability 0.69), that part grows with the square of the family.
 
 Cases: texts without words have the empty set and are linked with nothing. A doc_id on several rows is one document: it has the links of each row. A null
-doc_id is linked with nothing, its component is null and it is kept. Columns of the input stay, but for n_shingles, component_id and kept, which are replaced.
+doc_id is linked with nothing, its component is null and it is kept. near_duplicates returns its four columns; near_dedup all columns of the input, whatever their
+names. Empty tables give empty results. Texts of any length are taken whole; they cost some bytes of memory for each byte.
 """
 
 from __future__ import annotations
@@ -27,43 +32,49 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BATCH_ROWS, Rolling, buffers, mix, text_table, with_fields, words, written
+from attesta.llm.common import BATCH_BYTES, Hasher, buffers, mix, padded, text_table, with_fields, words, written
 from attesta.llm.components import connected_components
-from attesta.llm.exchange import Corpus, opened
+from attesta.llm.exchange import Corpus, Sent, codes, column, opened, reply
 
-PERCENT, BANDS, ROWS = 75, 40, 4
+PERCENT, BANDS, ROWS = 75, 74, 6
 PLACES = 1 << 20
 #: Members of one partner in one shard, and bytes of sets in a shard.
 SPREAD, SHARD = 4_000, 24 << 20
-#: About 100 bytes of memory go with each byte of a chunk.
-CHUNK_MIN = 3 << 19
+#: Standard deviations that the agreement of two signatures' bits may lie below what the least similarity lets expect.
+DEVIATIONS = 5
+#: Shingles times coordinates that are looked up at once.
+BLOCK = 1 << 21
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTES, _WORDS = Rolling(51), Rolling(52)
+_WORDS = Hasher(51)
 _LOW = np.uint64((1 << 48) - 1)
 
 
 @functools.cache
 def _pi(coordinates: int) -> np.ndarray:
-    p = np.random.default_rng(5).permutation(PLACES).astype(np.uint32)
+    """pi on the circle, in the high 20 bits of 32, its beginning repeated at the end."""
+    r = np.random.default_rng(5)
+    p = r.permutation(PLACES).astype(np.uint32) << np.uint32(12) | r.integers(0, 1 << 12, PLACES, dtype=np.uint32)
     return np.concatenate((p, p[:coordinates]))
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, ascending within each text; first of each text and the end)."""
     data, off = buffers(column)
-    data = _FOLD[data]
-    s, e, first = words(data, off, _SPACE)
-    h = _BYTES.ranges(_BYTES.prefix(data), s, e)
+    raw, wide = padded(_FOLD[data])
+    s, e, first = words(raw[: len(data)], off, _SPACE)
+    h = _WORDS.ranges(raw, wide, s, e)
     n = np.diff(first)
-    p = _WORDS.prefix(h)
     count = np.where(n > 1, n - 1, n)
-    row = np.repeat(np.arange(len(n)), count)
+    row = np.repeat(np.arange(len(n), dtype=np.int32), count)
     start = first[:-1][row] + np.arange(len(row)) - (np.cumsum(count) - count)[row]
-    g = _WORDS.ranges(p, start, start + np.minimum(n, 2)[row])
+    two = np.minimum(n, 2)[row] > 1
+    g = h[start]
+    g[two] = _WORDS.pair(g[two], h[start[two] + 1])
+    g = mix(g)
     out, size, at = [], np.zeros(len(n), np.int64), np.concatenate(([0], np.cumsum(count)))
     if len(n) and len(g):
         # one sort by (text, hash): 64-bit keys don't hold both, so sort hashes first, then texts stably where the batch has several
@@ -77,27 +88,45 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(out, np.uint64), at
 
 
+def _sigma(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place on the circle, 32 bits that tell apart what lies there)."""
+    x = mix(sets ^ np.uint64(0xC1AC))
+    return (x >> np.uint64(44)).astype(np.int64), x.astype(np.uint32)
+
+
 def signatures(sets: np.ndarray, at: np.ndarray, coordinates: int) -> np.ndarray:
     """(texts, coordinates) of circulant MinHash; rows of empty sets are 0."""
     view = np.lib.stride_tricks.sliding_window_view(_pi(coordinates), coordinates)
-    sigma = (mix(sets ^ np.uint64(0xC1AC)) >> np.uint64(44)).astype(np.int64)
+    place, own = _sigma(sets)
     out = np.zeros((len(at) - 1, coordinates), np.uint32)
     full = np.flatnonzero(np.diff(at))
-    block, k = 1 << 14, 0
+    block, k = max(1, BLOCK // coordinates), 0
+
+    def values(a: int, b: int) -> np.ndarray:
+        v = view[place[a:b]]
+        v ^= own[a:b, None]
+        return v
+
     while k < len(full):  # whole texts, up to about block shingles at once; longer texts in parts
         j = max(k + 1, int(np.searchsorted(at[full + 1], at[full[k]] + block, "right")))
-        a, b = at[full[k]], at[full[j - 1] + 1]
+        a, b = int(at[full[k]]), int(at[full[j - 1] + 1])
         if j == k + 1 and b - a > block:
-            least = view[sigma[a : a + block]].min(0)
+            least = values(a, a + block).min(0)
             for i in range(a + block, b, block):
-                np.minimum(least, view[sigma[i : min(b, i + block)]].min(0), out=least)
+                np.minimum(least, values(i, min(b, i + block)).min(0), out=least)
             out[full[k]] = least
         else:
-            out[full[k:j]] = np.minimum.reduceat(view[sigma[a:b]], at[full[k:j]] - a, axis=0)
+            out[full[k:j]] = np.minimum.reduceat(values(a, b), at[full[k:j]] - a, axis=0)
         k = j
     return out
 
 
+def least_agreement(percent: int, coordinates: int) -> int:
+    """Bits of coordinates in which the signatures of sets that are similar enough agree, but for DEVIATIONS."""
+    q = (1 + percent / 100) / 2
+    return int(coordinates * q - DEVIATIONS * (coordinates * q * (1 - q)) ** 0.5)
+
+
 def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
     """(texts, bands) 64-bit."""
     x = signature.astype(np.uint64).reshape(len(signature), -1, rows)
@@ -107,27 +136,106 @@ def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def _describe(corpus: Corpus, bands: int, rows: int) -> DataFrame:
-    """One row a document: (chunk, doc, n, k1, k2, bands)."""
+def _described(corpus: Corpus, bands: int, rows: int) -> Corpus:
+    """By chunk, one row a document: doc, n, k1, k2, bands (6 bytes each), bits."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        text = b.column(b.schema.get_field_index("text"))
+        parts, first = [], 0
+        sizes = np.diff(buffers(text)[1])
+        while first < len(text):  # texts of about 256 KB at once
+            last = first + max(1, int(np.searchsorted(np.cumsum(sizes[first:]), 1 << 18, "right")))
+            sets, at = shingles(text.slice(first, last - first))
+            keys = []
+            for salt in (1, 2):
+                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(sets + np.uint64(salt)), dtype=np.uint64)))
+                keys.append((total[at[1:]] - total[at[:-1]]).astype(np.int64))
+            s = signatures(sets, at, bands * rows)
+            h = np.ascontiguousarray((band_hashes(s, rows).astype(np.uint64) & _LOW).view("<u2").reshape(len(s), bands, 4)[:, :, :3])
+            bits = np.packbits((s & np.uint32(1)).astype(np.uint8), axis=1)
+            parts.append((np.diff(at), *keys, h.view(np.uint8).reshape(len(s), -1), bits))
+            first = last
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros((0, 6 * bands), np.uint8), np.zeros((0, -(-bands * rows // 8)), np.uint8)]
+        fixed = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]) for x in columns[3:]]
+        return pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).cast(pa.int64()), *map(pa.array, columns[:3]), *fixed], ["doc", "n", "k1", "k2", "bands", "bits"])
+
+    return corpus.derive("signatures", run)
+
+
+def _buckets(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """(of each class of the chunk the row with the smallest doc_id, their band hashes as (rows, bands) of uint64)."""
+    n, k1, k2 = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("n", "k1", "k2"))
+    doc = b.column(b.schema.get_field_index("doc"))
+    own = np.flatnonzero((n > 0) & doc.is_valid().to_numpy(zero_copy_only=False))
+    own = own[np.lexsort((doc.fill_null(0).to_numpy()[own], n[own], k2[own], k1[own]))]
+    new = np.ones(len(own), bool)
+    new[1:] = (k1[own][1:] != k1[own][:-1]) | (k2[own][1:] != k2[own][:-1]) | (n[own][1:] != n[own][:-1])
+    b = b.take(pa.array(own[new]))
+    width = b.schema.field("bands").type.byte_width
+    raw = np.frombuffer(b"".join(b.column(b.schema.get_field_index("bands")).to_pylist()), "<u2").reshape(len(b), width // 6, 3)
+    wide = np.zeros((len(b), width // 6, 4), "<u2")
+    wide[:, :, :3] = raw
+    return b, wide.view("<u8").reshape(len(b), -1)
+
+
+def _meet(t: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
+    """Which 48-bit hashes more than one chunk has."""
+    every = np.zeros((len(column(t, "one")) // 6, 4), "<u2")
+    every[:, :3] = np.frombuffer(column(t, "one"), "<u2").reshape(-1, 3)
+    every = every.view("<u8").ravel()
+    order = np.argsort(every, kind="stable")
+    same = every[order][1:] == every[order][:-1]
+    out = np.zeros(len(every), np.uint8)
+    out[order[1:][same]] = 1
+    out[order[:-1][same]] = 1
+    return out, t.column("n").to_numpy().astype(np.int64), 1
+
+
+def _shared(described: Corpus) -> DataFrame:
+    """(doc, n, k1, k2, buckets): of each class of each chunk, the band hashes that occur more than once."""
+    shards = described.shards
+
+    def ask(b, _):
+        h = np.unique(_buckets(b)[1])
+        return [Sent(1, h << np.uint64(16), shards).put("one", np.ascontiguousarray(h.astype("<u8").view("<u2").reshape(-1, 4)[:, :3]))]
+
+    def tell(b, given):
+        own, h = _buckets(b)
+        names, index, count = np.unique(h, return_inverse=True, return_counts=True)
+        more = (codes(given, 1, Sent(1, names << np.uint64(16), shards).n).astype(bool) | (count > 1))[index.reshape(h.shape)] if len(names) else np.zeros(h.shape, bool)
+        some = more.any(1)
+        own, h, more = own.filter(pa.array(some)), h[some], more[some]
+        ends = np.concatenate(([0], np.cumsum(more.sum(1))))
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[more].astype(np.int64)))
+        return pa.RecordBatch.from_arrays([*(own.column(own.schema.get_field_index(c)) for c in ("doc", "n", "k1", "k2")), listed], ["doc", "n", "k1", "k2", "buckets"])
+
+    return described.finish(tell, "doc long, n long, k1 long, k2 long, buckets array<bigint>", reply(described.ask(ask), _meet))
+
+
+def _likely(described: Corpus, pairs: DataFrame, percent: int, coordinates: int, name: str) -> DataFrame:
+    """Of pairs (doc, partner) those whose bits agree often enough."""
+    words_ = -(-coordinates // 64)
+
+    def bits(_, b: pa.RecordBatch) -> pa.RecordBatch:
+        raw = b"".join(b.column(b.schema.get_field_index("bits")).to_pylist())
+        x = np.zeros((len(b), 8 * words_), np.uint8)
+        if len(b):
+            x[:, : len(raw) // len(b)] = np.frombuffer(raw, np.uint8).reshape(len(b), -1)
+        w = x.view("<i8")
+        return pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc")), *(pa.array(np.ascontiguousarray(w[:, k])) for k in range(words_))], ["doc", *(f"s{k}" for k in range(words_))])
 
-    def run(t: pa.Table) -> pa.Table:
-        b = opened(t.column("body")[0].as_py())
-        sets, at = shingles(b.column(b.schema.get_field_index("text")))
-        n = np.diff(at)
-        keys = []
-        for salt in (1, 2):
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(sets + np.uint64(salt)), dtype=np.uint64)))
-            keys.append((total[at[1:]] - total[at[:-1]]).astype(np.int64))
-        h = band_hashes(signatures(sets, at, bands * rows), rows)
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(h.ravel()))
-        return pa.table({"chunk": pa.array(np.full(len(n), t.column("chunk")[0].as_py(), np.int64)), "doc": b.column(b.schema.get_field_index("doc_id")).cast(pa.int64()), "n": pa.array(n), "k1": pa.array(keys[0]), "k2": pa.array(keys[1]), "bands": listed})
-
-    return corpus.rows.groupBy("chunk").applyInArrow(run, "chunk long, doc long, n long, k1 long, k2 long, bands array<bigint>")
+    pairs = written(pairs, f"{name}-pairs")
+    every = described.flat(bits, "doc long, " + ", ".join(f"s{k} long" for k in range(words_)))
+    needed = pairs.select("doc").unionByName(pairs.select(F.col("partner").alias("doc"))).distinct()
+    own = written(every.join(needed, "doc", "left_semi").distinct(), f"{name}-bits")
+    other = own.select(F.col("doc").alias("partner"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(words_)])
+    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(words_)), F.lit(0))
+    return pairs.join(own, "doc").join(other, "partner").where(differ <= coordinates - least_agreement(percent, coordinates)).select("doc", "partner").distinct()
 
 
 def _confirmed(corpus: Corpus, pairs: DataFrame, known: DataFrame, percent: int, name: str) -> DataFrame:
     """Of pairs (doc, partner) those whose sets are similar enough, as edges (a, b)."""
-    pairs = written(pairs, f"{name}-pairs")
+    pairs = written(pairs, f"{name}-likely")
     total = pairs.count()
     size = known.agg(F.avg("n")).first()[0] or 1
     shards = max(1, -(-int(6 * total * size) // SHARD))
@@ -156,7 +264,9 @@ def _confirmed(corpus: Corpus, pairs: DataFrame, known: DataFrame, percent: int,
         rows = [(s, r, d, p, packed[i]) for d, p, s, r in zip(*(want.column(c).to_pylist() for c in ("doc", "partner", "shard", "role")), strict=True) for i in own.get(d, ())]
         s, r, d, p, x = zip(*rows, strict=True) if rows else ((),) * 5
         out = pa.table({"shard": pa.array(s, pa.int64()), "role": pa.array(r, pa.int32()), "doc": pa.array(d, pa.int64()), "partner": pa.array(p, pa.int64()), "sets": pa.array(x, pa.binary())})
-        return pa.concat_tables([out.slice(i, BATCH_ROWS) for i in range(0, max(1, len(rows)), BATCH_ROWS)])  # small batches: executors hold one at a time
+        ends = np.searchsorted(np.cumsum([len(y) for y in x]), np.arange(BATCH_BYTES, out.nbytes + BATCH_BYTES, BATCH_BYTES), "right").tolist()
+        cuts = sorted({0, len(rows), *(min(len(rows), i + 1) for i in ends)})
+        return pa.concat_tables([out.slice(i, j - i) for i, j in zip(cuts, cuts[1:] or [0], strict=False)])  # small batches: executors hold one at a time
 
     def unpacked(raw: bytes) -> np.ndarray:
         n = len(raw) // 6
@@ -195,20 +305,27 @@ def _confirmed(corpus: Corpus, pairs: DataFrame, known: DataFrame, percent: int,
 
 
 def _components(corpus: Corpus, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(one row a document as _describe has it, with rep; components (node, component) of documents that are linked with others)."""
-    known = written(_describe(corpus, bands, rows), "signatures")
+    """(one row a document: chunk, doc, n, rep; components (node, component) of documents that are linked with others)."""
+    described = _described(corpus, bands, rows)
+
+    def plain(chunk: int, b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), chunk, np.int64)), *(b.column(b.schema.get_field_index(c)) for c in ("doc", "n", "k1", "k2"))], ["chunk", "doc", "n", "k1", "k2"])
+
+    known = described.flat(plain, "chunk long, doc long, n long, k1 long, k2 long")
     real = known.where("n > 0 AND doc IS NOT NULL")
-    classes = written(real.groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.min_by("bands", "doc").alias("bands")), "classes")
-    spread = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("m"), F.min("rep").alias("least")).where("m > 1").drop("m")
-    members = written(spread.join(shared, "bucket").select("bucket", "least", F.col("rep").alias("doc"), "n"), "buckets")
+    classes = written(real.groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep")), "classes")
+    spread = _shared(described).join(classes.withColumnRenamed("rep", "doc"), ["k1", "k2", "n", "doc"], "left_semi").select("doc", "n", F.explode("buckets").alias("bucket"))
+    spread = written(spread, "spread")
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("m"), F.min("doc").alias("least")).where("m > 1").drop("m")
+    members = written(spread.join(shared, "bucket").select("bucket", "least", "doc", "n"), "buckets")
 
     met = members.where("doc <> least").groupBy("doc", "least").agg(F.count("*").alias("c"))
     first = met.groupBy("doc").agg(F.max_by("least", F.struct("c", -F.col("least"))).alias("partner"))
-    linked = _confirmed(corpus, first, real, percent, "first")
+    first = written(first, "first")
+    linked = _confirmed(corpus, _likely(described, first, percent, bands * rows, "first"), real, percent, "first")
 
     # A doc_id on rows of different classes ties them together.
-    ties = real.join(classes.drop("bands"), ["k1", "k2", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    ties = real.join(classes, ["k1", "k2", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     several = real.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc").alias("a"))
     ties = written(ties.join(several, "a", "left_semi").distinct(), "ties")
     now = connected_components(linked.unionByName(ties))
@@ -225,14 +342,15 @@ def _components(corpus: Corpus, percent: int, bands: int, rows: int) -> tuple[Da
     pairs = pairs.select("u", "doc").groupBy(F.least("u", "doc").alias("x"), F.greatest("u", "doc").alias("y")).agg(F.min("u").alias("partner"))
     pairs = pairs.select("x", "y", "partner", F.when(F.col("partner") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("doc"))
     seen = first.select(F.least("doc", "partner").alias("x"), F.greatest("doc", "partner").alias("y"))
-    second = _confirmed(corpus, pairs.join(seen, ["x", "y"], "left_anti").select("doc", "partner"), real, percent, "second")
+    pairs = pairs.join(seen, ["x", "y"], "left_anti").select("doc", "partner")
+    second = _confirmed(corpus, _likely(described, pairs, percent, bands * rows, "second"), real, percent, "second")
     final = connected_components(now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
-    return known.drop("bands").join(classes.drop("bands"), ["k1", "k2", "n"], "left"), final
+    return known.join(classes, ["k1", "k2", "n"], "left"), final
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, chunk: int | None = None) -> DataFrame:
     """One row a document: (doc_id, n_shingles, component_id, kept). Sizes and links are of full sets; see the module's text."""
-    corpus = Corpus(docs.select("doc_id", "text"), "near", chunk, chunk_min=CHUNK_MIN)
+    corpus = Corpus(docs.select("doc_id", "text"), "near", chunk)
     known, final = _components(corpus, percent, bands, rows)
     c = known.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc")
@@ -241,7 +359,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, chunk: int | None = None) -> DataFrame:
     """The rows of docs that are kept, one document of each component, with all their columns; texts aren't shuffled for it."""
-    corpus = Corpus(docs, "near", chunk, chunk_min=CHUNK_MIN)
+    corpus = Corpus(docs, "near", chunk)
     known, final = _components(corpus, percent, bands, rows)
     c = known.where("doc IS NOT NULL").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     gone = c.where(F.coalesce("component", "rep", "doc") != F.col("doc")).select("chunk", "doc").distinct()

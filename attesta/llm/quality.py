@@ -9,8 +9,8 @@ Plan: (1) one scan computes the statistics, 30 numbers a document, which meet th
 matrix each. (3) A second scan computes statistics and scores as texts stream by. The model is a few hundred numbers.
 
 Cases: null and empty texts have statistics, all 0 but for the constant, and get the score of such. Labels whose quality is null or other than 0 and 1 are
-not learnt from; repeated labels count each; labels without a document don't count. Rows with a null doc_id are held out. Without any label every score
-is 0.5. Columns of the input stay, but for score and predicted, which are replaced.
+not learnt from; repeated labels count each (and documents that repeat an id meet each of its labels); labels without a document don't count. Rows with a null doc_id are held out. Without any label every score
+is 0.5. Texts of any length are taken whole, in some bytes of memory for each byte. Equal statistics have equal scores. Columns of the input stay, but for score and predicted, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Rolling, buffers, chunks, held_out, text_table, tune, with_fields, words, written
+from attesta.llm.common import Hasher, buffers, chunks, held_out, padded, text_table, tune, with_fields, words, written
 
 MAX_ROWS = 200_000
 FEATURES, WIDTH, RIDGE, SEED = 384, 1.0, 1e-3, 7
@@ -39,7 +39,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LINE = np.zeros(256, bool)
 _LINE[10] = True
-_BYTES = Rolling(71)
+_HASH = Hasher(71)
 
 
 def _distinct(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
@@ -62,8 +62,8 @@ def statistics(column: pa.Array) -> np.ndarray:
     w = np.diff(first)
     wdoc = np.repeat(np.arange(n), w)
     some, length = np.maximum(1, w), (e - s).astype(float)
-    prefix = _BYTES.prefix(data)
-    h = _BYTES.ranges(prefix, s, e)
+    raw, wide = padded(data)
+    h = _HASH.ranges(raw, wide, s, e)
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (wdoc[1:] == wdoc[:-1])
     last = _CLASS[data[e - 1]] if len(e) else np.zeros(0, np.uint8)
@@ -94,7 +94,7 @@ def statistics(column: pa.Array) -> np.ndarray:
             share(length <= 3, wdoc) / some,
             _distinct(wdoc, h, n) / some,
             np.log1p(_distinct(wdoc, h, n)),
-            (lines - _distinct(ldoc, _BYTES.ranges(prefix, ls, le), n)) / np.maximum(1, lines),
+            (lines - _distinct(ldoc, _HASH.ranges(raw, wide, ls, le), n)) / np.maximum(1, lines),
             np.log1p(size / np.maximum(1, lines)),
         ],
         1,

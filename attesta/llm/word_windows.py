@@ -3,11 +3,12 @@
 Positions of a text whose number modulo PERIOD lies in COVER are anchors: for any two positions there is a shift below PERIOD that brings both onto
 anchors. Two equal runs of ``width`` words thus share an aligned anchor, whose hash spans the width - PERIOD + 1 words that follow it. Only anchor
 hashes, one position in three, are compared across the corpus first; windows around anchors that occur twice are then extended to full width
-and compared by 96 bits of hash.
+and compared by 96 bits, of two hashes that are independent from the bytes of the words on.
 
 Plan (see exchange): (1) texts are written in chunks; (2) each chunk sends its distinct anchor hashes, and learns which of them other chunks have; (3) it sends the
 distinct windows around repeated anchors with the smallest doc_id that holds each, and learns for which a smaller one exists elsewhere; (4) it drops the
-words. Texts are shuffled at no point. Repeats within a chunk and within a document are settled in the chunk.
+words. Texts are shuffled at no point. Repeats within a chunk and within a document are settled in the chunk. Bytes of a chunk are worked on block by block; what is held
+for the whole of it is some numbers a word.
 
 Cases: null and empty texts have no words. A null doc_id is smaller than every id. Rows that repeat a doc_id are texts of their own of which none is
 earlier than the other; within each of them the earlier start counts. Texts of fewer than ``width`` words keep all. Columns of the input stay, but for
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import NULL_ID, Rolling, buffers, spans, text_table, with_fields, words, written
-from attesta.llm.exchange import Corpus, bits, pack_ids, reply, shard_bounds, split, unpack_ids
+from attesta.llm.common import NULL_ID, Hasher, buffers, padded, spans, text_table, with_fields, words, written
+from attesta.llm.exchange import Corpus, Sent, codes, column, ids_of, reply
 
 WIDTH = 20
 #: {0, 1, 3, 9} is a difference cover modulo 13: every difference modulo 13 is one of two of its members.
@@ -30,48 +31,57 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTES, _ONE, _TWO = Rolling(91), Rolling(92), Rolling(93)
+_ONE, _TWO = Hasher(91), Hasher(92)
+#: Words whose hashes are made at once.
+BLOCK = 1 << 17
 
 
 class _Chunk:
     """Words, anchors and windows of one chunk."""
 
     def __init__(self, batch: pa.RecordBatch, width: int, period: int, cover: tuple[int, ...]):
-        self.data, off = buffers(batch.column(batch.schema.get_field_index("text")))
-        self.start, self.end, self.first = words(self.data, off, _SPACE)
+        data, off = buffers(batch.column(batch.schema.get_field_index("text")))
+        self.raw, self.wide = padded(data)
+        self.start, self.end, self.first = words(data, off, _SPACE)
         self.ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
         n = self.n = np.diff(self.first)
-        self.row = np.repeat(np.arange(len(n)), n)
-        self.h = _BYTES.ranges(_BYTES.prefix(self.data), self.start, self.end)
+        self.row = np.repeat(np.arange(len(n), dtype=np.int32), n)
         self.width, self.period = width, period
         self.span = width - period + 1
         place = np.arange(len(self.row)) - self.first[self.row]
+        rest = n[self.row] - place  # words from here to the end of the text
         inside = np.isin(np.arange(period), cover)
-        enough = n[self.row] >= width
-        self.anchor = np.flatnonzero(inside[place % period] & (place + self.span <= n[self.row]) & enough)
-        self.window = enough & (place + width <= n[self.row])
+        self.window = rest >= width
+        self.anchor = np.flatnonzero(inside[place % period] & (rest >= self.span) & (n[self.row] >= width))
+        self.hashes: dict[int, np.ndarray] = {}
+
+    def of(self, hasher: Hasher, size: int) -> np.ndarray:
+        """Hash of the size words that begin at each word, running over ends of texts; blocks of words, hashed and joined one after another."""
+        n = len(self.start)
+        out = np.empty(max(0, n - size + 1), np.uint64)
+        for a in range(0, len(out), BLOCK):
+            b = min(a + BLOCK, len(out)) + size - 1
+            out[a : b - size + 1] = hasher.windows(hasher.ranges(self.raw, self.wide, self.start[a:b], self.end[a:b]), size)
+        return out
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct hashes, index of each anchor's hash, count of each)."""
-        p = _ONE.prefix(self.h)
-        return np.unique(_ONE.ranges(p, self.anchor, self.anchor + self.span), return_inverse=True, return_counts=True)
+        return np.unique(self.of(_ONE, self.span)[self.anchor] if len(self.anchor) else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
 
-    def repeated(self, found: tuple, given: dict, shards: int) -> np.ndarray:
+    def repeated(self, given: dict, shards: int) -> np.ndarray:
         """Starts of the windows that have an anchor which occurs elsewhere too."""
-        hashes, index, count = found
-        edge = shard_bounds(hashes, shards)
-        twice = np.concatenate([bits(given, 1, k, int(edge[k + 1] - edge[k])) for k in range(shards)]) | (count > 1)
-        sums = np.zeros(len(self.row) + 1, np.int64)
-        at = np.zeros(len(self.row), np.int64)
-        at[self.anchor[twice[index]]] = 1
-        np.cumsum(at, out=sums[1:])
+        hashes, index, count = self.anchors()
+        twice = codes(given, 1, Sent(1, hashes, shards).n).astype(bool) | (count > 1)
+        at = np.zeros(len(self.row) + 1, np.int32)
+        at[self.anchor[twice[index]] + 1] = 1
+        sums = np.cumsum(at, dtype=np.int32)
         w = np.flatnonzero(self.window)
         return w[sums[w + self.period] > sums[w]]
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(order of at by hash, then row, then start; group of each in that order; first hash of each group, second, smallest doc_id)."""
-        one = _ONE.ranges(_ONE.prefix(self.h), at, at + self.width)
-        two = (_TWO.ranges(_TWO.prefix(self.h), at, at + self.width) >> np.uint64(32)).astype(np.uint32)
+        one = self.of(_ONE, self.width)[at] if len(at) else np.zeros(0, np.uint64)
+        two = (self.of(_TWO, self.width)[at] >> np.uint64(32)).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
         order = np.argsort(one, kind="stable")
         a, b = one[order], two[order]
         same = a[1:] == a[:-1]
@@ -86,35 +96,29 @@ class _Chunk:
         return order, np.cumsum(new) - 1, a[head], b[head], least
 
 
-def _many(t: pa.Table) -> list[bytes]:
+def _many(t: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
     """Which hashes more than one request has."""
-    parts = [np.frombuffer(x, np.uint64) for x in t.column("one").to_pylist()]
-    every = np.concatenate(parts)
+    every = np.frombuffer(column(t, "one"), np.uint64)
     order = np.argsort(every, kind="stable")
     s = every[order]
     more = np.zeros(len(s), bool)
     more[1:] = s[1:] == s[:-1]
     more[:-1] |= more[1:]
-    out = np.zeros(len(s), bool)
+    out = np.zeros(len(s), np.uint8)
     out[order] = more
-    return split(out, [len(p) for p in parts])
+    return out, t.column("n").to_numpy().astype(np.int64), 1
 
 
-def _smaller(t: pa.Table) -> list[bytes]:
+def _smaller(t: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
     """For which entries another request has a smaller id."""
-    one = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("one").to_pylist()])
-    two = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("two").to_pylist()])
-    parts = [unpack_ids(x) for x in t.column("ids").to_pylist()]
-    ids = np.concatenate(parts)
+    one, two, ids = np.frombuffer(column(t, "one"), np.uint64), np.frombuffer(column(t, "two"), np.uint32), ids_of(t)
     order = np.lexsort((two, one))
     a, b = one[order], two[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    head = np.flatnonzero(new)
-    least = np.minimum.reduceat(ids[order], head)
-    out = np.zeros(len(a), bool)
-    out[order] = ids[order] > least[np.cumsum(new) - 1]
-    return split(out, [len(p) for p in parts])
+    out = np.zeros(len(a), np.uint8)
+    out[order] = ids[order] > np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out, t.column("n").to_numpy().astype(np.int64), 1
 
 
 def dedup_windows(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, chunk: int | None = None, shards: int | None = None) -> DataFrame:
@@ -126,35 +130,29 @@ def dedup_windows(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, cov
 
     def ask_anchors(batch, _):
         hashes, _, _ = _Chunk(batch, width, period, cover).anchors()
-        edge = shard_bounds(hashes, shards)
-        for k in range(shards):
-            yield {"shard": k, "one": hashes[edge[k] : edge[k + 1]].tobytes()}
+        return [Sent(1, hashes, shards).put("one", hashes)]
 
-    known = written(reply(corpus.ask(ask_anchors, "shard long,chunk long,one binary"), _many, 1), "anchors")
+    known = written(reply(corpus.ask(ask_anchors), _many), "anchors")
 
     def ask_windows(batch, given):
         c = _Chunk(batch, width, period, cover)
-        _, _, one, two, least = c.windows(c.repeated(c.anchors(), given, shards))
-        edge = shard_bounds(one, shards)
-        for k in range(shards):
-            s = slice(edge[k], edge[k + 1])
-            yield {"shard": k, "one": one[s].tobytes(), "two": two[s].tobytes(), "ids": pack_ids(least[s])}
+        _, _, one, two, least = c.windows(c.repeated(given, shards))
+        return [Sent(2, one, shards).put("one", one).put("two", two).put_ids(least)]
 
-    smaller = reply(corpus.ask(ask_windows, "shard long,chunk long,one binary,two binary,ids binary", known), _smaller, 2)
+    smaller = reply(corpus.ask(ask_windows, known), _smaller)
     names = [f for f in docs.columns if f.lower() not in {"text", "n_words", "n_removed"}]
 
     def drop(batch, given):
         c = _Chunk(batch, width, period, cover)
-        at = c.repeated(c.anchors(), given, shards)
+        at = c.repeated(given, shards)
         order, group, one, _, least = c.windows(at)
-        edge = shard_bounds(one, shards)
-        elsewhere = np.concatenate([bits(given, 2, k, int(edge[k + 1] - edge[k])) for k in range(shards)])
+        elsewhere = codes(given, 2, Sent(2, one, shards).n).astype(bool)
         start = at[order]
         row = c.row[start]
         again = np.zeros(len(start), bool)  # an earlier start in the same row: rows ascend within a group, and starts within rows
         again[1:] = (group[1:] == group[:-1]) & (row[1:] == row[:-1])
         gone = start[again | elsewhere[group] | (c.ids[row] > least[group])]
-        delta = np.zeros(len(c.row) + 1, np.int64)
+        delta = np.zeros(len(c.row) + 1, np.int32)
         np.add.at(delta, gone, 1)
         np.add.at(delta, gone + width, -1)
         removed = np.cumsum(delta[:-1]) > 0
@@ -162,12 +160,10 @@ def dedup_windows(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, cov
         n_removed = total[c.first[1:]] - total[c.first[:-1]]
         keep = ~removed
         length = c.end - c.start
-        # every kept word with the space before it, which the first of each row then loses
+        # every kept word with the byte before it, which then is made a space; the first of each row loses it
         size = np.where(keep, length + 1, 0)
-        raw = np.concatenate((np.full(1, 32, np.uint8), c.data))
-        begin = c.start[keep]
-        where = spans(begin, size[keep])  # in raw the byte before a word is at the word's start in data
-        out = raw[where]
+        raw = np.concatenate((np.full(1, 32, np.uint8), c.raw))
+        out = raw[spans(c.start[keep], size[keep])]  # in raw the byte before a word is at the word's start
         heads = np.cumsum(size[keep]) - size[keep]
         out[heads] = 32
         ends = np.concatenate(([0], np.cumsum(size)))

@@ -39,19 +39,37 @@ def test_signatures_are_circulant_and_estimate_jaccard():
     sets = np.concatenate((a, np.unique(b), a[:1]))
     at = np.array([0, len(a), len(a) + len(np.unique(b)), len(sets)])
     s = near_dedup.signatures(sets, at, 160)
-    assert abs((s[0] == s[1]).mean() - 0.6) < 0.12
-    sigma = (common.mix(sets ^ np.uint64(0xC1AC)) >> np.uint64(44)).astype(np.int64)
+    many = near_dedup.signatures(sets, at, 1000)
+    assert abs((many[0] == many[1]).mean() - 0.6) < 0.06
+    place, own = near_dedup._sigma(sets[: len(a)])
     pi = near_dedup._pi(160)
+    assert len(np.unique(pi[:-160])) == near_dedup.PLACES and (pi[-160:] == pi[:160]).all()
     for k in (0, 7, 159):
-        assert s[0, k] == pi[sigma[: len(a)] + k].min()
+        assert s[0, k] == (pi[place + k] ^ own).min()
 
 
-def test_rolling_hash_depends_on_content_only():
-    r = common.Rolling(5)
-    x = np.frombuffer(b"abcabcabcx", np.uint8)
-    p = r.prefix(x)
-    w = r.windows(p, 3)
-    assert w[0] == w[3] == w[6] == r.ranges(p, np.array([3]), np.array([6]))[0] and len(set(w.tolist())) == 4
+def test_signatures_of_sets_larger_than_the_circle():
+    r = np.random.default_rng(4)
+    a = np.unique(r.integers(0, 1 << 63, 1_200_000).astype(np.uint64))
+    sets = np.concatenate((a[:1_000_000], a[200_000:]))
+    s = near_dedup.signatures(sets, np.array([0, 1_000_000, len(sets)]), 64)
+    assert abs((s[0] == s[1]).mean() - 2 / 3) < 0.25 and len(np.unique(s[0])) > 60
+
+
+def test_similar_sets_agree_in_bits():
+    r = np.random.default_rng(6)
+    n, j = 400, 0.75
+    shared = int(2 * n * j / (1 + j))
+    sets, at = [], [0]
+    for _ in range(150):
+        x = r.integers(0, 1 << 63, 2 * n - shared).astype(np.uint64)
+        sets += [np.unique(x[:n]), np.unique(x[n - shared :])]
+        at += [at[-1] + n, at[-1] + 2 * n]
+    k = near_dedup.BANDS * near_dedup.ROWS
+    bit = near_dedup.signatures(np.concatenate(sets), np.array(at), k) & 1
+    agree = (bit[0::2] == bit[1::2]).sum(1)
+    other = (bit[0:-2:2] == bit[2::2]).sum(1)
+    assert agree.min() >= near_dedup.least_agreement(75, k) > other.max()
 
 
 def test_buffers_of_slices_and_nulls():
@@ -73,13 +91,6 @@ def test_chunk_ids_fall_into_one_bucket(spark):
     assert len(set(own)) == 30 and set(exchange.bucket_of(np.array(own), 51).tolist()) == {7} and {i >> 32 for i in own} == {7}
 
 
-def test_ids_are_packed():
-    from attesta.llm import exchange
-
-    for ids in ([], [5], [7, 3, 2**31], [common.NULL_ID, 2**62]):
-        assert exchange.unpack_ids(exchange.pack_ids(np.array(ids, np.int64))).tolist() == ids
-
-
 def test_shared_folder_can_be_emptied(spark):
     kept = common.written(spark.range(3), "some")
     assert kept.count() == 3
