@@ -18,8 +18,9 @@ def lgamma(x) -> np.ndarray:
 
 
 def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The continued fraction of the incomplete beta function, by the modified Lentz method."""
+    """The continued fraction of the incomplete beta function, by the modified Lentz method, of flat arrays. Elements leave the work as they converge."""
     tiny = 1e-300
+    out, live = np.empty_like(x), np.arange(len(x))
     c = np.ones_like(x)
     d = 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
@@ -31,29 +32,63 @@ def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1 + step / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    return h
-
-
-def beta_cdf(x, a, b) -> np.ndarray:
-    """Regularised incomplete beta function."""
-    x, a, b = np.broadcast_arrays(np.asarray(x, float), np.asarray(a, float), np.asarray(b, float))
+        if m % 4 == 0 or m == 299:
+            done = np.abs(d * c - 1) < 1e-15
+            if m == 299 or done.all():
+                break
+            if done.sum() * 4 > len(done):
+                out[live[done]] = h[done]
+                go = ~done
+                live, a, b, x, c, d, h = (v[go] for v in (live, a, b, x, c, d, h))
+    out[live] = h
+    return out
+
+
+def _norm(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The logarithm of 1 / B(a, b), each different pair once."""
+    a, b = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float))
+    pairs, at = np.unique(np.stack([a.ravel(), b.ravel()], 1), axis=0, return_inverse=True)
+    return (lgamma(pairs.sum(1)) - lgamma(pairs[:, 0]) - lgamma(pairs[:, 1]))[at.ravel()].reshape(a.shape)
+
+
+def _cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, norm: np.ndarray) -> np.ndarray:
     inner = np.clip(x, 1e-300, 1 - 1e-16)
-    front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(inner) + b * np.log1p(-inner))
+    front = np.exp(norm + a * np.log(inner) + b * np.log1p(-inner))
     low = inner < (a + 1) / (a + b + 2)
     p, q, y = np.where(low, a, b), np.where(low, b, a), np.where(low, inner, 1 - inner)
     part = front * _fraction(p, q, y) / p
     return np.clip(np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(low, part, 1 - part))), 0, 1)
 
 
+def beta_cdf(x, a, b) -> np.ndarray:
+    """Regularised incomplete beta function."""
+    norm = _norm(a, b)
+    x, a, b, norm = np.broadcast_arrays(np.asarray(x, float), np.asarray(a, float), np.asarray(b, float), norm)
+    return _cdf(x.ravel(), a.ravel(), b.ravel(), norm.ravel()).reshape(x.shape)
+
+
+def _normal_quantile(q: np.ndarray) -> np.ndarray:
+    """To three digits, as a place to start from."""
+    t = np.sqrt(-2 * np.log(np.minimum(q, 1 - q)))
+    z = t - (2.30753 + 0.27061 * t) / (1 + t * (0.99229 + 0.04481 * t))
+    return np.where(q < 0.5, -z, z)
+
+
 def beta_quantile(q, a, b) -> np.ndarray:
-    """Inverse of beta_cdf: Newton steps that a shrinking bracket guards."""
-    q, a, b = (v.copy() for v in np.broadcast_arrays(np.asarray(q, float), np.asarray(a, float), np.asarray(b, float)))
-    lo, hi, x = np.zeros_like(q), np.ones_like(q), a / (a + b)
-    norm = lgamma(a + b) - lgamma(a) - lgamma(b)
-    for _ in range(120):
-        f = beta_cdf(x, a, b) - q
+    """Inverse of beta_cdf: Newton steps that a shrinking bracket guards, from a normal quantile; elements leave the work as they converge."""
+    norm = _norm(a, b)
+    q, a, b, norm = (v for v in np.broadcast_arrays(np.asarray(q, float), np.asarray(a, float), np.asarray(b, float), norm))
+    shape = q.shape
+    q, a, b, norm = (v.ravel() for v in (q, a, b, norm))
+    out = np.where(q <= 0, 0.0, np.where(q >= 1, 1.0, np.nan))
+    live = np.flatnonzero((q > 0) & (q < 1))
+    q, a, b, norm = q[live], a[live], b[live], norm[live]
+    lo, hi = np.zeros_like(q), np.ones_like(q)
+    with np.errstate(all="ignore"):  # a logit that is nearly normal, for the start only
+        x = 1 / (1 + np.exp(-(np.log(a / b) + _normal_quantile(q) * np.sqrt(1 / a + 1 / b))))
+    x = np.where((x > 0) & (x < 1), x, a / (a + b))
+    for turn in range(120):
+        f = _cdf(x, a, b, norm) - q
         hi, lo = np.where(f > 0, x, hi), np.where(f > 0, lo, x)
         safe = np.clip(x, 1e-300, 1 - 1e-16)
         slope = np.exp(norm + (a - 1) * np.log(safe) + (b - 1) * np.log1p(-safe))
@@ -62,9 +97,14 @@ def beta_quantile(q, a, b) -> np.ndarray:
         new = np.where(np.isfinite(step) & (step > lo) & (step < hi), step, (lo + hi) / 2)
         done = np.abs(new - x) <= 1e-15 + 1e-14 * x
         x = new
-        if np.all(done):
-            break
-    return np.where(q <= 0, 0.0, np.where(q >= 1, 1.0, x))
+        if done.any() or turn == 119:
+            out[live[done]] = x[done]
+            go = ~done
+            if turn == 119 or not go.any():
+                out[live] = x
+                break
+            live, q, a, b, norm, lo, hi, x = (v[go] for v in (live, q, a, b, norm, lo, hi, x))
+    return out.reshape(shape)
 
 
 def quantile_grid(a: float, b: float, n: int) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import expressions as E
 from attesta.functions.special import tarone_p_udf
+from attesta.sources.shared import spread
 
 MIN_SUPPORT = 8
 
@@ -41,7 +42,7 @@ def pvalues(groups: DataFrame, by: list[str]) -> DataFrame:
     """by, z, p: with the simulated null beyond the screen. Only tallies reach Python, and only of groups that can be tested."""
     z = overdispersion(groups, by).where("z IS NOT NULL").select(*by, "z")
     arrays = groups.where("n > 0").groupBy(*by).agg(F.collect_list("n").alias("ns"), F.collect_list("k").alias("ks"))
-    return z.join(arrays, by).withColumn("p", tarone_p_udf()("ns", "ks")).drop("ns", "ks")
+    return spread(z.join(arrays, by), *by).withColumn("p", tarone_p_udf()("ns", "ks")).drop("ns", "ks")
 
 
 def benjamini_hochberg(tests: DataFrame, family: list[str], order: list[str], alpha: float = 0.05) -> DataFrame:

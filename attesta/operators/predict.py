@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import expressions as E
-from attesta.functions.special import beta_quantile, quantile_grid
+from attesta.functions.special import beta_quantile
+from attesta.sources.shared import spread
 
 SAMPLES, LEAST, EXACT, GAMMA = 512, 64, 12, 0.5
 EPI_PRIOR = {"crisp": (1.0, 1.0), "frequency": (99.0, 1.0)}
@@ -26,23 +27,72 @@ def samples_for(budget: int) -> int:
     return max(LEAST, min(SAMPLES, budget)) if budget < 1000 else SAMPLES
 
 
-@functools.lru_cache(maxsize=65_536)
-def permutation(tag: str, n: int) -> np.ndarray:
-    """A shuffle of n that depends on the tag only."""
-    order, mask = list(range(n)), (1 << 64) - 1
-    state = int.from_bytes(sha256(tag.encode()).digest()[:8], "big")
+class _Kept(dict):
+    """What was made lately, bounded by entries."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def add(self, keys, values) -> None:
+        if len(self) + len(keys) > self.most:
+            self.clear()
+        self.update(zip(keys, values, strict=True))
+
+
+_SHUFFLES, _GRIDS = _Kept(8_192), _Kept(4_096)
+
+
+def permutations(tags: list[str], n: int) -> np.ndarray:
+    """(tags, n): a shuffle of n for each tag that depends on the tag only; all tags take each of the n steps together."""
+    m = len(tags)
+    order = np.tile(np.arange(n), (m, 1))
+    state = np.array([int.from_bytes(sha256(t.encode()).digest()[:8], "big") for t in tags], np.uint64)
+    rows = np.arange(m)
     for i in range(n - 1, 0, -1):
-        state = (state + 0x9E3779B97F4A7C15) & mask
-        z = ((state ^ (state >> 30)) * 0xBF58476D1CE4E5B9) & mask
-        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & mask
-        j = (z ^ (z >> 31)) % (i + 1)
-        order[i], order[j] = order[j], order[i]
-    return np.array(order)
+        state = state + np.uint64(0x9E3779B97F4A7C15)
+        z = (state ^ (state >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        j = ((z ^ (z >> np.uint64(31))) % np.uint64(i + 1)).astype(np.int64)
+        here = order[:, i].copy()
+        order[:, i] = order[rows, j]
+        order[rows, j] = here
+    return order
+
+
+def permutation(tag: str, n: int) -> np.ndarray:
+    if (tag, n) not in _SHUFFLES:
+        _SHUFFLES.add([(tag, n)], permutations([tag], n))
+    return _SHUFFLES[tag, n]
+
+
+def grids(pairs: list[tuple[float, float]], n: int) -> np.ndarray:
+    """(pairs, n): quantile_grid() of all of them at once."""
+    a, b = np.array(pairs, float).reshape(-1, 2).T
+    return beta_quantile(((np.arange(n) + 0.5) / n)[None, :], a[:, None], b[:, None])
 
 
-@functools.lru_cache(maxsize=16_384)
 def _grid(a: float, b: float, n: int) -> np.ndarray:
-    return quantile_grid(a, b, n)
+    if (a, b, n) not in _GRIDS:
+        _GRIDS.add([(a, b, n)], grids([(a, b)], n))
+    return _GRIDS[a, b, n]
+
+
+def _prepare(tags: set[str], pairs: set[tuple[float, float]], n: int) -> None:
+    """Make the shuffles and grids of a batch of problems together, before they are asked for one by one."""
+    tags, pairs = sorted(t for t in tags if (t, n) not in _SHUFFLES), sorted(p for p in pairs if (*p, n) not in _GRIDS)
+    if tags:
+        _SHUFFLES.add([(t, n) for t in tags], permutations(tags, n))
+    if pairs:
+        _GRIDS.add([(*p, n) for p in pairs], grids(pairs, n))
+
+
+#: Problems whose shuffles and grids are made together.
+TOGETHER = 256
+
+
+def _parts(pdf: pd.DataFrame):
+    for a in range(0, len(pdf), TOGETHER):
+        yield pdf.iloc[a : a + TOGETHER]
 
 
 def mass(dnf: list[list[str]], p: dict[str, np.ndarray], n: int) -> np.ndarray:
@@ -131,15 +181,27 @@ def predict_frequency(composed: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """RESULT of every fact as its own goal, from composed counts (fact, epi_a, epi_b, alea_n, alea_k)."""
 
     def run(frames):
-        for pdf in frames:
-            rows = []
-            for r in pdf.itertuples():
-                a, b = EPI_PRIOR["frequency"]
-                st = {"stmt_type": "frequency", "epi": (a + r.epi_a, b + r.epi_b), "alea": (1 + r.alea_k, 1 + max(0.0, r.alea_n - r.alea_k))}
-                rows.append({"goal": r.fact} | solve([[r.fact]], {r.fact: st}, samples=samples))
-            yield pd.DataFrame(rows)
-
-    return composed.mapInPandas(run, RESULT)
+        q = (np.arange(samples) + 0.5) / samples
+        a, b = EPI_PRIOR["frequency"]
+        for whole in frames:
+            for pdf in _parts(whole):
+                m = len(pdf)
+                epi = np.stack([a + pdf.epi_a.to_numpy(float), b + pdf.epi_b.to_numpy(float)], 1)
+                alea = np.stack([1 + pdf.alea_k.to_numpy(float), 1 + np.maximum(0.0, pdf.alea_n.to_numpy(float) - pdf.alea_k.to_numpy(float))], 1)
+                shuffles = permutations([f + t for f in pdf.fact for t in ("|bernoulli", "|validity", "|rate")], samples).reshape(m, 3, samples)
+                both, at = np.unique(np.concatenate((epi, alea)), axis=0, return_inverse=True)
+                made = grids(both, samples)
+                valid, rate = made[at.ravel()[:m]], made[at.ravel()[m:]]
+                truth = q[shuffles[:, 0]] < np.take_along_axis(valid, shuffles[:, 1], 1)
+                theta = np.take_along_axis(rate, shuffles[:, 2], 1)
+                got = truth * theta
+                lo, hi = np.quantile(theta, [0.05, 0.95], axis=1)
+                p, mean = got.mean(1), theta.mean(1)
+                p = np.where((lo <= p) & (p <= hi), p, np.minimum(hi, np.maximum(lo, mean)))
+                on = epi[:, 0] / epi.sum(1) >= 0.5
+                yield pd.DataFrame({"goal": pdf.fact.to_numpy(), "p": p, "ci_lo": lo, "ci_hi": hi, "epistemic": got.std(1), "aleatoric": mean, "rejected": 0.0, "tension": False, "sensitivity": [{f: v} for f, v in zip(pdf.fact, mean.tolist(), strict=True)], "mpe": [{f: int(v)} for f, v in zip(pdf.fact, on.tolist(), strict=True)]})
+
+    return spread(composed, "fact").mapInPandas(run, RESULT)
 
 
 def predict_crisp(votes: DataFrame, confusion: DataFrame, log_lr: DataFrame | None = None, samples: int = SAMPLES) -> DataFrame:
@@ -154,7 +216,8 @@ def predict_crisp(votes: DataFrame, confusion: DataFrame, log_lr: DataFrame | No
     rows = known.groupBy("fact").agg(F.array_sort(F.collect_list("v")).alias("votes"))
 
     def run(frames):
-        for pdf in frames:
+        for pdf in (x for whole in frames for x in _parts(whole)):
+            _prepare({f + "|bernoulli" for f in pdf.fact}, set(), samples)
             out = []
             for fact, votes in zip(pdf.fact, pdf.votes, strict=True):
                 vs = [v if isinstance(v, dict) else v.asDict() for v in votes]
@@ -163,14 +226,17 @@ def predict_crisp(votes: DataFrame, confusion: DataFrame, log_lr: DataFrame | No
                 out.append({"goal": fact} | solve([[fact]], {fact: st}, confusion=conf, samples=samples))
             yield pd.DataFrame(out)
 
-    return rows.mapInPandas(run, RESULT)
+    return spread(rows, "fact").mapInPandas(run, RESULT)
 
 
 def predict_goals(problems: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """RESULT of goals with several supports: problems (goal, dnf array<array<string>>, facts array<struct<fact, stmt_type, epi_a, epi_b, alea_a, alea_b, pinned>>, exclusive array<array<string>>)."""
 
     def run(frames):
-        for pdf in frames:
+        for pdf in (x for whole in frames for x in _parts(whole)):
+            get = lambda f, k: f[k] if isinstance(f, dict) else getattr(f, k)
+            every = [f for fs in pdf.facts for f in fs]
+            _prepare({get(f, "fact") + t for f in every for t in ("|bernoulli", "|validity", "|rate")}, {(float(get(f, x)), float(get(f, y))) for f in every for x, y in (("epi_a", "epi_b"), ("alea_a", "alea_b"))}, samples)
             out = []
             for r in pdf.itertuples():
                 get = lambda f, k: f[k] if isinstance(f, dict) else getattr(f, k)
@@ -178,7 +244,7 @@ def predict_goals(problems: DataFrame, samples: int = SAMPLES) -> DataFrame:
                 out.append({"goal": r.goal} | solve([list(c) for c in r.dnf], facts, [list(g) for g in r.exclusive], samples=samples))
             yield pd.DataFrame(out)
 
-    return problems.mapInPandas(run, RESULT)
+    return spread(problems, "goal").mapInPandas(run, RESULT)
 
 
 def mpe(facts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.special import avalanche_udf, fisher_p_udf, tarone_p_udf
+from attesta.sources.shared import spread
 
 MIN_SIDE, ALPHA = 8, 0.01
 SCALES = (8, 16, 32)
@@ -36,7 +37,7 @@ def changepoints(series: DataFrame, by: list[str], alpha: float = ALPHA) -> Data
     """locate() with p: the exact test of the two sides times the places searched; detected from enough support on both sides and p up to alpha."""
     out = locate(series, by)
     n2 = F.col("n") - F.col("n1")
-    out = out.withColumn("fisher", fisher_p_udf()("k1", "n1", F.col("k") - F.col("k1"), n2))
+    out = spread(out, *by).withColumn("fisher", fisher_p_udf()("k1", "n1", F.col("k") - F.col("k1"), n2))
     searched = F.greatest(F.lit(1), F.col("n") - 2 * MIN_SIDE + 1)
     out = out.withColumn("p", F.least(F.lit(1.0), F.col("fisher") * searched))
     return out.withColumn("detected", (F.col("n") >= 2 * MIN_SIDE) & (F.least(F.col("n1"), n2) >= MIN_SIDE) & (F.col("p") <= alpha))
@@ -61,7 +62,7 @@ def temporal_dispersion(series: DataFrame, alpha: float = 0.05) -> DataFrame:
     scale = F.filter(F.array(*map(F.lit, SCALES)), lambda s: F.col("n") >= 3 * s)
     blocks = numbered.select("fact", "x", "i", F.size(scale).alias("m"), F.explode(scale).alias("size")).groupBy("fact", "m", "size", F.floor(F.col("i") / F.col("size")).alias("block")).agg(F.count("*").alias("n"), F.sum("x").alias("k")).where("n = size")
     tested = blocks.groupBy("fact", "m", "size").agg(F.collect_list("n").alias("ns"), F.collect_list("k").alias("ks"))
-    p = tested.withColumn("raw", tarone_p_udf()("ns", "ks")).where("raw IS NOT NULL AND raw < 0.5").withColumn("p", F.least(F.lit(1.0), F.col("raw") * F.col("m")))
+    p = spread(tested, "fact", "size").withColumn("raw", tarone_p_udf()("ns", "ks")).where("raw IS NOT NULL AND raw < 0.5").withColumn("p", F.least(F.lit(1.0), F.col("raw") * F.col("m")))
     best = p.where(F.col("p") <= alpha).groupBy("fact").agg(F.min(F.struct("p", "size")).alias("b"))
     return best.select("fact", F.col("b.p").alias("p"), F.col("b.size").alias("size"))
 

@@ -657,15 +657,7 @@ def _(s, d):
     return constraints.violations(a, [("status", "mutex", {"pred": "status", "exclusive_values": ["F", "O"], "value_position": 1})])
 
 
-@query("alias_component", """WITH RECURSIVE e AS (SELECT s_name AS a, 'n' || s_nationkey AS b FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation WHERE n_nationkey % 4 <> 0),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS symbol, min(b) AS component FROM r GROUP BY a""")
-def _(s, d):
-    n = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    e = adapters.table(s, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("canonical"), n("n", "s_nationkey").alias("alias"))
-    return components.alias_members(e.unionByName(adapters.table(s, d, "nation").where("n_nationkey % 4 <> 0").select(n("n", "n_nationkey").alias("canonical"), n("r", "n_regionkey").alias("alias"))))
-
-
-@query("alias_component_all", """WITH RECURSIVE e AS (SELECT s_name AS a, 'n' || s_nationkey AS b FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+@query("alias_component", """WITH RECURSIVE e AS (SELECT s_name AS a, 'n' || s_nationkey AS b FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS symbol, min(b) AS component FROM r GROUP BY a""")
 def _(s, d):
     n = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
@@ -711,47 +703,39 @@ def _questions(s, d):
     return adapters.table(s, d, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
-def _bm25(s, d):
-    c = _corpus(s, d)
-    post = checkpointed(retrieval.postings(c))
-    df, n = retrieval.statistics(c, post)
+def _bm25(s, d, k):
+    bag = checkpointed(retrieval.bags(_corpus(s, d)))
+    df, n = retrieval.statistics(bag)
     terms = _questions(s, d).select("query", F.explode(retrieval.tokens(F.coalesce("text", F.lit("")))).alias("term")).withColumn("mix", F.lit(1.0))
-    return _round(retrieval.bm25(terms, post, df, n), "score"), terms, post, df, n
+    return retrieval.ranked(retrieval.bm25(terms, bag, df, n, k, 6), k), terms, bag, df, n
 
 
 @query("tokenize_counts", f"WITH {_TOK} SELECT term, sum(tf)::BIGINT AS n FROM post GROUP BY term")
 def _(s, d):
-    return retrieval.postings(_corpus(s, d)).groupBy("term").agg(F.sum("tf").alias("n"))
+    return retrieval.postings(retrieval.bags(_corpus(s, d))).groupBy("term").agg(F.sum("tf").alias("n"))
 
 
 @query("bm25_topk", f"WITH {_TOK} SELECT query, entry, score, rank::INT AS rank FROM rk WHERE rank <= 10")
 def _(s, d):
-    return retrieval.ranked(_bm25(s, d)[0], 10)
+    return _bm25(s, d, 10)[0]
 
 
 @query("rm3_terms", f"""WITH {_TOK}, top AS (SELECT query, entry FROM rk WHERE rank <= 10), g AS (SELECT top.query, post.term, sum(tf / l * ln(1 + (n.n - df + 0.5) / (df + 0.5))) AS gain FROM top JOIN post USING (entry) JOIN len USING (entry) JOIN df ON df.term = post.term, n
 WHERE length(post.term) >= 3 AND NOT regexp_matches(post.term, '^[0-9]+$') AND NOT EXISTS (SELECT 1 FROM q WHERE q.query = top.query AND q.term = post.term) GROUP BY ALL)
 SELECT query, term, 0.4::DOUBLE AS mix FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(gain, 12) DESC, term) AS r FROM g) WHERE r <= 8""")
 def _(s, d):
-    scores, terms, post, df, n = _bm25(s, d)
-    return retrieval.feedback_terms(scores, terms, post, df, n)
+    top, terms, bag, df, n = _bm25(s, d, 10)
+    return retrieval.feedback_terms(top, terms, bag, df, n)
 
 
 @query("rrf_fusion", f"WITH {_TOK}, two AS (SELECT query, entry, rank FROM rk WHERE rank <= 10 UNION ALL SELECT query, entry, row_number() OVER (PARTITION BY query ORDER BY entry) AS rank FROM rk WHERE rank <= 5) SELECT query, entry, round(sum(1 / (60 + rank)), 9) AS score FROM two GROUP BY ALL")
 def _(s, d):
-    top = retrieval.ranked(_bm25(s, d)[0], 10)
+    top = _bm25(s, d, 10)[0]
     other = top.where("rank <= 5").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("entry")))
     return _round(retrieval.fuse([top, other]), "score", digits=9)
 
 
-@query("cosine_topk", """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id < 5), p AS (SELECT query, vec_id AS entry, round(list_sum(list_transform(list_zip(a, embedding::DOUBLE[]), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a, lambda x: x * x))) * sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))), 6) AS score FROM embeddings, q)
-SELECT query, entry, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, entry) AS rank FROM p) WHERE rank <= 10""")
-def _(s, d):
-    v = adapters.table(s, d, "embeddings").select(F.col("vec_id").alias("entry"), "embedding")
-    return retrieval.ranked(_round(retrieval.cosine(v.where("entry < 5").select(F.col("entry").alias("query"), F.col("embedding").alias("vector")), v), "score"), 10)
-
-
-@query("cosine_topk_all", """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT query, vec_id AS entry, round(list_sum(list_transform(list_zip(a, embedding::DOUBLE[]), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a, lambda x: x * x))) * sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))), 6) AS score FROM embeddings, q)
+@query("cosine_topk", """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT query, vec_id AS entry, round(list_sum(list_transform(list_zip(a, embedding::DOUBLE[]), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a, lambda x: x * x))) * sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))), 6) AS score FROM embeddings, q)
 SELECT query, entry, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, entry) AS rank FROM p) WHERE rank <= 10""")
 def _(s, d):
     v = adapters.table(s, d, "embeddings").select(F.col("vec_id").alias("entry"), "embedding")
@@ -761,7 +745,7 @@ def _(s, d):
 @query("ranking_metrics", f"""WITH {_TOK}, gold AS (SELECT query, entry FROM rk WHERE rank IN (1, 3, 12)), g AS (SELECT query, count(*) AS g FROM gold GROUP BY query), h AS (SELECT query, count(*) AS h, sum(1 / log2(rank + 1)) AS dcg, max(1 / rank) AS mrr FROM rk JOIN gold USING (query, entry) WHERE rank <= 10 GROUP BY query)
 SELECT query, round(h / g, 6) AS recall, round(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= g), 6) AS ndcg, round(mrr, 6) AS mrr FROM g JOIN h USING (query)""")
 def _(s, d):
-    r = retrieval.ranked(_bm25(s, d)[0])
+    r = _bm25(s, d, 12)[0]
     gold = r.where("rank IN (1, 3, 12)").select("query", F.col("entry").alias("item"))
     return _round(calibration.ranking_metrics(r.withColumnRenamed("entry", "item"), gold), "recall", "ndcg", "mrr")
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (local runs, tests) a folder of this process."""
+    """spark.checkpoint.dir. Where that is unset, a local run gets a folder of its own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file:///tmp/attesta-{os.getuid()}-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     spark.sparkContext.setCheckpointDir(found)
@@ -18,6 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from reliable storage: what came before isn't computed again, whichever executor goes."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a table in the shared folder: what came before isn't computed again, whichever executor goes, and later plans prune its columns."""
+    path = f"{shared_dir(df.sparkSession)}/attesta/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df over as many partitions as the session shuffles into, which small but costly rows keep (others are put together at run time)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
