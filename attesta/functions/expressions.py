@@ -120,3 +120,51 @@ def span_ref(entry: Column, content_hash: Column, offset: Column) -> Column:
 
 def content_hash(text: Column | str) -> Column:
     return F.substring(F.sha2(_c(text).cast("binary"), 256), 1, 32)
+
+
+def plain(text: Column | str) -> Column:
+    """Lower case, with white space as single spaces and none at the ends."""
+    return F.lower(F.trim(F.regexp_replace(_c(text), r"\s+", " ")))
+
+
+def holds_span(text: Column | str, span: Column | str, least: int = 20) -> Column:
+    """Whether a span, plain and of at least so many characters, is in a text."""
+    needle = plain(span)
+    return (F.length(needle) >= least) & F.contains(plain(text), needle)
+
+
+def longest_shared(a: Column, b: Column, most: int = 24) -> Column:
+    """Length of the longest run of tokens, up to most, that two arrays of tokens share."""
+    grams = lambda x, n: F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.array_max(F.array(*[F.when(F.arrays_overlap(grams(a, n), grams(b, n)), n).otherwise(0) for n in range(1, most + 1)])), F.lit(0))
+
+
+def in_training(key: Column | str, salt: str = "20260725", percent: int = 50) -> Column:
+    """A fixed split by a hash of salt and key: true for about percent of 100."""
+    word = F.conv(F.substring(F.sha2(F.concat(F.lit(salt), _c(key).cast("string")).cast("binary"), 256), 1, 8), 16, 10).cast("long")
+    return word % 100 < percent
+
+
+def shifted_number(text: Column | str, factor: float) -> Column:
+    """text with its first number other than 0 and 1 times factor, to as many decimals; null if there is none or nothing changes."""
+    number = F.regexp_extract(_c(text), r"(?<![\d.])(?!(?:0|1)(?![\d.]))(\d+(?:\.\d+)?)", 1)
+    decimals = F.length(F.regexp_extract(number, r"\.(\d+)$", 1))
+    value = number.try_cast("double") * factor
+    made = F.when(decimals == 0, F.bround(value).cast("long").cast("string"))
+    for d in range(1, 7):
+        made = F.when(decimals == d, F.format_string(f"%.{d}f", value)).otherwise(made)
+    at = F.instr(_c(text), number)
+    out = F.concat(F.substring(_c(text), F.lit(1), at - 1), made, F.substring(_c(text), at + F.length(number), F.length(_c(text))))
+    return F.when((number != "") & (made != number), out)
+
+
+def negated(text: Column | str) -> Column:
+    """text with its first auxiliary verb negated; null if it has none that isn't already."""
+    pattern = r"(?i)\b(is|are|was|were|can|will|should|must|does|has)\b(?! not\b|n't)"
+    return F.when(_c(text).rlike(pattern), F.regexp_replace(_c(text), r"(?is)^(.*?)\b(is|are|was|were|can|will|should|must|does|has)\b(?! not\b|n't)", "$1$2 not"))
+
+
+def swapped(text: Column, own: Column, other: Column) -> Column:
+    """text with the first own, in any case, as other; null without one."""
+    at = F.instr(F.lower(text), F.lower(own))
+    return F.when((at > 0) & (F.lower(own) != F.lower(other)), F.concat(F.substring(text, F.lit(1), at - 1), other, F.substring(text, at + F.length(own), F.length(text))))

@@ -167,6 +167,12 @@ def fisher_p(k1: int, n1: int, k2: int, n2: int) -> float:
     return float(min(1.0, np.exp(lp[lp <= lp[k1 - x[0]] + 1e-9]).sum()))
 
 
+def coin_evidence(right: int, wrong: int) -> float:
+    """expressions.direction_evidence() of two numbers."""
+    p = (right + 0.5) / (right + wrong + 1)
+    return math.copysign(1.0, right - wrong) * (right * math.log(2 * p) + wrong * math.log(2 * (1 - p)))
+
+
 def tarone_p_udf():
     """p-value of arrays of group sizes and successes."""
 

@@ -62,8 +62,8 @@ def strata(rules: list[Rule]) -> list[list[Rule]]:
     raise ValueError("a predicate depends on its own negation")
 
 
-def _matches(atoms: DataFrame, lit: Literal) -> DataFrame:
-    """Bindings of a literal: one column a variable."""
+def _matches(atoms: DataFrame, lit: Literal, carry: tuple[str, str] | None = None) -> DataFrame:
+    """Bindings of a literal: one column a variable; carry names a column of atoms and what it is called here."""
     df = atoms.where((F.col("pred") == lit.pred) & (F.size("args") == len(lit.args)))
     seen: dict[str, int] = {}
     for i, t in enumerate(lit.args):
@@ -73,25 +73,33 @@ def _matches(atoms: DataFrame, lit: Literal) -> DataFrame:
             df = df.where(F.col("args")[i] == F.col("args")[seen[t]])
         else:
             seen[t] = i
-    return df.select(*[F.col("args")[i].alias(t) for t, i in seen.items()], F.lit(1).alias("_one"))
+    more = [F.col(carry[0]).alias(carry[1])] if carry else []
+    return df.select(*[F.col("args")[i].alias(t) for t, i in seen.items()], F.lit(1).alias("_one"), *more)
 
 
-def _fire(rule: Rule, atoms: DataFrame, new: DataFrame | None) -> DataFrame | None:
-    """Head atoms; with new, only those that use at least one new atom (a union over which literal takes it)."""
+def bodies(rule: Rule, atoms: DataFrame, new: DataFrame | None, carry: str | None = None):
+    """Bindings under which a rule's body holds, if they bind its head; with new, those that use at least one new atom (one table for each literal that takes it).
+
+    Literals meet on the variables they share. One that shares none with those before it multiplies only what is needed of it: the variables that occur elsewhere, and
+    nothing but its existence where there are none, so a product is made only where the head itself is one."""
     positive = [b for b in rule.body if not b.negated]
-    out = None
     for turn in range(len(positive)) if new is not None else [-1]:
         bound = None
         for i, lit in enumerate(positive):
-            m = _matches(new if i == turn else atoms, lit)
+            m = _matches(new if i == turn else atoms, lit, (carry, f"_{carry}{i}") if carry else None)
             if bound is None:
                 bound = m
                 continue
             shared = [c for c in m.columns if c in bound.columns and c != "_one"]
             m = m.drop("_one")
-            bound = bound.join(m, shared) if shared else bound.crossJoin(m)
+            if shared:
+                bound = bound.join(m, shared)
+                continue
+            elsewhere = {*rule.head.args, *(v for v, _, _ in rule.guards), *(t for j, x in enumerate(rule.body) if x is not lit for t in x.args)}
+            m = m.select(*[f"`{c}`" for c in m.columns if c in elsewhere or c.startswith("_")]).distinct()
+            bound = bound.crossJoin(m) if m.columns else bound.join(m.withColumn("_two", F.lit(1)).limit(1), F.lit(True), "left_semi")
         if bound is None:
-            return None
+            return
         for lit in (b for b in rule.body if b.negated):
             if any(variable(t) and t not in bound.columns for t in lit.args):
                 bound = bound.limit(0)
@@ -102,21 +110,30 @@ def _fire(rule: Rule, atoms: DataFrame, new: DataFrame | None) -> DataFrame | No
         for var, op, value in rule.guards:
             bound = bound.where(guard_holds(F.col(f"`{var}`"), op, value)) if var in bound.columns else bound.limit(0)
         if any(variable(t) and t not in bound.columns for t in rule.head.args):
-            return None
+            return
+        yield bound
+
+
+def _fire(rule: Rule, atoms: DataFrame, new: DataFrame | None) -> DataFrame | None:
+    """Head atoms of a rule."""
+    out = None
+    for bound in bodies(rule, atoms, new):
         head = bound.select(F.lit(rule.head.pred).alias("pred"), F.array(*[F.col(f"`{t}`") if variable(t) else F.lit(t) for t in rule.head.args]).cast("array<string>").alias("args"))
         out = head if out is None else out.unionByName(head)
     return out
 
 
-def closure(atoms: DataFrame, rules: list[Rule], blocked: DataFrame | None = None) -> DataFrame:
-    """All derivable atoms: rounds go on until one makes nothing new, which comes, as rules make no new terms. blocked atoms (those pinned as false) hold neither as given nor as derived."""
+def closure_within(atoms: DataFrame, rules: list[Rule], blocked: DataFrame | None = None, rounds: int | None = None) -> tuple[DataFrame, bool]:
+    """(derivable atoms, whether they are all): at most so many rounds a stratum, without a limit until one makes nothing new, which comes, as rules make no new terms.
+
+    blocked atoms (those pinned as false) hold neither as given nor as derived."""
     known = atoms.select("pred", "args").distinct()
     if blocked is not None:
         known = known.join(blocked.select("pred", "args"), ["pred", "args"], "left_anti")
     known = checkpointed(known)
     for group in strata(rules):
-        new = None
-        while True:
+        new, left = None, rounds
+        while left is None or left > 0:
             made = [d for r in group if (d := _fire(r, known, new)) is not None]
             if not made:
                 break
@@ -130,13 +147,21 @@ def closure(atoms: DataFrame, rules: list[Rule], blocked: DataFrame | None = Non
             if not new.head(1):
                 break
             known = checkpointed(known.unionByName(new))
-    return known
+            left = None if left is None else left - 1
+        else:
+            return known, False  # a later stratum's negations would see an unfinished one
+    return known, True
+
+
+def closure(atoms: DataFrame, rules: list[Rule], blocked: DataFrame | None = None) -> DataFrame:
+    """All derivable atoms, see closure_within()."""
+    return closure_within(atoms, rules, blocked)[0]
 
 
-def derive(goals: DataFrame, closed: DataFrame) -> DataFrame:
-    """goals (pred, args) with status proved or refuted: membership of the finished closure, as one semi-join. Cut-off search is prove()'s third value."""
+def derive(goals: DataFrame, closed: DataFrame, complete: bool = True) -> DataFrame:
+    """goals (pred, args) with status: proved if closed has them; else refuted where closed is complete, and truncated where its rounds were cut short."""
     hit = closed.select("pred", "args", F.lit("proved").alias("status"))
-    return goals.join(hit, ["pred", "args"], "left").withColumn("status", F.coalesce("status", F.lit("refuted")))
+    return goals.join(hit, ["pred", "args"], "left").withColumn("status", F.coalesce("status", F.lit("refuted" if complete else "truncated")))
 
 
 @dataclass

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.canon import CanonicalError, canonical_args, fact_key
 from attesta.operators import constraints as C
+from attesta.functions.special import coin_evidence
 from attesta.operators import verifier
 
 SUPPORT, ALIAS_SIMILARITY, SUPERSEDE_ALPHA, HYSTERESIS = 8, 0.85, 0.01, 3.0
@@ -38,15 +39,6 @@ class Rejected(Exception):
         self.step, self.reason = step, reason
 
 
-def evidence(right: int, wrong: int) -> float:
-    n = right + wrong
-    if not n:
-        return 0.0
-    p = (right + 0.5) / (n + 1)
-    nats = right * math.log(2 * p) + wrong * math.log(2 - 2 * p)
-    return nats if right >= wrong else -nats
-
-
 def _group(c: C.Constraint, pred: str, args: list) -> tuple | None:
     name, kind, body = c
     if body.get("pred") != pred:
@@ -134,7 +126,7 @@ def _rule(r: Registry, b: dict, guard: bool) -> dict:
         same = [d for d in r.demoted if all(d.get(k) == b.get(k) for k in ("target_fact", "conditioning_key", "value"))]
         if same:
             record = b.get("post_demotion", hold)
-            if not record or evidence(int(record.get("hits", 0)), int(record.get("misses", 0))) <= evidence(int(same[-1]["misses"]), int(same[-1]["hits"])) + math.log(HYSTERESIS):
+            if not record or coin_evidence(int(record.get("hits", 0)), int(record.get("misses", 0))) <= coin_evidence(int(same[-1]["misses"]), int(same[-1]["hits"])) + math.log(HYSTERESIS):
                 raise Rejected(4, "demoted before, and new evidence doesn't overcome it")
         support = b.get("support") or {}
         if min(int(support.get("left", 0)), int(support.get("right", 0))) < SUPPORT:

@@ -230,7 +230,9 @@ def predict_crisp(votes: DataFrame, confusion: DataFrame, log_lr: DataFrame | No
 
 
 def predict_goals(problems: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """RESULT of goals with several supports: problems (goal, dnf array<array<string>>, facts array<struct<fact, stmt_type, epi_a, epi_b, alea_a, alea_b, pinned>>, exclusive array<array<string>>)."""
+    """RESULT of goals with several supports: problems (goal, dnf array<array<string>>, facts array<struct<fact, stmt_type, epi_a, epi_b, alea_a, alea_b, pinned[, votes]>>, exclusive array<array<string>>).
+
+    votes: array<struct<actor, vote, sig, count, log_lr, tp, fn, fp, tn>>, by class as predict_crisp() makes them."""
 
     def run(frames):
         for pdf in (x for whole in frames for x in _parts(whole)):
@@ -239,9 +241,13 @@ def predict_goals(problems: DataFrame, samples: int = SAMPLES) -> DataFrame:
             _prepare({get(f, "fact") + t for f in every for t in ("|bernoulli", "|validity", "|rate")}, {(float(get(f, x)), float(get(f, y))) for f in every for x, y in (("epi_a", "epi_b"), ("alea_a", "alea_b"))}, samples)
             out = []
             for r in pdf.itertuples():
-                get = lambda f, k: f[k] if isinstance(f, dict) else getattr(f, k)
-                facts = {get(f, "fact"): {"stmt_type": get(f, "stmt_type"), "epi": (get(f, "epi_a"), get(f, "epi_b")), "alea": (get(f, "alea_a"), get(f, "alea_b")), "pinned": get(f, "pinned")} for f in r.facts}
-                out.append({"goal": r.goal} | solve([list(c) for c in r.dnf], facts, [list(g) for g in r.exclusive], samples=samples))
+                facts, conf = {}, {}
+                for f in r.facts:
+                    f = f if isinstance(f, dict) else f.asDict()
+                    votes = [v if isinstance(v, dict) else v.asDict() for v in (f.get("votes") if f.get("votes") is not None else ())]
+                    conf |= {v["actor"]: (v["tp"], v["fn"], v["fp"], v["tn"]) for v in votes}
+                    facts[f["fact"]] = {"stmt_type": f["stmt_type"], "epi": (f["epi_a"], f["epi_b"]), "alea": (f["alea_a"], f["alea_b"]), "pinned": f["pinned"], "votes": votes}
+                out.append({"goal": r.goal} | solve([list(c) for c in r.dnf], facts, [list(g) for g in r.exclusive], conf, samples))
             yield pd.DataFrame(out)
 
     return spread(problems, "goal").mapInPandas(run, RESULT)

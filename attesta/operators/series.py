@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,19 +87,32 @@ def flaky(votes: DataFrame, factor: int = 2) -> DataFrame:
 def cusum(series: DataFrame, threshold: float = 5.0, drift: float = 0.5) -> DataFrame:
     """(fact, alarm): number of the first observation at which a two-sided cumulative sum of standardised deviations passes the threshold, or null.
 
-    A fold over arrays, for facts with a bounded series; the sweep uses locate() instead.
-    """
-    arrays = series.groupBy("fact").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("hit").cast("double").alias("x")))), lambda s: s["x"]).alias("xs"))
-    mean = F.aggregate("xs", F.lit(0.0), lambda a, x: a + x) / F.size("xs")
-    sd = F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-12)))
-    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("alarm"))
-
-    def step(a, x):
-        z = (x - F.col("m")) / F.col("sd")
-        up, down = F.greatest(F.lit(0.0), a["up"] + z - drift), F.greatest(F.lit(0.0), a["down"] - z - drift)
-        return F.struct(up.alias("up"), down.alias("down"), (a["i"] + 1).alias("i"), F.coalesce(a["alarm"], F.when((up > threshold) | (down > threshold), a["i"])).alias("alarm"))
-
-    return arrays.withColumn("m", mean).withColumn("sd", sd).select("fact", F.aggregate("xs", start, step)["alarm"].alias("alarm"))
+    A fold over sorted partitions as they stream by: a series of any length takes the memory of one batch."""
+    x = F.col("hit").cast("double")
+    mean = series.groupBy("fact").agg(F.avg(x).alias("m")).withColumn("sd", F.sqrt(F.greatest(F.col("m") * (1 - F.col("m")), F.lit(1e-12))))
+    rows = spread(series.join(mean, "fact").select("fact", "seq", ((x - F.col("m")) / F.col("sd")).alias("z")), "fact").sortWithinPartitions("fact", "seq")
+    kind = series.schema["fact"].dataType.simpleString()
+
+    def fold(batches):
+        now, alarm, state = None, None, (0.0, 0.0, 0)
+        for b in batches:
+            out = []
+            for fact, z in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if now != (fact,):
+                    if now is not None:
+                        out.append((now[0], alarm))
+                    now, alarm, state = (fact,), None, (0.0, 0.0, 0)
+                if alarm is None:
+                    up, down, i = max(0.0, state[0] + z - drift), max(0.0, state[1] - z - drift), state[2]
+                    alarm = i if up > threshold or down > threshold else None
+                    state = up, down, i + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in out], b.column(0).type), pa.array([x for _, x in out], pa.int32())], ["fact", "alarm"])
+            last = b.column(0).type
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now[0]], last), pa.array([alarm], pa.int32())], ["fact", "alarm"])
+
+    return rows.mapInArrow(fold, f"fact {kind}, alarm int")
 
 
 def pin_tension(obs: DataFrame, pins: DataFrame, threshold: int = 3) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions import canon
 from attesta.functions import expressions as X
-from attesta.operators import calibration, claims, components, conjecture, constraints, datalog, dispersion, gate, predict, retrieval, series, sweep, tallies, trust
-from attesta.sources import adapters, ledger
+from attesta.operators import assemble, calibration, claims, components, conjecture, constraints, datalog, dispersion, gate, predict, retrieval, series, sweep, tallies, trust
+from attesta.sources import adapters, ledger, state
 from attesta.sources.shared import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,7 +222,10 @@ def _(s, d):
     return series.flaky(v)
 
 
-@query("cusum_alarm")
+@query("cusum_alarm", f"""WITH RECURSIVE {_E}, h AS (SELECT fact, row_number() OVER (PARTITION BY fact ORDER BY seq) - 1 AS i, outcome::INT AS x, avg(outcome::INT) OVER (PARTITION BY fact) AS m FROM e WHERE outcome IS NOT NULL),
+z AS (SELECT fact, i, (x - m) / sqrt(greatest(m * (1 - m), 1e-12)) AS z FROM h),
+f(fact, i, up, down) AS (SELECT fact, i, greatest(0, z - 0.5)::DOUBLE, greatest(0, -z - 0.5)::DOUBLE FROM z WHERE i = 0 UNION ALL SELECT z.fact, z.i, greatest(0, up + z - 0.5), greatest(0, down - z - 0.5) FROM f JOIN z ON f.fact = z.fact AND z.i = f.i + 1)
+SELECT fact, min(i) FILTER (up > 5 OR down > 5)::INT AS alarm FROM f GROUP BY fact""")
 def _(s, d):
     return series.cusum(_hits(s, d))
 
@@ -259,12 +262,12 @@ def _(s, d):
 
 @query("sweep_categorical")
 def _(s, d):
-    return sweep.sweep_categorical(adapters.from_orders(s, d))
+    return sweep.sweep_categorical(adapters.from_orders_by_priority(s, d))
 
 
 @query("guard_decisions")
 def _(s, d):
-    return gate.guard_decisions(sweep.sweep_categorical(adapters.from_orders(s, d)))
+    return gate.guard_decisions(sweep.sweep_categorical(adapters.from_orders_by_priority(s, d)))
 
 
 @query("open_questions")
@@ -510,6 +513,115 @@ def _(s, d):
     return predict.rate_interval(QUERIES["posterior_mean_rate"](s, d))
 
 
+def _nation_rules(s, d):
+    """(base, rules): who supplies which nation, and what follows for nations and regions."""
+    n = F.col("s_nationkey").cast("string")
+    base = adapters.table(s, d, "supplier").select(F.lit("supplies").alias("pred"), F.array("s_name", n).alias("args"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("fact"))
+    k = F.col("n_nationkey").cast("string")
+    base = base.unionByName(adapters.table(s, d, "nation").select(F.lit("lies").alias("pred"), F.array(k, F.col("n_regionkey").cast("string")).alias("args"), F.concat(F.lit("n"), k).alias("fact")))
+    L = datalog.Literal
+    rules = [datalog.Rule("r1", L("served", ("?n",)), (L("supplies", ("?s", "?n")),)), datalog.Rule("r2", L("reached", ("?r",)), (L("served", ("?n",)), L("lies", ("?n", "?r"))))]
+    return base, rules
+
+
+@query("support_sets", """WITH s AS (SELECT s_nationkey AS n, list_sort(['s' || s_suppkey, 'r1']) AS sup FROM supplier), first AS (SELECT n, min(sup) AS f FROM s GROUP BY n)
+SELECT 'served' AS pred, n::VARCHAR AS arg, array_to_string(list_sort(list(array_to_string(sup, '+'))), ',') AS supports FROM s GROUP BY n
+UNION ALL SELECT 'reached', n_regionkey::VARCHAR, array_to_string(list_sort(list(array_to_string(list_sort(list_distinct(list_concat(f, ['n' || n_nationkey, 'r2']))), '+'))), ',') FROM first JOIN nation ON n = n_nationkey GROUP BY n_regionkey""")
+def _(s, d):
+    base, rules = _nation_rules(s, d)
+    found = assemble.supports(base, rules).where("pred IN ('served', 'reached')")
+    return found.select("pred", F.col("args")[0].alias("arg"), F.array_join(F.array_sort(F.transform("supports", lambda x: F.array_join(x, "+"))), ",").alias("supports"))
+
+
+def _nation_goals(s, d):
+    n = F.col("n_nationkey").cast("string")
+    return adapters.table(s, d, "nation").select(F.concat(F.lit("served:"), n).alias("goal"), F.lit("served").alias("pred"), F.array(n).alias("args"))
+
+
+def _nation_facts(s, d):
+    base, _ = _nation_rules(s, d)
+    rate = adapters.table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("fact"), F.when(F.col("s_acctbal") > 5000, 3.0).otherwise(1.0).alias("a"))
+    a = F.coalesce("a", F.lit(9.0))
+    return base.join(rate, "fact", "left").select("fact", "pred", "args", F.lit("crisp").alias("stmt_type"), a.alias("epi_a"), F.lit(2.0).alias("epi_b"), F.lit(1.0).alias("alea_a"), F.lit(1.0).alias("alea_b"), F.lit(False).alias("pinned"))
+
+
+_ONE_SUPPLIER = [("one", "mutex", {"pred": "supplies", "value_position": 0})]
+
+
+@query("goal_problems", """WITH s AS (SELECT s_nationkey AS n, count(*) AS c FROM supplier GROUP BY s_nationkey)
+SELECT 'served:' || n_nationkey AS goal, greatest(1, coalesce(c, 0))::INT AS conjuncts, coalesce(c, 0)::INT AS facts, (coalesce(c, 0) > 0)::INT AS groups, coalesce(c, 0)::INT AS members FROM nation LEFT JOIN s ON n = n_nationkey""")
+def _(s, d):
+    base, rules = _nation_rules(s, d)
+    p = assemble.problems(_nation_goals(s, d), assemble.supports(base, rules), _nation_facts(s, d), _ONE_SUPPLIER)
+    return p.select("goal", F.size("dnf").alias("conjuncts"), F.size("facts").alias("facts"), F.size("exclusive").alias("groups"), F.coalesce(F.size(F.get("exclusive", F.lit(0))), F.lit(0)).alias("members"))
+
+
+@query("predict_derived")
+def _(s, d):
+    base, rules = _nation_rules(s, d)
+    claims = QUERIES["isotonic_fit"](s, d).select("x", "y")
+    return assemble.predict_all(_nation_goals(s, d), base, rules, _nation_facts(s, d), knots=claims).drop("mpe", "sensitivity")
+
+
+def _log(s, d):
+    """(events, payloads) of all observations, in order, and a retraction of one source at the end."""
+    o = adapters.from_events(s, d)
+    said = F.to_json(F.struct("fact", "outcome", "value"))
+    rows = o.select(F.col("seq").alias("order"), F.col("ts_ms").alias("ts"), F.lit("observation").alias("kind"), "actor", said.alias("payload"))
+    last = s.createDataFrame([(1 << 60, 0, "retraction", "human:operator", '{"actor":"agent:3","restored":"false"}')], "order long, ts long, kind string, actor string, payload string")
+    rows = rows.unionByName(last).withColumn("payload_hash", F.sha2(F.col("payload").cast("binary"), 256))
+    none = F.lit(None).cast("string")
+    events = ledger.chain(rows.select("order", "ts", "kind", "actor", "payload_hash", none.alias("source_ref"), none.alias("context_sig")), ["order"])
+    return checkpointed(events), rows.select("payload_hash", "payload").distinct()
+
+
+def _half(s, d, events):
+    n = adapters.table(s, d, "events").count()
+    return assemble.snapshot_id(events.where(F.col("seq") == n // 2).head()["hash"] if n > 1 else ledger.GENESIS, assemble.map_hash(None))
+
+
+@query("counts_at_snapshot", f"WITH {_E}, o AS (SELECT *, row_number() OVER (ORDER BY seq) AS r, count(*) OVER () AS c FROM e) SELECT fact, actor, count(*) AS n, count(*) FILTER (outcome) AS k FROM o WHERE r <= c // 2 AND actor <> 'agent:3' AND outcome IS NOT NULL GROUP BY fact, actor")
+def _(s, d):
+    events, payloads = _log(s, d)
+    obs = assemble.observations(events, payloads, assemble.cutoff_of(events, assemble.parse_snapshot(_half(s, d, events))["ledger_head"]))
+    return tallies.fact_counts(obs).drop("channel")
+
+
+@query("predict_at")
+def _(s, d):
+    events, payloads = _log(s, d)
+    return assemble.predict_at(events, payloads, _half(s, d, events)).drop("mpe", "sensitivity")
+
+
+@query("conjecture_claims", """WITH c AS (SELECT s_nationkey::VARCHAR AS n, min(s_name) AS a FROM supplier GROUP BY s_nationkey) SELECT 'likely' AS pred, n AS arg, 'supplied' AS via, 0.75::DOUBLE AS predicted_p FROM c WHERE n::INT % 5 <> 0""")
+def _(s, d):
+    own = adapters.table(s, d, "supplier").select(F.col("s_nationkey").cast("string").alias("n")).distinct()
+    args = F.array("n").alias("args")
+    found = own.select(F.lit("likely").alias("pred"), args, F.explode(F.array(F.struct(F.lit("supplied").alias("via"), F.lit(0.9).alias("sim")), F.struct(F.lit("other").alias("via"), F.lit(0.4).alias("sim")))).alias("x")).select("pred", "args", "x.via", "x.sim")
+    known = own.select(F.lit("supplied").alias("pred"), args, F.lit(0.75).alias("p"), F.lit(0.5).alias("ci_lo"), F.lit(0.9).alias("ci_hi"))
+    filed = own.where("cast(n as int) % 5 = 0").select(F.lit("likely").alias("pred"), args, F.lit(assemble.CONJECTURE).alias("predictor_class"), F.lit(False).alias("resolved"))
+    return assemble.file_conjectures(found, known, filed, 1).select("pred", F.col("args")[0].alias("arg"), "via", "predicted_p")
+
+
+@query("statement_lookup", """SELECT n_nationkey::VARCHAR AS nation, (SELECT arg_min('f' || s_suppkey, (CASE WHEN s_suppkey % 2 = 0 THEN 'provides' ELSE 'supplies' END, s_suppkey)) FROM supplier WHERE s_nationkey = n_nationkey) AS fact FROM nation""")
+def _(s, d):
+    own = adapters.table(s, d, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, "provides").otherwise("supplies").alias("pred"), F.array(F.col("s_nationkey").cast("string")).alias("args"), F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("fact"), F.col("s_suppkey").cast("long").alias("seq"))
+    asked = adapters.table(s, d, "nation").select(F.lit("supplies").alias("pred"), F.array(F.col("n_nationkey").cast("string")).alias("args"))
+    same = components.alias_members(s.createDataFrame([("provides", "supplies")], "canonical string, alias string"))
+    return state.lookup(asked, own, same).select(F.col("args")[0].alias("nation"), "fact")
+
+
+@query("training_split", "SELECT doc_id, ('0x' || substr(sha256('20260725' || doc_id), 1, 8))::BIGINT % 100 < 50 AS training FROM documents")
+def _(s, d):
+    return adapters.table(s, d, "documents").select("doc_id", X.in_training("doc_id").alias("training"))
+
+
+@query("categorical_caveats", f"WITH {_E} SELECT DISTINCT fact, 'under_specified' AS caveat FROM e WHERE fact::INT % 3 <> 0")
+def _(s, d):
+    o = adapters.from_events(s, d)
+    return assemble.under_specified(o, o.where("cast(fact as int) % 3 = 0").select("fact", F.lit("kbin").alias("key")).distinct())
+
+
 # ---- log
 
 @query("retraction_filter", """WITH e AS (SELECT event_id AS seq, 'agent:' || (event_id % 7) AS actor FROM events), r AS (SELECT 'agent:' || (event_id // 500 % 7) AS actor, event_id AS seq, event_id // 500 % 2 = 1 AS restored FROM events WHERE event_id % 500 = 499),

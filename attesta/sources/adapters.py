@@ -58,6 +58,22 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def from_orders_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categorical facts, one for each 25th of the customers, in which a condition is at work: urgent orders are always finished, the others have their status."""
+    o = table(spark, sf_dir, "orders")
+    urgent = F.col("o_orderpriority").substr(1, 1).isin("1", "2")
+    return o.select(
+        F.col("o_orderkey").alias("seq"),
+        _ms("o_orderdate").alias("ts_ms"),
+        (F.col("o_custkey") % 25).cast("string").alias("fact"),
+        F.concat(F.lit("agent:"), (F.col("o_orderkey") % 3).cast("string")).alias("actor"),
+        F.lit(None).cast("boolean").alias("outcome"),
+        F.when(urgent, "F").otherwise(F.col("o_orderstatus")).alias("value"),
+        F.lit(None).cast("double").alias("confidence"),
+        F.create_map(F.lit("urgency"), F.when(urgent, "urgent").otherwise("normal"), F.lit("priority"), F.col("o_orderpriority")).alias("ctx"),
+    )
+
+
 def judges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(reports, settlements): documents as claims, four simple judges that vote on each, and the quality label as the outcome of those with an odd id."""
     docs = table(spark, sf_dir, "documents")

@@ -52,3 +52,14 @@ def build_corpus(texts: DataFrame, shortest: int = 240, longest: int = 6000) ->
 def retrieval_log(results: DataFrame, actor: str) -> DataFrame:
     """(actor, query, spans) rows for the side log; write them with mode append."""
     return results.groupBy("query").agg(F.array_sort(F.collect_list(span_ref(F.col("entry"), F.col("content_hash"), F.col("offset")))).alias("spans")).select(F.lit(actor).alias("actor"), "query", "spans")
+
+
+def extracted(events: DataFrame, predicates: list[str], vocabulary: dict[str, tuple[list[str], str]]) -> DataFrame:
+    """Observations that a reader found in texts, cleaned: events (epoch, pred, arg, outcome, ctx map) of known predicates, with a plain argument and an outcome, each once.
+
+    vocabulary: key of ctx -> (values, what others become). Of equal (pred, arg, outcome, epoch) the smallest ctx stays; the result is in order of epoch only when it is sorted by it."""
+    arg = F.lower(F.trim(F.col("arg")))
+    ctx = F.create_map(*[x for k, (values, other) in vocabulary.items() for x in (F.lit(k), F.when(F.col("ctx")[k].isin(values), F.col("ctx")[k]).otherwise(other))])
+    good = events.where(F.col("pred").isin(predicates) & F.col("outcome").isNotNull()).select("epoch", "pred", arg.alias("arg"), "outcome", ctx.alias("ctx")).where(F.col("arg").rlike(r"^[a-z0-9][a-z0-9 _.-]*$"))
+    key = F.to_json("ctx")
+    return good.groupBy("pred", "arg", "outcome", "epoch").agg(F.min_by("ctx", key).alias("ctx"))

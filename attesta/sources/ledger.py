@@ -10,12 +10,12 @@ from collections.abc import Iterable
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions.canon import canon_json
 
-KINDS = {"assertion", "gate_run", "admission", "observation", "claim", "resolution", "pin", "supersede", "retraction", "redaction", "reliability", "calibration", "demotion"}
+KINDS = {"alias", "assertion", "gate_run", "admission", "observation", "claim", "resolution", "pin", "supersede", "retraction", "redaction", "reliability", "calibration", "demotion"}
 GENESIS = "0" * 64
 EVENT = "seq long, ts long, kind string, actor string, payload_hash string, source_ref string, context_sig string, prev_hash string, hash string"
 PAYLOAD = "payload_hash string, payload string"
@@ -115,22 +115,47 @@ class Ledger:
     def restore(self, name: str, head: str, schema: str) -> DataFrame:
         return self._read(f"derived/{name}/{head}", schema)
 
-
-def verify(events: DataFrame) -> DataFrame:
-    """(seq, bad_hash, bad_link, bad_seq) of events that break the chain. Hashes are recomputed in parallel; links need one sorted pass."""
-    w = Window.orderBy("seq")
-    ranged = events.withColumn("own", hash_column())
-    linked = ranged.select("seq", (F.col("own") != F.col("hash")).alias("bad_hash"), (F.col("prev_hash") != F.coalesce(F.lag("hash").over(w), F.lit(GENESIS))).alias("bad_link"), (F.col("seq") != F.coalesce(F.lag("seq").over(w), F.lit(0)) + 1).alias("bad_seq"))
-    return linked.where("bad_hash OR bad_link OR bad_seq")
+    def restorable(self, name: str) -> tuple[str, int] | None:
+        """(head, seq) of the newest checkpoint of name that this log's chain holds, without a retraction or redaction after it, which would change what it was made from."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(f"{self.path}/derived/{name}")
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return None
+        heads = [x.getPath().getName() for x in fs.listStatus(folder) if fs.exists(hadoop.Path(x.getPath(), "_SUCCESS"))]  # an unfinished one has no mark
+        events = self.events()
+        changed = events.where(F.col("kind").isin("retraction", "redaction")).agg(F.max("seq")).first()[0] or 0
+        found = events.where(F.col("hash").isin(heads) & (F.col("seq") >= changed)).select("seq", "hash").orderBy(F.desc("seq")).head() if heads else None
+        return (found["hash"], found["seq"]) if found else None
+
+    def resume(self, name: str, schema: str) -> tuple[DataFrame, DataFrame]:
+        """(checkpointed table, events since): the newest checkpoint that holds, and what is to be added to it; an empty table and the whole log where none does."""
+        at = self.restorable(name)
+        if at is None:
+            return self.spark.createDataFrame([], schema), self.events()
+        return self.restore(name, at[0], schema), self.events().where(F.col("seq") > at[1])
+
+    def replay(self, folds: dict[str, tuple]) -> str:
+        """Make every derived table again from the log alone, folds (name -> function of (live events), key columns), checkpoint it and return the hash of them all."""
+        live_now = live(self.events(), self.payloads())
+        tables = {}
+        for name, (fold, key) in folds.items():
+            table = fold(live_now)
+            head = self.checkpoint(name, table)
+            tables[name] = (self.restore(name, head, table.schema), key)
+        return closure_hash(tables)
 
 
 def verify_links(events: DataFrame) -> DataFrame:
-    """verify() without a global sort: the predecessor comes by an equi-join on seq."""
-    before = events.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("h"))
+    """(seq, bad_hash, bad_link, bad_seq) of events that break the chain. Hashes are recomputed in parallel and the predecessor comes by an equi-join on seq: no global sort.
+
+    A seq that several events have is bad for each of them; the first event must follow from nothing."""
+    before = events.groupBy((F.col("seq") + 1).alias("seq")).agg(F.min("hash").alias("h"))
+    twice = events.groupBy("seq").agg(F.count("*").alias("m"))
     first = events.agg(F.min("seq").alias("s"))
-    j = events.withColumn("own", hash_column()).join(before, "seq", "left").crossJoin(F.broadcast(first))
+    j = events.withColumn("own", hash_column()).join(before, "seq", "left").join(twice, "seq").crossJoin(F.broadcast(first))
     start = F.col("seq") == F.col("s")
-    out = j.select("seq", (F.col("own") != F.col("hash")).alias("bad_hash"), F.when(start, F.col("prev_hash") != GENESIS).otherwise(F.coalesce(F.col("prev_hash") != F.col("h"), F.lit(False))).alias("bad_link"), (~start & F.col("h").isNull()).alias("bad_seq"))
+    out = j.select("seq", (F.col("own") != F.col("hash")).alias("bad_hash"), F.when(start, F.col("prev_hash") != GENESIS).otherwise(F.coalesce(F.col("prev_hash") != F.col("h"), F.lit(False))).alias("bad_link"), ((~start & F.col("h").isNull()) | (F.col("m") > 1)).alias("bad_seq"))
     return out.where("bad_hash OR bad_link OR bad_seq")
 
 
