@@ -4,15 +4,16 @@ A line's key is the line without ASCII white space at its ends, A-Z lower-cased.
 that hold the key and the largest doc_id among them. Keys of at least ``min_chars`` code points in at least ``min_docs`` documents are *hot*: their
 lines go from all documents but that with the largest id.
 
-Plan: (1) every task pre-aggregates the keys it sees, then one shuffle of (hash, count, max) sums them: a key that fills a third of all rows arrives
-once per flush of a task. (2) Cuckoo filters over the hot keys, one per shard, go to all tasks if their measured size is within BROADCAST_BYTES;
-lines that the filter refuses need no lookup. Beyond that size all long lines are looked up. (3) What the filter passes is joined exactly with
-the hot table; keys too frequent for one join partition are few by count (each has HEAVY documents) and are joined apart, spread by a salt.
-(4) The keys to drop return to their documents by doc_id.
-
-Cases: null or empty text is one empty line. A null doc_id counts as a document and is smaller than every id. Rows that repeat a doc_id are documents
-of their own for the count, and all rows that hold the largest id keep their lines. Empty tables give empty results. Columns of the input stay,
-but for n_lines and n_dropped, which are replaced.
+Plan (see exchange): (1) texts are written in chunks. (2) Each chunk sends its distinct keys, each with its largest doc_ids (up to min_docs of them, enough to
+tell how many distinct ones there are), packed, to the shard of the key's hash; a key that fills a third of all rows arrives there once a chunk. (3) A shard
+makes the exact table of its keys and a cuckoo filter over the hot ones; keys that the filter refuses need no lookup, the others are looked up. Back go two bits
+an entry: not hot, hot with the largest id here, or hot with a larger id elsewhere. (4) The chunk drops lines. Texts are shuffled at no point.
+
+Incremental use: LineIndex keeps the tables and filters, takes documents in and lets go of them again.
+
+Cases: null or empty text is one empty line. Rows that repeat a doc_id are one document for the count, and all rows that hold the largest id keep their lines. A row
+without doc_id is a document of its own, smaller than every id. A key that repeats in a document counts once. Empty tables give empty results. Texts of any length
+are taken whole. Columns of the input stay, whatever their names, but for text, n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -21,20 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BROADCAST_BYTES, NULL_ID, SPACE, buffers, chunks, mix, shared_path, text_table, tune, with_fields, written
+from attesta.llm.common import BROADCAST_BYTES, NULL_ID, SPACE, buffers, mix, text_table, tune, with_fields, written
+from attesta.llm.exchange import Corpus, Sent, codes, column, ids_of, reply
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Documents from which a key is joined with a salt, and the number of salts.
-HEAVY, SALTS = 50_000, 64
-#: Distinct keys that a task holds before it hands them on.
-HELD_KEYS = 200_000
 #: Keys that one filter shard is made for.
 SHARD_KEYS = 1 << 20
+#: Text bytes of a shard of the batch operator: some 200,000 lines, and as many keys at most.
+SHARD_BYTES = 24 << 20
+#: Appended tables of an index that are put together again.
+SEGMENTS = 16
 
 
 class CuckooFilter:
@@ -97,12 +98,16 @@ class CuckooFilter:
     def delete(self, hi: np.ndarray, lo: np.ndarray) -> None:
         """Remove one fingerprint for each key; keys must be held."""
         fp, a = self._place(hi, lo)
-        for f, i, j in zip(fp, a, self._other(fp, a), strict=True):  # keys whose last document went: few
-            for b in (i, j):
-                hit = np.flatnonzero(self.table[b] == f)
-                if len(hit):
-                    self.table[b, hit[0]] = 0
-                    break
+        b = self._other(fp, a)
+        while len(fp):
+            at = np.where((self.table[a] == fp[:, None]).any(1), a, b)
+            _, one = np.unique(at, return_index=True)  # one key a bucket and round
+            hit = self.table[at[one]] == fp[one, None]
+            held = hit.any(1)
+            self.table[at[one[held]], hit[held].argmax(1)] = 0
+            rest = np.ones(len(fp), bool)
+            rest[one] = False
+            fp, a, b = fp[rest], a[rest], b[rest]
 
     def to_bytes(self) -> bytes:
         return self.table.tobytes()
@@ -143,150 +148,116 @@ def _split(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def key_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The exact reference-count table: (hi, lo, n_docs, max_id) by key hash."""
-
-    def count(batches):
-        held: dict[bytes, list[int]] = {}
-
-        def flush():
-            hi, lo = _split(list(held))
-            n, top = np.array(list(held.values()), np.int64).reshape(-1, 2).T
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(n), pa.array(top)], ["hi", "lo", "n", "top"])
-
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
-                doc = NULL_ID if doc is None else doc
-                for k in set(_keys(text, min_chars)):
-                    if k:
-                        x = held.get(k)
-                        if x is None:
-                            held[k] = [1, doc]
-                        else:
-                            x[0] += 1
-                            x[1] = max(x[1], doc)
-            if len(held) >= HELD_KEYS:
-                yield flush()
-        if held:
-            yield flush()
-
-    parts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "hi long, lo long, n long, top long")
-    return parts.groupBy("hi", "lo").agg(F.sum("n").alias("n_docs"), F.max("top").alias("max_id"))
-
-
 def shard_of(n_shards: int):
     return F.pmod(F.col("hi"), F.lit(n_shards))
 
 
-def filters(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
-    """(shard, filter) of distinct key hashes, and the number of shards."""
-    n_shards = max(1, -(-n_keys // SHARD_KEYS))
-
-    def build(table: pa.Table) -> pa.Table:
-        f = CuckooFilter.of(table.column("hi").to_numpy(), table.column("lo").to_numpy())
-        return pa.table({"shard": table.column("shard")[:1], "filter": pa.array([f.to_bytes()], pa.binary())})
-
-    return keys.select(shard_of(n_shards).alias("shard"), "hi", "lo").groupBy("shard").applyInArrow(build, "shard long, filter binary"), n_shards
-
-
-def _probe_with(spark: SparkSession, hot: DataFrame, n_hot: int):
-    """A function (hi, lo) -> mask from broadcast filters, or None where they would be too large."""
-    if n_hot * 6 > BROADCAST_BYTES:  # at worst about 5 bytes a key after doubling
-        return None
-    made, n_shards = filters(hot, n_hot)
-    raw = {int(r["shard"]): bytes(r["filter"]) for r in made.collect()}  # bounded just above
-    held = spark.sparkContext.broadcast(raw)
-
-    def probe(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-        out, shard = np.zeros(len(hi), bool), np.mod(hi, n_shards)
-        for s, blob in held.value.items():
-            own = np.flatnonzero(shard == s)
-            if len(own):
-                out[own] = CuckooFilter(table=np.frombuffer(blob, np.uint16).reshape(-1, CuckooFilter.SLOTS)).contains(hi[own], lo[own])
-        return out
-
-    return probe
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+class _Lines:
+    """The long lines of a chunk: their text, place and key."""
+
+    def __init__(self, batch: pa.RecordBatch, min_chars: int, most: int):
+        self.ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+        self.texts = list(_texts(batch.column(batch.schema.get_field_index("text"))))
+        keys, row, place = [], [], []
+        for i, text in enumerate(self.texts):
+            for j, k in enumerate(_keys(text, min_chars)):
+                if k:
+                    keys.append(k)
+                    row.append(i)
+                    place.append(j)
+        self.row, self.place = np.array(row, np.int64), np.array(place, np.int64)
+        hi, lo = (x.view(np.uint64) for x in _split(keys))
+        order = np.lexsort((lo, hi))
+        new = np.ones(len(order), bool)
+        new[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
+        self.key = np.empty(len(order), np.int64)
+        self.key[order] = np.cumsum(new) - 1
+        self.hi, self.lo = hi[order[new]], lo[order[new]]
+        # of each key the largest distinct ids, most at most; rows without id are distinct
+        own = self.ids[self.row]
+        order = np.lexsort((self.row, -1 - own, self.key))  # -1 - x falls as x rises and doesn't overflow
+        k, d, r = self.key[order], own[order], self.row[order]
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | ((d[1:] == NULL_ID) & (r[1:] != r[:-1]))
+        k, d = k[fresh], d[fresh]
+        some = np.arange(len(k)) - np.searchsorted(k, k) < most
+        self.of, self.id = k[some], d[some]
+        self.head = np.searchsorted(self.of, np.arange(len(self.hi)))
+
+    def sent(self, shards: int) -> Sent:
+        return Sent(1, self.hi[self.of], shards).put("one", np.stack((self.hi[self.of], self.lo[self.of]), 1)).put_ids(self.id)
+
+
+def _hot(min_docs: int):
+    def hot(t: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
+        """For each (key, id): 0 the key isn't hot, 1 it is and the id is the largest, 2 it is and another id is larger."""
+        both, ids = np.frombuffer(column(t, "one"), np.uint64).reshape(-1, 2), ids_of(t)
+        order = np.lexsort((ids, both[:, 1], both[:, 0]))
+        k, d = both[order], ids[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]).any(1)
+        head = np.flatnonzero(new)
+        fresh = new.copy()
+        fresh[1:] |= (d[1:] != d[:-1]) | (d[1:] == NULL_ID)
+        # the exact table: hash, documents, largest id
+        count, top, keys = np.add.reduceat(fresh.astype(np.int64), head), np.maximum.reduceat(d, head), k[head]
+        f = CuckooFilter.of(*(keys[count >= min_docs, i].view(np.int64) for i in (0, 1)))
+        at = np.flatnonzero(f.contains(*(np.ascontiguousarray(k[:, i]).view(np.int64) for i in (0, 1))))
+        own = (np.cumsum(new) - 1)[at]
+        out = np.zeros(len(k), np.uint8)
+        out[order[at]] = np.where(count[own] < min_docs, 0, np.where(d[at] == top[own], 1, 2))
+        return out, t.column("n").to_numpy().astype(np.int64), 2
+
+    return hot
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, chunk: int | None = None, shards: int | None = None) -> DataFrame:
     """docs with the kept text and n_lines, n_dropped. See the module's text."""
-    spark = docs.sparkSession
-    tune(spark)
-    hot = written(key_counts(docs, min_chars).where(F.col("n_docs") >= min_docs), "hot-lines")
-    n_hot = hot.count()
-    probe = _probe_with(spark, hot, n_hot) if n_hot else (lambda hi, lo: np.zeros(len(hi), bool))
-
-    def candidates(batches):
-        for b in chunks(batches):
-            ids, keys = [], []
-            for doc, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
-                own = {k for k in _keys(text, min_chars) if k}
-                keys.extend(own)
-                ids.extend([NULL_ID if doc is None else doc] * len(own))
-            hi, lo = _split(keys)
-            ids = np.array(ids, np.int64)
-            if probe is not None:
-                ok = probe(hi, lo)
-                ids, hi, lo = ids[ok], hi[ok], lo[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hi), pa.array(lo)], ["rid", "hi", "lo"])
-
-    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(candidates, "rid long, hi long, lo long")
-    # A heavy key gets SALTS rows in the hot table; which keys are heavy is part of the join, so light ones are neither copied nor marked.
-    salted = hot.select("hi", "lo", "max_id", F.explode(F.when(F.col("n_docs") >= HEAVY, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"), (F.col("n_docs") >= HEAVY).alias("heavy"))
-    heavy = salted.where("heavy AND salt = 0").select("hi", "lo")
-    n_heavy = heavy.count() if n_hot else 0
-    if n_heavy and n_heavy * 64 <= BROADCAST_BYTES:
-        found = found.join(F.broadcast(heavy.withColumn("hv", F.lit(1))), ["hi", "lo"], "left").select("rid", "hi", "lo", F.when(F.col("hv").isNotNull(), F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
-        joined = found.join(salted, ["hi", "lo", "salt"])
-    else:  # none is heavy, or so many that each is a small part of the rows
-        joined = found.join(hot, ["hi", "lo"])
-    drops = joined.where(F.col("rid") < F.col("max_id")).groupBy("rid").agg(F.collect_list(F.struct("hi", "lo")).alias("drops"))
-    at = "__rid"
-    both = docs.withColumn(at, rid).join(drops.withColumnRenamed("rid", at).hint("shuffle_hash"), at, "left").drop(at)
-    gone = {"n_lines", "n_dropped", "text", "drops"}
-    names = [c for c in docs.columns if c.lower() not in gone]
-
-    def keep(batches):
-        for b in chunks(batches):
-            kept, lines, dropped = [], [], []
-            col = b.column("drops")
-            inner = col.flatten()
-            hi, lo = (inner.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            raw = np.stack([hi, lo], 1).astype(np.int64).tobytes() if len(hi) else b""
-            sizes = np.nan_to_num(np.array([0 if x is None else x for x in pc.list_value_length(col).to_pylist()], np.int64))
-            ends = np.cumsum(sizes)
-            for text, n, e in zip(_texts(b.column("text")), sizes.tolist(), ends.tolist(), strict=True):
-                parts = text.split(b"\n")
-                lines.append(len(parts))
-                if not n:
-                    kept.append(text)
-                    dropped.append(0)
-                    continue
-                out = {raw[16 * i : 16 * i + 16] for i in range(e - n, e)}
-                left = [p for p, k in zip(parts, _keys(text, min_chars), strict=True) if k not in out]
-                dropped.append(len(parts) - len(left))
-                kept.append(b"\n".join(left))
-            arrays = [b.column(c) for c in names] + [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*names, "text", "n_lines", "n_dropped"])
-
-    return both.select(*[F.col(f"`{c}`") for c in names], "text", "drops").mapInArrow(keep, with_fields(docs, ("text", "string"), ("n_lines", "long"), ("n_dropped", "long")))
+    corpus = Corpus(docs, "lines", chunk, shards, shard_bytes=SHARD_BYTES)
+    shards = corpus.shards
+    names = [c for c in docs.columns if c.lower() not in {"n_lines", "n_dropped", "text"}]
+
+    def keep(b: pa.RecordBatch, given: dict) -> pa.RecordBatch:
+        c = _Lines(b, min_chars, min_docs)
+        state = codes(given, 1, c.sent(shards).n, 2)[c.head] if len(c.hi) else np.zeros(0, np.uint8)
+        most = c.id[c.head] if len(c.hi) else c.id
+        gone = (state[c.key] == 2) | ((state[c.key] == 1) & (c.ids[c.row] < most[c.key])) if len(c.key) else np.zeros(0, bool)
+        out: dict[int, set[int]] = {}
+        for i, j in zip(c.row[gone].tolist(), c.place[gone].tolist(), strict=True):
+            out.setdefault(i, set()).add(j)
+        kept = list(c.texts)
+        for i, js in out.items():
+            kept[i] = b"\n".join([x for j, x in enumerate(c.texts[i].split(b"\n")) if j not in js])
+        lines = np.array([t.count(b"\n") + 1 for t in c.texts], np.int64)
+        dropped = np.bincount(c.row[gone], minlength=len(kept)).astype(np.int64)
+        arrays = [*(b.column(b.schema.get_field_index(x)) for x in names), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines), pa.array(dropped)]
+        return pa.RecordBatch.from_arrays(arrays, [*names, "text", "n_lines", "n_dropped"])
+
+    replies = reply(corpus.ask(lambda b, _: [_Lines(b, min_chars, min_docs).sent(shards)]), _hot(min_docs))
+    return corpus.finish(keep, with_fields(docs, ("text", "string"), ("n_lines", "long"), ("n_dropped", "long")), replies)
 
 
 class LineIndex:
     """Incremental line dedup: tables in the shared folder and one filter per shard, reversible by deleting documents.
 
-    postings: (hi, lo, rid, n), one row a document and key, n = 1 or, for a deletion, -1; their sum is the exact reference count. A key enters its
-    shard's filter with its first document and leaves it with its last one. Inserting a document twice counts it twice; deleting one that was
-    never inserted raises nothing and leaves the tables as they were.
+    postings: (hi, lo, rid, n), a log of appended tables, n = 1 a document and key or, for a deletion, -1; their sum is the exact reference count. A change reads the
+    log for its own keys alone: what it joins and sums is in proportion to the change, not to the index. A key enters its shard's filter with its first
+    document and leaves it with its last one; shards double when they hold more than SHARD_KEYS keys on average. Inserting a document twice counts it twice;
+    deleting one that was never inserted raises nothing and leaves the tables as they were.
     """
 
-    def __init__(self, spark: SparkSession, n_shards: int = 8, min_chars: int = MIN_CHARS):
+    def __init__(self, spark: SparkSession, n_shards: int = 1, min_chars: int = MIN_CHARS):
         tune(spark)
         self.spark, self.n_shards, self.min_chars = spark, n_shards, min_chars
-        self.postings = spark.createDataFrame([], "hi long, lo long, rid long, n long")
-        self.filters = spark.createDataFrame([], "shard long, filter binary")
+        self.segments = [spark.createDataFrame([], "hi long, lo long, rid long, n long")]
+        self.filters = spark.createDataFrame([], "shard long, keys long, filter binary")
+
+    @property
+    def postings(self) -> DataFrame:
+        out = self.segments[0]
+        for s in self.segments[1:]:
+            out = out.unionByName(s)
+        return out
 
     def _rows(self, docs: DataFrame) -> DataFrame:
         least = self.min_chars
@@ -300,55 +271,79 @@ class LineIndex:
 
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "hi long, lo long, rid long")
 
+    @staticmethod
+    def _live(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("hi", "lo", "rid").agg(F.sum("n").alias("n")).where("n > 0")
+
     def counts(self) -> DataFrame:
         """(hi, lo, n_docs, max_id) of the keys that documents hold now."""
-        live = self.postings.groupBy("hi", "lo", "rid").agg(F.sum("n").alias("n")).where("n > 0")
-        return live.groupBy("hi", "lo").agg(F.sum("n").alias("n_docs"), F.max("rid").alias("max_id"))
+        return self._live(self.postings).groupBy("hi", "lo").agg(F.sum("n").alias("n_docs"), F.max("rid").alias("max_id"))
 
     def _change(self, rows: DataFrame) -> None:
-        before = self.counts().select("hi", "lo", F.lit(1).alias("was"))
-        self.postings = written(self.postings.unionByName(rows).groupBy("hi", "lo", "rid").agg(F.sum("n").alias("n")).where("n > 0"), "postings")
-        after = self.counts().select("hi", "lo", F.lit(1).alias("now"))
-        changed = before.join(after, ["hi", "lo"], "full").where("was IS NULL OR now IS NULL").select(shard_of(self.n_shards).alias("shard"), "hi", "lo", F.col("was").isNull().alias("added"))
-        live = after.select(shard_of(self.n_shards).alias("shard"), "hi", "lo")
+        rows = written(rows.groupBy("hi", "lo", "rid").agg(F.sum("n").alias("n")), "change")
+        if not rows.head(1):
+            return
+        keys = rows.select("hi", "lo").distinct()
+        size = rows.count()
+        if 32 * size <= BROADCAST_BYTES:
+            keys = F.broadcast(keys)
+        old = self._live(self.postings.join(keys, ["hi", "lo"], "left_semi"))
+        if rows.where("n < 0").head(1):  # only what is held can go
+            held = old.withColumnRenamed("n", "m")
+            rows = written(rows.join(held, ["hi", "lo", "rid"]).withColumn("n", -F.least(-F.col("n"), F.col("m"))).drop("m"), "change")
+        before = old.groupBy("hi", "lo").agg(F.sum("n").alias("b"))
+        delta = rows.groupBy("hi", "lo").agg(F.sum("n").alias("d"))
+        changed = delta.join(before, ["hi", "lo"], "left").na.fill(0, ["b"]).where("(b = 0) <> (b + d = 0)").select(shard_of(self.n_shards).alias("shard"), "hi", "lo", (F.col("b") == 0).alias("added"))
 
         def update(key, old: pa.Table, new: pa.Table) -> pa.Table:
-            hi, lo, added = (new.column(c).to_numpy() for c in ("hi", "lo", "added"))
+            hi, lo, added = (new.column(c).to_numpy(zero_copy_only=False) if c == "added" else new.column(c).to_numpy() for c in ("hi", "lo", "added"))
+            n = (old.column("keys")[0].as_py() if old.num_rows else 0) + int(added.sum()) - int((~added).sum())
             f = CuckooFilter.from_bytes(old.column("filter")[0].as_py()) if old.num_rows else CuckooFilter(4 * max(1, len(hi)))
             f.delete(hi[~added], lo[~added])
             full = not f.insert(hi[added], lo[added])
-            return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "filter": pa.array([None if full else f.to_bytes()], pa.binary())})
-
-        made = written(self.filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInArrow(update, "shard long, filter binary"), "filters")
-        full = made.where("filter IS NULL").select("shard")
-        if full.head(1):  # a shard outgrew its table: make it again, larger, from the exact table
-
-            def build(table: pa.Table) -> pa.Table:
-                f = CuckooFilter.of(table.column("hi").to_numpy(), table.column("lo").to_numpy())
-                return pa.table({"shard": table.column("shard")[:1], "filter": pa.array([f.to_bytes()], pa.binary())})
-
-            again = live.join(full, "shard", "left_semi").groupBy("shard").applyInArrow(build, "shard long, filter binary")
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "keys": pa.array([n], pa.int64()), "filter": pa.array([None if full else f.to_bytes()], pa.binary())})
+
+        made = written(self.filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInArrow(update, "shard long, keys long, filter binary"), "filters")
+        self.segments.append(written(rows.select("hi", "lo", "rid", "n"), "postings"))
+        if len(self.segments) > SEGMENTS:
+            self.segments = [written(self._live(self.postings).select("hi", "lo", "rid", "n"), "postings")]
+        total = made.agg(F.sum("keys")).first()[0] or 0
+        if total > SHARD_KEYS * self.n_shards:
+            while total > SHARD_KEYS * self.n_shards:
+                self.n_shards *= 2
+            made = written(self._built(self.counts()), "filters")
+        elif made.where("filter IS NULL").head(1):  # a shard outgrew its table: make it again, larger, from the exact table
+            full = made.where("filter IS NULL").select("shard")
+            again = self._built(self.counts().withColumn("shard", shard_of(self.n_shards)).join(full, "shard", "left_semi"))
             made = written(made.where("filter IS NOT NULL").unionByName(again), "filters")
         self.filters = made
 
+    def _built(self, counts: DataFrame) -> DataFrame:
+        def build(table: pa.Table) -> pa.Table:
+            f = CuckooFilter.of(table.column("hi").to_numpy(), table.column("lo").to_numpy())
+            return pa.table({"shard": table.column("shard")[:1], "keys": pa.array([table.num_rows], pa.int64()), "filter": pa.array([f.to_bytes()], pa.binary())})
+
+        return counts.select(shard_of(self.n_shards).alias("shard"), "hi", "lo").groupBy("shard").applyInArrow(build, "shard long, keys long, filter binary")
+
     def insert(self, docs: DataFrame) -> None:
         self._change(self._rows(docs).withColumn("n", F.lit(1).cast("long")))
 
     def delete(self, docs: DataFrame) -> None:
-        known = self.postings.select("hi", "lo", "rid").distinct()
-        self._change(self._rows(docs).join(known, ["hi", "lo", "rid"], "left_semi").withColumn("n", F.lit(-1).cast("long")))
+        self._change(self._rows(docs).withColumn("n", F.lit(-1).cast("long")))
 
     def maybe_seen(self, docs: DataFrame) -> DataFrame:
-        """(rid, hi, lo) of the lines of docs that the filters pass: all that are held, and few others. Keys go to their shard; no filter is broadcast."""
-        rows = self._rows(docs).withColumn("shard", shard_of(self.n_shards))
+        """(rid, hi, lo) of the lines of docs that the filters pass: all that are held, and few others. Distinct keys go to their shard; no filter is broadcast."""
+        rows = written(self._rows(docs), "asked")
 
         def probe(key, old: pa.Table, new: pa.Table) -> pa.Table:
-            new = new.select(["rid", "hi", "lo"])
+            new = new.select(["hi", "lo"])
             if not old.num_rows or not new.num_rows:
                 return new.slice(0, 0)
             return new.filter(pa.array(CuckooFilter.from_bytes(old.column("filter")[0].as_py()).contains(new.column("hi").to_numpy(), new.column("lo").to_numpy())))
 
-        return self.filters.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(probe, "rid long, hi long, lo long")
+        keys = rows.select("hi", "lo").distinct().withColumn("shard", shard_of(self.n_shards))
+        passed = self.filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(probe, "hi long, lo long")
+        return rows.join(passed, ["hi", "lo"], "left_semi").select("rid", "hi", "lo")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

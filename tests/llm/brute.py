@@ -16,18 +16,18 @@ def key_of(doc):
 
 
 def lines(docs, least=20, docs_least=3):
-    count, top = {}, {}
+    holders, top = {}, {}
     keyed = []
-    for d, t in docs:
+    for row, (d, t) in enumerate(docs):
         parts = (t or "").split("\n")
         ks = [p.strip(SPACE).translate(LOW) for p in parts]
         keyed.append((d, parts, ks))
         for k in {k for k in ks if len(k) >= least}:
-            count[k] = count.get(k, 0) + 1
+            holders.setdefault(k, set()).add((d, row) if d is None else d)
             top[k] = max(top.get(k, key_of(d)), key_of(d))
     out = []
     for d, parts, ks in keyed:
-        kept = [p for p, k in zip(parts, ks, strict=True) if not (count.get(k, 0) >= docs_least and key_of(d) < top[k])]
+        kept = [p for p, k in zip(parts, ks, strict=True) if not (len(holders.get(k, ())) >= docs_least and key_of(d) < top[k])]
         out.append((d, len(parts), len(parts) - len(kept), sha("\n".join(kept))))
     return out
 

@@ -24,12 +24,21 @@ def test_lines(docs, docs_list, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_lines_without_filters_and_with_heavy_keys(docs, docs_list, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
-    assert got(line_dedup.dedup_lines(docs), "doc_id", "n_lines", "n_dropped", sha("text")) == want(brute.lines(docs_list))
-    monkeypatch.undo()
-    monkeypatch.setattr(line_dedup, "HEAVY", 4)
-    assert got(line_dedup.dedup_lines(docs), "doc_id", "n_lines", "n_dropped", sha("text")) == want(brute.lines(docs_list))
+def test_lines_in_chunks_and_shards(docs, docs_list):
+    assert got(line_dedup.dedup_lines(docs, chunk=1500, shards=7), "doc_id", "n_lines", "n_dropped", sha("text")) == want(brute.lines(docs_list))
+
+
+def test_lines_of_repeated_ids_and_nulls(spark):
+    a = "the very same line in all of them"
+    rows = [(1, a), (1, a), (2, a), (1, f"{a}\n{a}"), (7, "x"), (None, "a line of rows without an id"), (None, "a line of rows without an id"), (None, "A LINE OF ROWS WITHOUT AN ID ")]
+    for n in (1, 4):
+        df = spark.createDataFrame([(d, t, [1], 2, 3) for d, t in rows], "doc_id long, text string, drops array<int>, __rid int, N_LINES int").repartition(n)
+        out = line_dedup.dedup_lines(df, chunk=40 if n > 1 else None)
+        assert got(out, "doc_id", "n_lines", "n_dropped", sha("text")) == want(brute.lines(rows))
+        assert {"drops", "__rid"} <= set(out.columns) and out.select("drops", "__rid").distinct().collect() == [([1], 2)]
+    more = [*rows, (3, a)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(more, "doc_id long, text string"), chunk=40)
+    assert got(out, "doc_id", "n_lines", "n_dropped", sha("text")) == want(brute.lines(more)) and sum(r["n_dropped"] for r in out.collect()) == 5
 
 
 @pytest.mark.parametrize("args", [{}, {"chunk": 3000, "shards": 5}, {"chunk": 2000, "shards": 3, "hot": 1}, {"chunk": 2000, "shards": 3, "crowded": 1}, {"chunk": 2000, "shards": 2, "crowded": 0}])
@@ -85,7 +94,7 @@ def test_leaks(spark, docs, docs_list, empty, block, monkeypatch):
 def test_incremental_lines(spark):
     row = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string")
     a, b = "the first of the shared lines", "another line that is long enough"
-    index = line_dedup.LineIndex(spark, n_shards=3)
+    index = line_dedup.LineIndex(spark)
     index.insert(row((1, a), (2, f"{a}\n{b}"), (3, None), (4, "short")))
     before = sorted(map(tuple, index.counts().select("n_docs", "max_id").collect()))
     index.insert(row((7, f"{b}\n{a}"), (8, f"{a}\n{a}")))
@@ -95,3 +104,19 @@ def test_incremental_lines(spark):
     assert sorted(map(tuple, index.counts().select("n_docs", "max_id").collect())) == before
     index.delete(row((1, a), (2, f"{a}\n{b}")))
     assert index.counts().count() == 0 and index.maybe_seen(row((9, a))).count() == 0
+
+
+def test_index_grows_by_shards_and_segments(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    monkeypatch.setattr(line_dedup, "SEGMENTS", 2)
+    row = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string")
+    text = lambda a, b: "\n".join(f"line number {i} which is long enough" for i in range(a, b))
+    index = line_dedup.LineIndex(spark)
+    index.insert(row((1, text(0, 20))))
+    index.insert(row((2, text(10, 40)), (3, text(0, 5))))
+    assert index.n_shards >= 4 and len(index.segments) <= 2
+    index.delete(row((2, text(10, 40))))
+    assert sorted(r["n_docs"] for r in index.counts().collect()) == [1] * 15 + [2] * 5
+    assert index.maybe_seen(row((9, text(0, 20)))).count() == 20 and index.maybe_seen(row((9, text(20, 40)))).count() < 4
+    index.delete(row((2, text(10, 40))))
+    assert index.counts().count() == 20
