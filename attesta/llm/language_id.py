@@ -5,18 +5,20 @@ by one; a text is the bundle (sum) of its trigrams' vectors and a language the b
 the largest cosine; the score is that cosine, cut to 0..1. Letters are code points that Unicode calls alphabetic, in lower case; whatever else is between
 them counts as one boundary symbol, and trigrams have a letter in their middle.
 
-Plan: two scans and no shuffle of texts. Bundling is linear, so a chunk of texts counts its trigrams with one bincount and turns counts into vectors with
-one matrix product; a task hands on one integer vector a language, whatever its share of the rows. All sums are integers, hence independent of partitions.
+Plan: two scans and no shuffle of texts. Bundling is linear, so texts are taken in tiles of at most TEXTS texts or LETTERS letters (a longer text in several),
+whose trigrams are counted and turned into vectors by matrix products over GRAMS trigrams at once: what a task holds doesn't grow with the number, length or
+alphabet of its texts. A task hands on one integer vector a language, whatever its share of the rows. All sums are integers, hence independent of partitions.
 The prototypes are languages x dims numbers, measured before they are broadcast.
 
 Cases: null text or text without letters is und with score 0, and so is everything when nothing could be learnt. Rows with null lang aren't learnt
-from; rows with a null doc_id are held out. Ties go to the first language in code-point order. Columns of the input stay, but for held_out,
+from; rows with a null doc_id are held out. Texts of any length count whole; repeated rows count each. Ties go to the first language in code-point order. Columns of the input stay, but for held_out,
 lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 from attesta.llm.common import BROADCAST_BYTES, buffers, chunks, held_out, text_table, tune, with_fields
 
 DIMS = 1024
-#: Code points with a table entry; letters beyond it (rare ideographs) are letters as they are.
+#: Code points with a table entry; the few beyond it are looked up one by one.
 TABLE = 0x20000
 CHUNK = 1 << 20
-#: Letters in a chunk for which trigrams are counted in a cube; beyond it they are sorted.
-CUBE = 128
+#: Texts, letters and distinct trigrams that are worked on at once, and different letters up to which trigrams are counted in a cube.
+TEXTS, LETTERS, GRAMS, CUBE = 512, 1 << 18, 8_192, 100
 
 
 @functools.cache
@@ -67,44 +69,62 @@ def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = [np.frombuffer(data[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(off[:-1], off[1:], strict=True)]
         code, at = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
     if len(code) and code.max() >= TABLE:
-        low = code < TABLE
-        out = code.copy()
-        out[low] = _fold()[code[low]]
+        out = _fold()[np.minimum(code, TABLE - 1)]
+        high = np.flatnonzero(code >= TABLE)
+        points, of = np.unique(code[high], return_inverse=True)
+        out[high] = np.array([c if chr(c).isalpha() else 0 for c in points.tolist()], np.uint32)[of]
         return out, at
     return _fold()[code], at
 
 
-def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct trigrams as (n, 3) code points, counts as (texts, n) float32, letters by text)."""
-    code, at = _letters(column)
-    n = len(at) - 1
-    present = np.flatnonzero(np.bincount(code, minlength=1)) if len(code) else np.zeros(1, np.int64)
-    if present[0] != 0:
-        present = np.concatenate(([0], present))
-    small = np.zeros(int(present[-1]) + 1, np.int32)
-    small[present] = np.arange(len(present))
-    x = small[code]
+def _trigrams(code: np.ndarray, at: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct trigrams as (n, 3) code points, trigram of each letter in p..q, place of each letter); neighbours may lie outside p..q, in the same text."""
+    lo, hi = max(0, p - 1), min(len(code), q + 1)
+    present, x = np.unique(code[lo:hi], return_inverse=True)
+    if not len(present) or present[0] != 0:
+        present, x = np.concatenate((np.zeros(1, present.dtype), present)), x + 1
     k = len(present)
-    before, after = np.zeros_like(x), np.zeros_like(x)
-    before[1:], after[:-1] = x[:-1], x[1:]
-    filled = np.diff(at) > 0
-    before[at[:-1][filled]] = 0
-    after[at[1:][filled] - 1] = 0
-    doc = np.repeat(np.arange(n), np.diff(at))
-    mid = np.flatnonzero(x)
-    gram = (before[mid].astype(np.int64) * k + x[mid]) * k + after[mid]
+    padded = np.zeros(q - p + 2, np.int64)
+    padded[lo - p + 1 : hi - p + 1] = x
+    before, mid, after = padded[:-2].copy(), padded[1:-1], padded[2:].copy()
+    edge = at[(at >= p) & (at <= q)] - p  # texts don't see each other
+    before[edge[edge < q - p]] = 0
+    after[edge[edge > 0] - 1] = 0
+    own = np.flatnonzero(mid)
+    gram = (before[own] * k + mid[own]) * k + after[own]
     if k <= CUBE:
-        seen = np.flatnonzero(np.bincount(gram, minlength=1)) if len(gram) else np.zeros(0, np.int64)
-        place = np.zeros(int(seen[-1]) + 1 if len(seen) else 1, np.int32)
+        seen = np.flatnonzero(np.bincount(gram, minlength=1))
+        place = np.zeros(int(seen[-1]) + 1 if len(seen) else 1, np.int64)
         place[seen] = np.arange(len(seen))
         gram = place[gram]
     else:
         seen, gram = np.unique(gram, return_inverse=True)
-    counts = np.bincount(doc[mid] * max(1, len(seen)) + gram, minlength=n * max(1, len(seen))).reshape(n, -1).astype(np.float32)
-    if not len(seen):
-        counts = np.zeros((n, 0), np.float32)
-    points = present[np.stack([seen // (k * k), seen // k % k, seen % k], 1)] if len(seen) else np.zeros((0, 3), np.int64)
-    return points, counts, np.bincount(doc[mid], minlength=n)
+    return present[np.stack([seen // (k * k), seen // k % k, seen % k], 1)], gram, own + p
+
+
+def bundles(column: pa.Array, dims: int, owner: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end, vectors, letters) by tiles of texts; with owner, a small number for each text, vectors are by owner and not by text."""
+    code, at = _letters(column)
+    n, first = len(at) - 1, 0
+    while first < n:
+        last = min(first + TEXTS, max(first + 1, int(np.searchsorted(at, at[first] + LETTERS, "right")) - 1))
+        rows = last - first if owner is None else int(owner.max()) + 1
+        v, letters = np.zeros((rows, dims)), np.zeros(last - first, np.int64)
+        for p in range(int(at[first]), int(at[last]), LETTERS):
+            points, gram, place = _trigrams(code, at, p, min(p + LETTERS, int(at[last])))
+            text = np.searchsorted(at, place, "right") - 1
+            letters += np.bincount(text - first, minlength=last - first)
+            row = text - first if owner is None else owner[text]
+            if len(points) > GRAMS:
+                order = np.argsort(gram, kind="stable")
+                gram, row = gram[order], row[order]
+            for g in range(0, len(points), GRAMS):
+                size = min(GRAMS, len(points) - g)
+                a, b = (0, len(gram)) if size == len(points) else np.searchsorted(gram, (g, g + size))
+                counts = np.bincount(row[a:b] * size + gram[a:b] - g, minlength=rows * size).reshape(rows, size)
+                v += counts.astype(np.float32) @ gram_vectors(points[g : g + size], dims).astype(np.float32)  # exact: below 2**24
+        yield first, last, v, letters
+        first = last
 
 
 def learn(docs: DataFrame, dims: int = DIMS) -> dict[str, np.ndarray]:
@@ -114,16 +134,22 @@ def learn(docs: DataFrame, dims: int = DIMS) -> dict[str, np.ndarray]:
 
     def bundle(batches):
         held: dict[str, np.ndarray] = {}
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([v.tolist() for v in held.values()], pa.list_(pa.int64()))], ["lang", "v"])
+            held.clear()
+            return out
+
         for b in chunks(batches, CHUNK):
-            points, counts, _ = trigrams(b.column(0))
             names, at = np.unique(np.array(b.column(1).to_pylist(), object).astype(str), return_inverse=True)
-            by = np.zeros((len(names), counts.shape[1]), np.float64)
-            np.add.at(by, at, counts)
-            sums = by @ gram_vectors(points, dims).astype(np.float64) if len(points) else np.zeros((len(names), dims))
-            for name, v in zip(names.tolist(), sums, strict=True):
-                held[name] = held.get(name, 0) + v.astype(np.int64)
+            few = len(names) <= TEXTS
+            for first, last, sums, _ in bundles(b.column(0), dims, at if few else None):
+                for name, v in zip(names.tolist() if few else names[at[first:last]].tolist(), sums, strict=True):
+                    held[name] = held.get(name, 0) + v.astype(np.int64)
+                if len(held) > TEXTS:
+                    yield flush()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([v.tolist() for v in held.values()], pa.list_(pa.int64()))], ["lang", "v"])
+            yield flush()
 
     parts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(bundle, "lang string, v array<bigint>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
@@ -139,7 +165,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMS
     spark = docs.sparkSession
     tune(spark)
     names = list(prototypes)
-    unit = np.stack([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).astype(np.float32) if names else np.zeros((0, dims), np.float32)
+    unit = np.stack([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]) if names else np.zeros((0, dims))
     held = spark.sparkContext.broadcast(unit)
     own = [c for c in docs.columns if c.lower() not in {"lang_pred", "score"}]
     fields = with_fields(docs, ("lang_pred", "string"), ("score", "double"))
@@ -147,15 +173,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMS
     def run(batches):
         unit = held.value
         for b in chunks(batches, CHUNK):
-            points, counts, letters = trigrams(b.column(b.schema.get_field_index("text")))
-            v = counts @ gram_vectors(points, dims).astype(np.float32) if len(points) else np.zeros((len(counts), dims), np.float32)
-            norm = np.linalg.norm(v, axis=1)
-            cos = (v @ unit.T).astype(np.float64) / np.where(norm > 0, norm, 1)[:, None]
-            known = (letters > 0) & (norm > 0) & bool(names)
-            best = cos.argmax(1) if names else np.zeros(len(counts), np.int64)
-            score = np.where(known, np.clip(cos[np.arange(len(counts)), best], 0, 1) if names else 0.0, 0.0)
-            pred = [names[i] if ok else "und" for i, ok in zip(best.tolist(), known.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in own], pa.array(pred, pa.string()), pa.array(score)], [*own, "lang_pred", "score"])
+            pred, score = [], []
+            for _, _, v, letters in bundles(b.column(b.schema.get_field_index("text")), dims):
+                norm = np.linalg.norm(v, axis=1)
+                cos = (v @ unit.T) / np.where(norm > 0, norm, 1)[:, None]
+                known = (letters > 0) & (norm > 0) & bool(names)
+                best = cos.argmax(1) if names else np.zeros(len(v), np.int64)
+                score.append(np.where(known, np.clip(cos[np.arange(len(v)), best], 0, 1) if names else 0.0, 0.0))
+                pred += [names[i] if ok else "und" for i, ok in zip(best.tolist(), known.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in own], pa.array(pred, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))], [*own, "lang_pred", "score"])
 
     return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, fields)
 
