@@ -1,23 +1,29 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
-Words (runs of spaces with what follows up to the next space) are independent, as no piece holds a space mark behind another character; each distinct word is
-encoded once and kept. All new words of a chunk lie in flat numpy arrays, one symbol a character. A round looks up the ranks of all adjacent pairs
-that changed, takes the segmented minimum by word, merges the pairs of that rank from the left at once, and compacts the arrays; words in which no
-pair is left drop out. Merging all occurrences at once equals the one-by-one order only if no pair of the new piece is as good as the one merged; where the
-vocabulary breaks this (known for each piece beforehand), a round merges just the leftmost. Words beyond LONG symbols go through a heap instead.
+Words (runs of spaces with what follows up to the next space) are independent, as no piece holds a space mark behind another character; so are the parts of
+a word between two characters that no piece holds side by side (most letters of texts without spaces). Each distinct word is encoded once and kept. All new
+words of a chunk lie in flat numpy arrays, one symbol a character. A round looks up the ranks of all adjacent pairs that changed, takes the segmented minimum by
+word, merges the pairs of that rank from the left at once, and compacts the arrays; words in which no pair is left drop out. Merging all occurrences at
+once equals the one-by-one order only if no pair of the new piece is as good as the one merged; where the vocabulary breaks this (known for each piece
+beforehand), a round merges just the leftmost.
+
+In parts beyond LONG symbols a round takes the minimum not of the part but of the REACH symbols to either side of each pair, REACH being the longest piece: a
+pair that no better one (or equal one to its left) is that near to can't be touched by anything that comes before it in the one-by-one order, as the piece
+that touched it would be longer than the longest. So a long part takes about as many rounds as pieces are long, not as many as it has merges.
 Characters without a piece become their UTF-8 bytes' pieces.
 
-Plan: no shuffle; the model (some MB, a constant) is broadcast. What a task keeps is bounded by KEPT words.
+Plan: no shuffle; the model (some MB, a constant) is broadcast. What a task keeps is bounded by KEPT words of at most KEPT_LENGTH characters, and words are
+encoded in blocks of about BLOCK symbols; texts are cut into words of about that many characters at once.
 
 Cases: null and empty text have no ids and decode to "". Any other text has the dummy prefix space, which decoding removes. Texts of any length are encoded
-whole. Columns of the input stay, but for ids and decoded, which are replaced. Models that aren't BPE with identity normalisation, a dummy prefix,
-kept white space and byte fallback are refused.
+whole. Repeated rows are encoded each. Columns of the input stay, but for ids and decoded, which are replaced. Models that aren't BPE with identity
+normalisation, a dummy prefix, kept white space and byte fallback are refused.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +32,8 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import chunks, spans, text_table, tune, with_fields
 
-#: Distinct words that a task keeps, symbols from which a word goes through the heap, and the text worked on at once.
-KEPT, LONG, CHUNK = 400_000, 2_000, 2 << 20
+#: Distinct words that a task keeps and characters of such a word; symbols beyond which rounds go by reach; symbols, and bytes of text, worked on at once.
+KEPT, KEPT_LENGTH, LONG, BLOCK, CHUNK = 400_000, 64, 64, 1 << 19, 2 << 20
 MARK = "▁"
 _NONE = np.int32(2**31 - 1)
 _WORD = re.compile(" +[^ ]*")
@@ -92,6 +98,9 @@ class Pieces:
         self.rank = np.full(self.size, _NONE, np.int32)
         for i in own.values():
             self.rank[i] = order[score[i]]
+        self.reach = max((len(p) for p in own), default=1)
+        inside = {ord(x) << 21 | ord(y) for p in own for x, y in zip(p, p[1:], strict=False)}
+        self.beside = np.array(sorted(inside) or [0], np.int64)  # pairs of characters that some piece holds side by side
         self.of_char = np.full(0x110000, -1, np.int32)
         for p, i in own.items():
             if len(p) == 1:
@@ -141,56 +150,103 @@ class Pieces:
     def _rank_of(self, made: np.ndarray) -> np.ndarray:
         return np.where(made >= 0, self.rank[made], _NONE)
 
-    def _heap(self, symbols: list[int]) -> list[int]:
-        """One word, merge by merge; for very long words."""
-        n = len(symbols)
-        sym, nxt, prv = list(symbols), list(range(1, n)) + [-1], list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-        known: dict[tuple[int, int], int] = {}
-
-        def push(i: int) -> None:
-            j = nxt[i] if i >= 0 else -1
-            if i >= 0 and j >= 0:
-                key = sym[i], sym[j]
-                if key not in known:
-                    known[key] = int(self.pair(np.array(key[:1]), np.array(key[1:]))[0])
-                if known[key] >= 0:
-                    heapq.heappush(heap, (int(self.rank[known[key]]), i, *key, known[key]))
-
-        for i in range(n):
-            push(i)
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = nxt[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
-                continue
-            sym[i], sym[j], nxt[i] = made, -1, nxt[j]
-            if nxt[j] >= 0:
-                prv[nxt[j]] = i
-            push(prv[i])
-            push(i)
-        return [s for s in sym if s >= 0]
+    def _near(self, rank: np.ndarray) -> np.ndarray:
+        """Pairs that are best, or equal and leftmost, among those up to reach symbols away."""
+        n, r = len(rank), self.reach
+
+        def least(x: np.ndarray, width: int) -> np.ndarray:
+            size = 1
+            while 2 * size <= width:
+                x, size = np.minimum(x[:-size], x[size:]), 2 * size
+            return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
+
+        wide = np.full(n + 2 * r, _NONE, np.int32)
+        wide[r : r + n] = rank
+        m = least(wide, r)  # m[i]: of wide[i : i + r]
+        return (rank < m[:n]) & (rank <= m[r + 1 : r + 1 + n])
 
     def encode_words(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids by word) of distinct words, in which spaces stand for space marks."""
+        ids, n, a, size = [], [], 0, 0
+        for b, w in enumerate(found):
+            size += len(w)
+            if size >= BLOCK or b == len(found) - 1:
+                x, y = self._encode(found[a : b + 1])
+                ids.append(x)
+                n.append(y)
+                a, size = b + 1, 0
+        return (np.concatenate(ids), np.concatenate(n)) if ids else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def _encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         code = np.frombuffer("".join(found).replace(" ", MARK).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(w) for w in found], np.int64)
         sym = self.of_char[code]
         sym = np.where(sym >= 0, sym, self.size + code.astype(np.int32))
-        word = np.repeat(np.arange(len(found)), size)
-        done_word, done_sym = [], []
-        if (size > LONG).any():
-            at = np.cumsum(size) - size
-            for w in np.flatnonzero(size > LONG).tolist():
-                out = np.array(self._heap(sym[at[w] : at[w] + size[w]].tolist()), np.int32)
-                done_word.append(np.full(len(out), w))
-                done_sym.append(out)
-            short = size[word] <= LONG
-            sym, word = sym[short], word[short]
+        owner = np.repeat(np.arange(len(found)), size)
+        # parts: words, cut where two characters are in no piece side by side
+        begins = np.diff(owner, prepend=-1) != 0
+        if len(code) > 1:
+            pair = code[:-1].astype(np.int64) << 21 | code[1:]
+            begins[1:] |= self.beside[np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)] != pair
+        part = np.cumsum(begins) - 1
+        size = np.bincount(part)
+        of = owner[begins]
+        out_part, out_sym = [], []
+        long = size > LONG
+        for which, rounds in ((~long, self._rounds), (long, self._rounds_by_reach)):
+            if which.any():
+                own = which[part]
+                for x, y in rounds(sym[own], part[own]):
+                    out_part.append(x)
+                    out_sym.append(y)
+        part = np.concatenate(out_part) if out_part else np.zeros(0, np.int64)
+        sym = np.concatenate(out_sym) if out_sym else np.zeros(0, np.int32)
+        order = np.argsort(part, kind="stable")
+        word, sym = of[part[order]] if len(order) else part, sym[order]
+        if len(sym) and sym.max() >= self.size:  # byte fallback
+            raw = sym >= self.size
+            char = sym[raw] - self.size
+            width = np.ones(len(sym), np.int64)
+            width[raw] = 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)
+            out = np.repeat(sym, width)
+            data = np.frombuffer(char.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+            out[np.repeat(raw, width)] = self.byte[data]
+            word, sym = np.repeat(word, width), out
+        return sym.astype(np.int32), np.bincount(word, minlength=len(found))
+
+    def _pairs(self, sym: np.ndarray, word: np.ndarray) -> np.ndarray:
         made = np.full(len(sym), -1, np.int32)
         if len(sym) > 1:
             made[:-1] = self.pair(sym[:-1], sym[1:])
             made[:-1][word[1:] != word[:-1]] = -1
+        return made
+
+    def _merge(self, at: np.ndarray, sym: np.ndarray, word: np.ndarray, made: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The pairs that begin at at become what they make; what follows from it."""
+        sym[at] = made[at]
+        keep = np.ones(len(sym), bool)
+        keep[at + 1] = False
+        moved = np.cumsum(keep)[at] - 1
+        sym, word, made, rank = sym[keep], word[keep], made[keep], rank[keep]
+        touch = np.unique(np.concatenate((moved, moved[moved > 0] - 1)))
+        fresh = np.full(len(touch), -1, np.int32)
+        inner = touch + 1 < len(sym)
+        inner[inner] &= word[touch[inner]] == word[touch[inner] + 1]
+        fresh[inner] = self.pair(sym[touch[inner]], sym[touch[inner] + 1])
+        made[touch] = fresh
+        rank[touch] = self._rank_of(fresh)
+        return sym, word, made, rank
+
+    def _rounds_by_reach(self, sym: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        made = self._pairs(sym, word)
+        rank = self._rank_of(made)
+        while len(at := np.flatnonzero(self._near(rank))):
+            sym, word, made, rank = self._merge(at, sym, word, made, rank)
+        yield word, sym
+
+    def _rounds(self, sym: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word, symbol) of words in which nothing is left to merge, as they come to it."""
+        made = self._pairs(sym, word)
         rank = self._rank_of(made)
         while len(sym):
             first = np.flatnonzero(np.diff(word, prepend=-1))
@@ -198,8 +254,7 @@ class Pieces:
             count = np.diff(np.append(first, len(sym)))
             if (least == _NONE).any():
                 over = np.repeat(least == _NONE, count)
-                done_word.append(word[over])
-                done_sym.append(sym[over])
+                yield word[over], sym[over]
                 sym, word, made, rank = sym[~over], word[~over], made[~over], rank[~over]
                 count, least = count[least != _NONE], least[least != _NONE]
                 if not len(sym):
@@ -215,32 +270,7 @@ class Pieces:
             alone = np.repeat(~self.safe[made[at[lead]]], np.diff(np.append(lead, len(at))))
             alone[lead] = False
             at = at[~alone]
-            sym[at] = made[at]
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            moved = np.cumsum(keep)[at] - 1
-            sym, word, made, rank = sym[keep], word[keep], made[keep], rank[keep]
-            touch = np.unique(np.concatenate((moved, moved[moved > 0] - 1)))
-            fresh = np.full(len(touch), -1, np.int32)
-            inner = touch + 1 < len(sym)
-            inner[inner] &= word[touch[inner]] == word[touch[inner] + 1]
-            fresh[inner] = self.pair(sym[touch[inner]], sym[touch[inner] + 1])
-            made[touch] = fresh
-            rank[touch] = self._rank_of(fresh)
-        word = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
-        sym = np.concatenate(done_sym) if done_sym else np.zeros(0, np.int32)
-        order = np.argsort(word, kind="stable")
-        word, sym = word[order], sym[order]
-        if len(sym) and sym.max() >= self.size:  # byte fallback
-            raw = sym >= self.size
-            char = sym[raw] - self.size
-            width = np.ones(len(sym), np.int64)
-            width[raw] = 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)
-            out = np.repeat(sym, width)
-            data = np.frombuffer(char.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
-            out[np.repeat(raw, width)] = self.byte[data]
-            word, sym = np.repeat(word, width), out
-        return sym.astype(np.int32), np.bincount(word, minlength=len(found))
+            sym, word, made, rank = self._merge(at, sym, word, made, rank)
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
         """UTF-8 of each sequence ids[first[k]:first[k + 1]], as the library decodes it."""
@@ -287,31 +317,84 @@ class Encoder:
 
     def _clear(self) -> None:
         self.slot: dict[str, int] = {}
-        self.ids, self.at, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.at, self.n, self.used, self.words = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0, 0
+
+    def _keep(self, ids: np.ndarray, n: np.ndarray) -> None:
+        """Put words at the end of arrays that double when they are full."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while self.words + len(n) > len(self.n):
+            self.at, self.n = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.n))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.at[self.words : self.words + len(n)] = self.used + np.cumsum(n) - n
+        self.n[self.words : self.words + len(n)] = n
+        self.used, self.words = self.used + len(ids), self.words + len(n)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end)."""
-        split = []
-        for t in texts:
-            if not t:
-                split.append([])
-                continue
-            if MARK in t:
-                t = t.replace(MARK, " ")
-            split.append(t.split(" ") if t[0] != " " and "  " not in t and t[-1] != " " else [w[1:] for w in _WORD.findall(" " + t)])
-        flat = [w for s in split for w in s]  # each without its first space
-        if len(self.slot) > self.kept:
+        out, count, held, size = [], np.zeros(len(texts) + 1, np.int64), [], 0
+
+        def flush():
+            ids, n = self._encode([w for _, w in held])
+            ends = np.concatenate(([0], np.cumsum(n)))
+            at = 0
+            for t, w in held:
+                count[t + 1] += ends[at + len(w)] - ends[at]
+                at += len(w)
+            out.append(ids)
+            held.clear()
+
+        for t, text in enumerate(texts):
+            for part in _parts(text):
+                held.append((t, part[1]))
+                size += part[0]
+                if size >= BLOCK:
+                    flush()
+                    size = 0
+        flush()
+        return np.concatenate(out), np.cumsum(count)
+
+    def _encode(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids by word) of lists of words, each without its first space."""
+        flat = [w for s in split for w in s]
+        if self.words > self.kept:
             self._clear()
         new = list(set(flat).difference(self.slot))
-        if new:
-            ids, n = self.pieces.encode_words([" " + w for w in new])
-            self.slot.update(zip(new, range(len(self.n), len(self.n) + len(new)), strict=True))
-            self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(n) - n))
-            self.ids, self.n = np.concatenate((self.ids, ids)), np.concatenate((self.n, n))
-        slots = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
+        brief, wide = [w for w in new if len(w) <= KEPT_LENGTH], [w for w in new if len(w) > KEPT_LENGTH]
+        self.slot.update(zip(brief, range(self.words, self.words + len(brief)), strict=True))
+        self._keep(*self.pieces.encode_words([" " + w for w in brief]))
+        if not wide:
+            slots = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
+            n = self.n[slots]
+            return self.ids[spans(self.at[slots], n)], n
+        # long words aren't kept: they lie behind what is kept for this once
+        used, words, own = self.used, self.words, dict(zip(wide, range(self.words, self.words + len(wide)), strict=True))
+        self._keep(*self.pieces.encode_words([" " + w for w in wide]))
+        slots = np.fromiter((own[w] if len(w) > KEPT_LENGTH else self.slot[w] for w in flat), np.int64, len(flat))
         n = self.n[slots]
-        words = np.concatenate(([0], np.cumsum([len(s) for s in split])))
-        return self.ids[spans(self.at[slots], n)], np.concatenate(([0], np.cumsum(n)))[words]
+        out = self.ids[spans(self.at[slots], n)], n
+        self.used, self.words = used, words
+        return out
+
+
+def _parts(text: str | None) -> Iterator[tuple[int, list[str]]]:
+    """(size, words without their first space) of a text, in parts of about BLOCK characters that end with a word."""
+    if not text:
+        return
+    if MARK in text:
+        text = text.replace(MARK, " ")
+    if len(text) <= BLOCK:
+        yield len(text), text.split(" ") if text[0] != " " and "  " not in text and text[-1] != " " else [w[1:] for w in _WORD.findall(" " + text)]
+        return
+    text, held, size = " " + text, [], 0
+    for m in _WORD.finditer(text):
+        held.append(m.group()[1:])
+        size += len(held[-1]) + 1
+        if size >= BLOCK:
+            yield size, held
+            held, size = [], 0
+    if held:
+        yield size, held
 
 
 def encode(docs: DataFrame, model: str, decoded: bool = False) -> DataFrame:
