@@ -5,12 +5,14 @@ largest score that the rest can still give, by the Cauchy-Schwarz inequality on
 k-th best so far, and candidates that can't reach it for any query of the tile are compacted away. Bounds are rounded up and only strictly smaller
 candidates go, so ties and all results are exact.
 
-Plan: queries go out in broadcast blocks of at most QUERY_ROWS rows; each block is one pass over the candidates, which stay where they are. A task
-returns k rows a query, and one shuffle of those takes the best by query. Neither side is ever paired row by row.
+Plan: queries go out in broadcast blocks of about QUERY_BYTES, measured before; each block is one pass over the candidates, which stay where they are. A task
+returns k rows a query, and one shuffle of those takes the best by query. Where there are several blocks, each is a job of its own that writes k rows a query and lets go of
+its broadcast. Neither side is ever paired row by row.
 
 Cases: vectors that are null, empty or hold null or non-finite components, and rows with a null vec_id, take no part. Only vectors of the same length are
-compared. All rows with the query's vec_id are its own and are no candidates; rows that repeat another vec_id are candidates each. A repeated query id is
-one query whose rows' results are merged. Scores that don't fit 64 bits are ranked exactly and given as the nearest 64-bit value.
+compared, of any length. All rows with the query's vec_id are its own and are no candidates; rows that repeat another vec_id are candidates each. A repeated query id is
+one query whose rows' results are merged. Scores that don't fit 64 bits are ranked exactly and given as the nearest 64-bit value. Empty tables
+give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import chunks, text_table, tune
+from attesta.llm.common import BROADCAST_BYTES, chunks, text_table, tune, written
 
 K, EVERY, SCALE = 5, 50, 256
-#: Rows of one broadcast block of queries, and queries worked on at once.
-QUERY_ROWS, TILE = 16_384, 32
+#: Bytes of one broadcast block of queries, at 8 a component, and queries worked on at once.
+QUERY_BYTES, TILE = BROADCAST_BYTES // 2, 32
 #: Dimensions added before candidates are compacted.
 DIM_BLOCK = 16
 
@@ -122,10 +124,19 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     tune(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     asked = rows.where((F.col("vec_id") % every == 0) & F.col("embedding").isNotNull())
-    n_blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    size = asked.agg(F.sum(8 * F.size("embedding") + 16)).first()[0] or 0
+    n_blocks = max(1, -(-int(size) // QUERY_BYTES))
+    w = Window.partitionBy("query_id").orderBy(F.desc("approx"), F.desc("digits"), "vec_id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        # A score of up to 38 digits is exact as a decimal; beyond that its order is kept by a double.
+        exact = F.expr("try_cast(exact AS decimal(38,0))")
+        score = F.coalesce(exact.cast("double"), F.col("exact").cast("double"))
+        return found.select("query_id", "vec_id", score.alias("approx"), exact.alias("digits"), "exact").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
     out = None
     for n in range(n_blocks):
-        block = (asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == n)).toArrow().combine_chunks()  # about QUERY_ROWS rows
+        block = (asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_blocks)) == n)).toArrow().combine_chunks()  # about QUERY_BYTES
         column = lambda t, c: t.column(c).chunk(0) if t.column(c).num_chunks else pa.array([], t.schema.field(c).type)
         held = spark.sparkContext.broadcast(_vectors(column(block, "vec_id"), column(block, "embedding"), scale))
 
@@ -143,14 +154,12 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
                 yield pa.RecordBatch.from_arrays([pa.array(held.value[d][0][best.q]), pa.array(best.id), s], ["query_id", "vec_id", "exact"])
 
         part = rows.mapInArrow(scan, "query_id long, vec_id long, exact string")
+        if n_blocks > 1:
+            part = written(ranked(part).select("query_id", "vec_id", "exact"), "nearest")
+            held.unpersist()
         out = part if out is None else out.unionByName(part)
-    # A score of up to 38 digits is exact as a decimal; beyond that its order is kept by a double.
-    score = F.coalesce(F.expr("try_cast(exact AS decimal(38,0))").cast("double"), F.col("exact").cast("double"))
-    exact = F.expr("try_cast(exact AS decimal(38,0))")
-    w = Window.partitionBy("query_id").orderBy(F.desc("approx"), F.desc("digits"), "vec_id")
-    ranked = out.select("query_id", "vec_id", score.alias("approx"), exact.alias("digits"), "exact").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     bound = F.when(F.col("approx") > 0, F.lit((1 << 63) - 1)).otherwise(F.lit(-(1 << 63)))
-    return ranked.select("query_id", "rank", "vec_id", F.coalesce(F.expr("try_cast(exact AS bigint)"), bound).alias("score"))
+    return ranked(out).select("query_id", "rank", "vec_id", F.coalesce(F.expr("try_cast(exact AS bigint)"), bound).alias("score"))
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
