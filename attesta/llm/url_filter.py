@@ -6,11 +6,11 @@ and the connected components of these edges carry block decisions to every membe
 holds against any blocked alias.
 
 Plan: everything is built-in expressions; pages without such tags (nearly all) are never shuffled for the graph, only nodes that have an edge are.
-Hot hosts cost nothing: nothing is grouped by host.
+Hot hosts cost nothing: nothing is grouped by host. Pages that are no node are spread evenly in the join with aliases.
 
 Cases: a null url, or one without ://, has empty host and path, fits no rule with a host and is allowed. Null html has no edges. Repeated rows
-and ids are judged one by one. A URL that only occurs as a link target is a member of its component with the rules that fit it. Columns of the input
-stay, but for host, path, rule and verdict, which are replaced.
+and ids are judged one by one. A URL that only occurs as a link target is a member of its component with the rules that fit it. Very long urls and
+pages are taken whole. Columns of the input stay, whatever their names, but for host, path, rule and verdict, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BROADCAST_BYTES, text_table, tune, written
+from attesta.llm.common import BROADCAST_BYTES, free_name, text_table, tune, written
 from attesta.llm.components import connected_components
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -41,21 +41,21 @@ def node(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host(url), F.regexp_extract(url, _PARTS, 2), F.regexp_extract(url, _PARTS, 3)))
 
 
-def _judged(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+def _judged(df: DataFrame, rules: list[tuple[str, str, str]], hit: str = "hit") -> DataFrame:
     """df, which has host and path, with hit: struct(length, allowed, rule, verdict) of the best rule, or null."""
     if len(rules) <= MOST_EXPRESSIONS:
         hits = [
             F.when(((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p), F.struct(F.lit(len(h + p)).alias("length"), F.lit(int(v == "allow")).alias("allowed"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")))
             for h, p, v in rules
         ]
-        return df.withColumn("hit", F.greatest(*hits, *hits[:1]) if hits else F.lit(None).cast("struct<length:int,allowed:int,rule:string,verdict:string>"))
+        return df.withColumn(hit, F.greatest(*hits, *hits[:1]) if hits else F.lit(None).cast("struct<length:int,allowed:int,rule:string,verdict:string>"))
     table = df.sparkSession.createDataFrame([(h, p, len(h + p), int(v == "allow"), h + p, v) for h, p, v in rules], "rh string, rp string, length int, allowed int, rule string, verdict string")
     if sum(len(h + p) + 80 for h, p, _ in rules) <= BROADCAST_BYTES:
         table = F.broadcast(table)
     labels = F.split("host", r"\.")
     own = df.select("host", "path").distinct()
     tails = own.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("rh"))
-    best = tails.join(table, "rh").where(F.col("path").startswith(F.col("rp"))).groupBy("host", "path").agg(F.max(F.struct("length", "allowed", "rule", "verdict")).alias("hit"))
+    best = tails.join(table, "rh").where(F.col("path").startswith(F.col("rp"))).groupBy("host", "path").agg(F.max(F.struct("length", "allowed", "rule", "verdict")).alias(hit))
     return df.join(best, ["host", "path"], "left")
 
 
@@ -86,19 +86,24 @@ def links(pages: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule and verdict. edges (a, b) of nodes come from the html unless given."""
     tune(pages.sparkSession)
-    own = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict", "hit"}]
-    base = _judged(pages.select(*[F.col(f"`{c}`") for c in own], host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), rules)
+    own = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict"}]
+    names = [F.col(f"`{c}`") for c in own]
+    hit = free_name(pages, "hit")
+    base = _judged(pages.select(*names, host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), rules, hit)
     edges = written((links(pages) if edges is None else edges).select("a", "b").distinct(), "links")
     if not edges.head(1):
-        return base.select(*own, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit("allow")).alias("verdict"))
+        return base.select(*names, "host", "path", F.col(f"{hit}.rule").alias("rule"), F.coalesce(f"{hit}.verdict", F.lit("allow")).alias("verdict"))
     members = connected_components(edges)
     as_url = F.concat(F.lit("x://"), F.col("node"))
     judged = _judged(members.withColumn("host", host(as_url)).withColumn("path", path(as_url)), rules)
     blocked = judged.where("hit.verdict = 'block'").select("component").distinct()
-    hit_nodes = members.join(blocked, "component", "left_semi").select(F.col("node").alias("__node"), F.lit(True).alias("__alias"))
-    out = base.withColumn("__node", node(F.col("url"))).join(hit_nodes, "__node", "left")
-    verdict = F.coalesce("hit.verdict", F.when(F.col("__alias"), "block"), F.lit("allow"))
-    return out.select(*own, "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"))
+    at, alias = free_name(base, "node"), free_name(base, "alias")
+    hit_nodes = members.join(blocked, "component", "left_semi").select(F.col("node").alias(at), F.lit(True).alias(alias))
+    # what is no node gets a key of its own that no node has
+    key = F.coalesce(node(F.col("url")), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
+    out = base.withColumn(at, key).join(hit_nodes, at, "left")
+    verdict = F.coalesce(f"{hit}.verdict", F.when(F.col(alias), "block"), F.lit("allow"))
+    return out.select(*names, "host", "path", F.col(f"{hit}.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
