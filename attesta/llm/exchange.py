@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from attesta.llm.common import chunks, shared_path, spans, tune
 
@@ -114,12 +116,19 @@ class Corpus:
 
     def finish(self, result: Callable[[pa.RecordBatch, dict], pa.RecordBatch], schema: str, replies: DataFrame) -> DataFrame:
         """result(batch, replies) of every chunk; it must have the columns of schema."""
-        return self._with(replies).applyInArrow(lambda t, r: pa.Table.from_batches([result(opened(t.column("body")[0].as_py()), answers(r))]), schema)
+        fit = fitted(schema)
+        return self._with(replies).applyInArrow(lambda t, r: fit(pa.Table.from_batches([result(opened(t.column("body")[0].as_py()), answers(r))])), schema)
 
     def _with(self, replies: DataFrame):
         return self.rows.groupBy("chunk").cogroup(replies.groupBy("chunk"))
 
 
+def fitted(schema: str) -> Callable[[pa.Table], pa.Table]:
+    """A function that gives tables with these columns the types that Spark expects: values that can't be null, in nested columns too, are declared as if they could."""
+    want = to_arrow_schema(StructType.fromDDL(schema))
+    return lambda t: t.select(want.names).cast(want)
+
+
 def closed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:

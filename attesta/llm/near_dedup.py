@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import BATCH_BYTES, Hasher, buffers, mix, padded, text_table, with_fields, words, written
 from attesta.llm.components import connected_components
-from attesta.llm.exchange import Corpus, Sent, codes, column, opened, reply
+from attesta.llm.exchange import Corpus, Sent, codes, column, fitted, opened, reply
 
 PERCENT, BANDS, ROWS = 75, 74, 6
 PLACES = 1 << 20
@@ -363,7 +363,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows
     known, final = _components(corpus, percent, bands, rows)
     c = known.where("doc IS NOT NULL").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     gone = c.where(F.coalesce("component", "rep", "doc") != F.col("doc")).select("chunk", "doc").distinct()
-    names = docs.columns
+    fit = fitted(with_fields(docs))
 
     def drop(t: pa.Table, out: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -372,7 +372,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows
         if out.num_rows:
             ids = b.column(b.schema.get_field_index("doc_id")).cast(pa.int64())
             b = b.filter(pc.invert(pc.fill_null(pc.is_in(ids, value_set=out.column("doc").combine_chunks()), False)))
-        return pa.Table.from_batches([b]).select(names)
+        return fit(pa.Table.from_batches([b]))
 
     return corpus.rows.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(drop, with_fields(docs))
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
 
@@ -34,7 +35,8 @@ def docs_list():
 def docs(spark, docs_list):
     """The corpus with columns whose names operators use for their results."""
     rows = [(d, t, "en", 0.5, 7, "keep", [1]) for d, t in docs_list]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, n_lines long, kept string, ids array<int>").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, n_lines long, kept string, ids array<int>").repartition(3)
+    return df.withColumn("Nested", F.struct(F.lit(1).alias("a"), F.array(F.lit(2)).alias("b")))  # values that can't be null
 
 
 @pytest.fixture(scope="session")

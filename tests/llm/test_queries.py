@@ -28,39 +28,43 @@ def test_tokens_of_the_tables(spark, sf):
 def test_pipeline_equals_brute_force(spark, docs_list, tmp_path):
     import sentencepiece
 
-    seen, rows = set(), []
-    for d, t in docs_list:  # one row an id, as the tables have
-        if d not in seen and d is not None:
-            seen.add(d)
-            rows.append((d, t, "en", "s", len(t or "")))
-    bad = [(1000 + i, f"JUNK!! ALL!! CAPS!! NUMBER!! {i * 7}!!", "en", "s", 30) for i in range(40)]
-    leak = [(2000, "before " + " ".join(f"w{i}" for i in range(14)) + " after", "en", "s", 50)]
-    labels = [(d, 1) for d, *_ in rows] + [(d, 0) for d, *_ in bad]
-    spark.createDataFrame(rows + bad + leak, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(d, t, "en", "s", len(t) if t is not None else None, "kept", 7) for d, t in docs_list]  # with nulls and repeated ids
+    junk, long = [f"JUNK!! ALL!! CAPS!! NUMBER!! {i * 7}!!" for i in range(40)], "before " + " ".join(f"w{i}" for i in range(14)) + " after"
+    bad = [(1000 + i, t, "en", "s", len(t), "kept", 7) for i, t in enumerate(junk)]
+    leak = [(2000, long, "en", "s", len(long), "kept", 7)]
+    labels = [(d, 1) for d in sorted({r[0] for r in rows if r[0] is not None})] + [(d, 0) for d, *_ in bad]
+    spark.createDataFrame(rows + bad + leak, "doc_id long, text string, lang string, source string, n_chars long, score string, n_lines int").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(14)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     sf = str(tmp_path)
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    scored = quality.score_quality(docs, quality.fit(quality.training_rows(docs, spark.read.parquet(f"{sf}/labels.parquet"))))
-    now = [(r["doc_id"], r["text"]) for r in scored.where("score >= 0.3").collect()]
-    assert len(now) < len(rows) + len(bad) and {d for d, _ in now} >= {2000}
+    text = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    own = lambda df: {(r["lang"], r["score"], r["n_lines"]) for r in df.collect()} == {("en", "kept", 7)} and df.columns == docs.columns
+    scored = quality.score_quality(docs.select("doc_id", "text"), quality.fit(quality.training_rows(docs, spark.read.parquet(f"{sf}/labels.parquet"))))
+    now = text(scored.where("score >= 0.3"))
+    assert len(now) < len(rows) + len(bad) and (None, None) in now and 2000 in {d for d, _ in now}
 
     first = corpus_pipeline.STAGES[0][1](spark, docs, sf)
-    assert first.columns == docs.columns and sorted(r["doc_id"] for r in first.collect()) == sorted(d for d, _ in now)
+    assert own(first) and text(first) == now
     second = corpus_pipeline.STAGES[1][1](spark, first, sf)
-    got = {r["doc_id"]: r for r in second.collect()}
-    assert {d: hashlib.sha256(r["text"].encode()).hexdigest() for d, r in got.items()} == {d: s for d, _, _, s in brute.lines(now)}
-    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
-    now = [(d, r["text"]) for d, r in got.items()]
-    kept = {d for d, _, _, k in brute.near(now) if k}
-    now = [(d, t) for d, t in now if d in kept]
+    assert own(second)
+    got = second.collect()
+    assert sorted(((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in got), key=str) == sorted(((d, s) for d, _, _, s in brute.lines(now)), key=str)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+    now = text(second)
+    kept = {str(d) for d, _, _, k in brute.near(now) if k}
+    now = [(d, t) for d, t in now if str(d) in kept]
+    third = corpus_pipeline.STAGES[2][1](spark, second, sf)
+    assert own(third) and text(third) == now
     leaks = {d for d, *_, bad_ in brute.leaks(now, [(1, " ".join(f"w{i}" for i in range(14)))]) if bad_}
     assert leaks == {2000}
-    now = {d: t for d, t in now if d not in leaks}
+    now = [(d, t) for d, t in now if d not in leaks]
+    fourth = corpus_pipeline.STAGES[3][1](spark, third, sf)
+    assert own(fourth) and text(fourth) == now
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
-    out = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, sf).collect()}
-    assert out == {d: lib.encode(t) for d, t in now.items()}
+    out = sorted(((r["doc_id"], r["ids"]) for r in corpus_pipeline.run(spark, sf).collect()), key=str)
+    assert out == sorted(((d, lib.encode(t or "")) for d, t in now), key=str)
 
 
 def test_pipeline_of_empty_tables(spark, tmp_path):
