@@ -808,7 +808,7 @@ rk AS (SELECT query, entry, round(score, 6) AS score, row_number() OVER (PARTITI
 
 
 def _corpus(s, d):
-    return adapters.table(s, d, "documents").select(F.col("doc_id").alias("entry"), "text")
+    return adapters.wide(adapters.table(s, d, "documents")).select(F.col("doc_id").alias("entry"), "text")
 
 
 def _questions(s, d):
