@@ -65,7 +65,13 @@ def forget(spark: SparkSession) -> None:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return wide(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def wide(scan: DataFrame) -> DataFrame:
+    """A scan of several splits that are fewer than the cores (a file of one row group is work for one task), spread over all of them; larger tables stay where they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 1 < scan.rdd.getNumPartitions() < cores else scan
 
 
 def held_out(doc_id: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm import language_id, pieces, quality, topk, url_filter
 from attesta.llm.components import connected_components
+from attesta.operators import components
 
 
 def test_language(spark, docs, empty, sf):
@@ -288,8 +289,16 @@ def test_components(spark):
             x, y = find(a), find(b)
             up[max(x, y)] = min(x, y)
     df = spark.createDataFrame(edges, "a long, b long")
-    assert {r["node"]: r["component"] for r in connected_components(df).collect()} == {x: find(x) for x in up}
+    want = {x: find(x) for x in up}
+    for small in (0, 100):  # all by steps, the rest by one task
+        assert {r["node"]: r["component"] for r in components.connected_components(df, small=small).collect()} == want
+    assert {r["node"]: r["component"] for r in connected_components(df).collect()} == want
     assert connected_components(df.limit(0)).count() == 0
+    names = df.selectExpr("concat('n', a) AS a", "concat('n', b) AS b")
+    groups = {}
+    for x, c in want.items():
+        groups.setdefault(c, []).append(f"n{x}")
+    assert {r["node"]: r["component"] for r in components.connected_components(names).collect()} == {x: min(g) for g in groups.values() for x in g}
 
 
 PAGES = [
