@@ -8,6 +8,7 @@ import re
 from hashlib import sha256
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,15 +82,27 @@ def context_signature(ctx: dict | None) -> str | None:
     return sha256(canon_json(sorted([str(k), str(v)] for k, v in ctx.items())).encode()).hexdigest() if ctx else None
 
 
-@F.pandas_udf(T.StringType())
-def fact_key_udf(pred: pd.Series, args: pd.Series) -> pd.Series:
-    """Identity of (pred, arguments as strings)."""
-    return pd.Series([None if p is None or a is None else fact_key(p, list(a)) for p, a in zip(pred, args, strict=True)], dtype="object")
+def strings_json(strings: Column) -> Column:
+    """canon_json() of an array of strings, or of arrays of them, in the JVM. Spark writes control characters with capital hex digits, which become small ones here."""
+    out = F.replace(F.to_json(strings), F.lit("\\\\"), F.lit("\x01"))  # an escaped backslash isn't the beginning of an escape
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        out = F.replace(out, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
+    return F.replace(out, F.lit("\x01"), F.lit("\\\\"))
 
 
-@F.pandas_udf(T.StringType())
-def context_signature_udf(ctx: pd.Series) -> pd.Series:
-    return pd.Series([context_signature(dict(c) if c is not None else None) for c in ctx], dtype="object")
+def fact_key_of(pred: Column | str, args: Column | str) -> Column:
+    """fact_key() of (pred, arguments as strings); null if either is."""
+    pred, args = (F.col(c) if isinstance(c, str) else c for c in (pred, args))
+    name = F.regexp_extract(strings_json(F.array(pred)), r"(?s)^\[(.*)\]$", 1)
+    text = F.concat(F.lit("["), name, F.lit(","), strings_json(args), F.lit("]"))
+    return F.when(pred.isNotNull(), F.concat(F.lit("fact:"), F.substring(F.sha2(text.cast("binary"), 256), 1, 32)))
+
+
+def context_signature_of(ctx: Column | str) -> Column:
+    """context_signature() of a map of strings."""
+    ctx = F.col(ctx) if isinstance(ctx, str) else ctx
+    pairs = F.array_sort(F.transform(F.map_entries(ctx), lambda e: F.array(e["key"], F.coalesce(e["value"], F.lit("None")))))
+    return F.when(F.size(ctx) > 0, F.sha2(strings_json(pairs).cast("binary"), 256))
 
 
 def quantity_udf(to: str):

@@ -468,7 +468,8 @@ def _(s, d):
     return claims.caveats(goals, facts, claims.stability(o), tallies.regime_mixed(o)).withColumn("caveats", F.array_join("caveats", ","))
 
 
-@query("why_report")
+@query("why_report", f"""WITH {_E}, c AS (SELECT fact, actor, count(*) AS n, count(*) FILTER (outcome) AS k FROM e WHERE outcome IS NOT NULL GROUP BY ALL)
+SELECT fact, '[' || string_agg('{{"actor":"' || actor || '","n":' || n || ',"k":' || k || '}}', ',' ORDER BY actor) || ']' AS reports, 'cand:' || fact AS candidate, 'log' AS source FROM c GROUP BY fact""")
 def _(s, d):
     c = tallies.fact_counts(adapters.from_events(s, d))
     f = c.select("fact").distinct()
@@ -711,12 +712,12 @@ def _(s, d):
 @query("fact_keys", """SELECT s_suppkey, 'fact:' || substr(sha256('["supplies",["' || s_name || '","' || s_nationkey || '"]]'), 1, 32) AS fact FROM supplier""")
 def _(s, d):
     t = adapters.table(s, d, "supplier")
-    return t.select("s_suppkey", canon.fact_key_udf(F.lit("supplies"), F.array("s_name", F.col("s_nationkey").cast("string"))).alias("fact"))
+    return t.select("s_suppkey", canon.fact_key_of(F.lit("supplies"), F.array("s_name", F.col("s_nationkey").cast("string"))).alias("fact"))
 
 
 @query("context_signature", f"""WITH {_E} SELECT seq, sha256('[["kbin","' || kbin || '"],["vbin","' || vbin || '"]]') AS sig FROM e""")
 def _(s, d):
-    return adapters.from_events(s, d).select("seq", canon.context_signature_udf("ctx").alias("sig"))
+    return adapters.from_events(s, d).select("seq", canon.context_signature_of("ctx").alias("sig"))
 
 
 @query("quantity_units", "SELECT p_partkey, (p_size * 1000)::VARCHAR || 'm' AS length FROM part")

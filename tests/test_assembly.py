@@ -246,3 +246,14 @@ def test_bootstrap_weights_are_poisson(spark):
     d, lo, hi = calibration.paired_bootstrap(spark.createDataFrame(rows, "a double, b double, key long").repartition(3), draws=4000).first()
     x = np.array([a - b for a, b, _ in rows])
     assert abs(d - x.mean()) < 1e-12 and abs((hi - lo) / (2 * 1.96 * x.std() / 20) - 1) < 0.1 and lo < d < hi
+
+
+def test_identities_in_the_jvm(spark):
+    from attesta.functions import canon
+
+    odd = ["".join(map(chr, range(0x20))), "\\u000B \\\\u001F", 'a"b\\', "é日🙂\u2028\x7f/", "", "x\x0b\\", "\x1f"]
+    rows = [(p, [a, b], {a: b, "k": p}) for p, a, b in zip(odd, odd[1:] + odd[:1], odd[2:] + odd[:2], strict=True)] + [("p", [], {}), (None, ["a"], None), ("p", None, {"a": None}), ("p", ["a"], {"b": "1", "a": "2", "A": "3"})]
+    df = spark.createDataFrame(rows, "p string, a array<string>, c map<string,string>").select("p", "a", "c", canon.fact_key_of("p", "a").alias("f"), canon.context_signature_of("c").alias("s"))
+    for r in df.collect():
+        assert r.f == (None if r.p is None or r.a is None else canon.fact_key(r.p, r.a)), r
+        assert r.s == canon.context_signature(r.c), r
