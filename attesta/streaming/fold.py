@@ -41,15 +41,17 @@ def each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, in
 def fold_and_sweep(stream: DataFrame, log: str, checkpoint: str, sweep: Callable[[DataFrame, DataFrame], DataFrame], out: str):
     """Append each batch to the log and sweep again only the facts that it touched; the report of batch n replaces what an earlier try of n wrote.
 
-    A batch without an observation beyond the highest seq so far says nothing new: it is logged and not swept."""
+    A batch all of whose observations (by seq) are in the log already says nothing new: it is logged and not swept. What lies beyond the highest seq so far is news without a look at the log."""
 
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
         logged = spark.read.parquet(log)
-        progress = logged.where(F.col("batch") < number).agg(F.max("seq")).first()[0]
-        mine = logged.where(F.col("batch") == number)
+        earlier, mine = logged.where(F.col("batch") < number), logged.where(F.col("batch") == number)
+        progress = earlier.agg(F.max("seq")).first()[0]
         news = mine if progress is None else mine.where(F.col("seq") > progress)
+        if progress is not None and not news.head(1):
+            news = mine.join(earlier.select("seq"), "seq", "left_anti")
         if news.head(1):
             every = logged.where(F.col("batch") <= number).drop("batch")
             sweep(every, mine.select("fact").distinct()).write.mode("overwrite").parquet(f"{out}/batch={number}")
