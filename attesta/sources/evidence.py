@@ -60,6 +60,6 @@ def extracted(events: DataFrame, predicates: list[str], vocabulary: dict[str, tu
     vocabulary: key of ctx -> (values, what others become). Of equal (pred, arg, outcome, epoch) the smallest ctx stays; the result is in order of epoch only when it is sorted by it."""
     arg = F.lower(F.trim(F.col("arg")))
     ctx = F.create_map(*[x for k, (values, other) in vocabulary.items() for x in (F.lit(k), F.when(F.col("ctx")[k].isin(values), F.col("ctx")[k]).otherwise(other))])
-    good = events.where(F.col("pred").isin(predicates) & F.col("outcome").isNotNull()).select("epoch", "pred", arg.alias("arg"), "outcome", ctx.alias("ctx")).where(F.col("arg").rlike(r"^[a-z0-9][a-z0-9 _.-]*$"))
+    good = events.where(F.col("pred").isin(predicates) & F.col("outcome").isNotNull()).select("epoch", "pred", arg.alias("arg"), "outcome", ctx.alias("ctx")).where(F.col("arg").rlike(r"^\p{Alnum}[\w .-]*$"))
     key = F.to_json("ctx")
     return good.groupBy("pred", "arg", "outcome", "epoch").agg(F.min_by("ctx", key).alias("ctx"))
