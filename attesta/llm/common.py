@@ -6,12 +6,14 @@ Text columns cross to Python as Arrow buffers and are worked on as flat byte arr
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch in this session (the setting is read when a plan runs, so it stays set)."""
+    """Bound the bytes of an Arrow batch in this session (the setting is read when a plan runs, so it stays set), and let go of tables that nothing reads any more."""
+    sweep(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -52,7 +55,54 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends here and a lost executor costs nothing that was finished."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path, compression="zstd")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return held(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+#: Tables in the shared folder: their session, the thread that made them, a weak reference to what reads them, path and name in the catalogue.
+_HELD: list[tuple[SparkSession, int, JavaObject, str, str | None]] = []
+
+
+def held(df: DataFrame, path: str, table: str | None = None) -> DataFrame:
+    """df, a plain scan of path, or of a table that lies there. Every plan that is made of df has its relation; once the driver has collected them all, sweep() deletes the files."""
+    spark = df.sparkSession
+    if table:
+        spark.catalog.refreshTable(table)  # else the catalogue's cache has the relation too
+    _HELD.append((spark, threading.get_ident(), spark.sparkContext._jvm.java.lang.ref.WeakReference(_relation(df)), path, table))
+    return df
+
+
+def _relation(df: DataFrame) -> JavaObject:
+    return df._jdf.queryExecution().analyzed().collectLeaves().head().relation()
+
+
+def sweep(spark: SparkSession, done: list | None = None, but: DataFrame | None = None) -> None:
+    """Delete the tables of this session that no DataFrame reads any more, so far as the driver's garbage was collected: a DataFrame that can be reached keeps its tables (an RDD taken from it needn't).
+
+    done: what held_now() gave. What this thread made since goes at once, but for what but, a plain scan, reads.
+    """
+    left, ours = [], None if done is None else {id(x) for x in done}
+    for x in list(_HELD):
+        session, thread, reader, path, table = x
+        if session.sparkContext._jsc is None:  # it was stopped, what it left stays
+            continue
+        own = session.sparkContext is spark.sparkContext
+        over = own and ours is not None and id(x) not in ours and thread == threading.get_ident() and not (but is not None and _relation(but).equals(reader.get()))
+        if not own or not over and reader.get() is not None:
+            left.append(x)
+            continue
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+        _delete(spark, path)
+    _HELD[:] = left
+
+
+def held_now() -> list:
+    return list(_HELD)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def forget(spark: SparkSession) -> None:
@@ -60,8 +110,7 @@ def forget(spark: SparkSession) -> None:
     for t in spark.catalog.listTables():
         if t.name.startswith("attesta_"):
             spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/attesta")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/attesta")
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from attesta.llm.common import chunks, shared_path, spans, tune
+from attesta.llm.common import chunks, held, shared_path, spans, tune
 
 #: Text bytes of a shard; the least and most of a chunk, and the number of chunks aimed at in between.
 SHARD_BYTES = 24 << 20
@@ -83,7 +83,7 @@ class Corpus:
         self.buckets, self.table = buckets, f"attesta_{name}_{uuid.uuid4().hex}"
         path = shared_path(self.spark, name)
         packed.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(buckets, "chunk").saveAsTable(self.table)
-        self.rows = self.spark.table(self.table)
+        self.rows = held(self.spark.table(self.table), path, self.table)
 
     def derive(self, name: str, f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Corpus:
         """Another table of the same chunks, with what f makes of each."""

@@ -10,7 +10,8 @@ sets form a class at once, its smallest doc_id stands for it. (3) Chunks ask whi
 (4) First round: each document is held against one partner, the bucket minimum that it meets in most bands. Nearly all members of a family are linked
 then. (5) Second round: pairs within a bucket whose members are still in different components. The largest component of a bucket isn't paired with itself, so a
 bucket of m members of which s are strays costs s * m pairs, not m * m. In either round pairs whose bits agree in fewer places than similar sets ever do are refuted
-by 56 bytes a document; only the sets of the others are sent: those of members to their partner's shard, a partner with more than SPREAD members to several.
+by 56 bytes a document; only the sets of the others are sent: pairs of one family meet in one shard, so that
+each set goes there once; a family with more than SPREAD documents on a side is spread over several.
 (6) Components.
 
 A pair of similarity 0.75 meets in no band with probability (1 - 0.75**6)**74 = 5e-7, and is refuted by bits (five standard deviations below their mean) with
@@ -38,7 +39,7 @@ from attesta.llm.exchange import Corpus, Sent, codes, column, fitted, opened, re
 
 PERCENT, BANDS, ROWS = 75, 74, 6
 PLACES = 1 << 20
-#: Members of one partner in one shard, and bytes of sets in a shard.
+#: Documents of a side of one family in one shard, and bytes of sets in a shard.
 SPREAD, SHARD = 4_000, 24 << 20
 #: Standard deviations that the agreement of two signatures' bits may lie below what the least similarity lets expect.
 DEVIATIONS = 5
@@ -175,7 +176,7 @@ def _buckets(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
     raw = np.frombuffer(b"".join(b.column(b.schema.get_field_index("bands")).to_pylist()), "<u2").reshape(len(b), width // 6, 3)
     wide = np.zeros((len(b), width // 6, 4), "<u2")
     wide[:, :, :3] = raw
-    return b, wide.view("<u8").reshape(len(b), -1)
+    return b, wide.view("<u8").reshape(len(b), width // 6)
 
 
 def _meet(t: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
@@ -233,22 +234,36 @@ def _likely(described: Corpus, pairs: DataFrame, percent: int, coordinates: int,
     return pairs.join(own, "doc").join(other, "partner").where(differ <= coordinates - least_agreement(percent, coordinates)).select("doc", "partner").distinct()
 
 
-def _confirmed(corpus: Corpus, pairs: DataFrame, known: DataFrame, percent: int, name: str) -> DataFrame:
-    """Of pairs (doc, partner) those whose sets are similar enough, as edges (a, b)."""
-    pairs = written(pairs, f"{name}-likely")
-    total = pairs.count()
+def _asked(pairs: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """(shard, doc, partners, chunk): which sets a shard needs, each once, and which of pairs (doc, partner) it holds them against. Every pair is in one shard.
+
+    Pairs go to the shard of their family, the least document that the partner is paired with: where many documents are paired with each other a set is sent once and not with
+    each pair. A family with more than SPREAD documents on a side is a grid of parts of both sides.
+    """
+    ends = pairs.select(F.col("partner").alias("u"), F.col("doc").alias("v")).unionByName(pairs.select(F.col("doc").alias("u"), F.col("partner").alias("v")))
+    low = ends.groupBy("u").agg(F.min(F.least("u", "v")).alias("family")).withColumnRenamed("u", "partner")
+    pairs = written(pairs.join(low, "partner"), f"{name}-families")
+    grid = pairs.groupBy("family").agg(F.count_distinct("doc").alias("docs"), F.count_distinct("partner").alias("partners"))
+    grid = written(grid.withColumns({"across": F.ceil(F.col("docs") / SPREAD), "down": F.ceil(F.col("partners") / SPREAD)}), f"{name}-grid")
+    total = grid.agg(F.sum(F.expr("docs * down + partners * across"))).first()[0] or 0
     size = known.agg(F.avg("n")).first()[0] or 1
     shards = max(1, -(-int(6 * total * size) // SHARD))
-    # A partner with many members is spread over shards by its members' hashes.
-    degree = pairs.groupBy("partner").agg(F.count("*").alias("degree"))
-    spread = degree.select("partner", F.ceil(F.col("degree") / SPREAD).alias("parts"))
-    sent = pairs.join(spread, "partner").select("doc", "partner", F.pmod(F.xxhash64("partner", F.pmod(F.xxhash64("doc"), F.col("parts"))), F.lit(shards)).alias("shard"))
-    place = known.select("chunk", "doc").distinct()
-    asked = sent.select("doc", "partner", "shard", F.lit(1).alias("role")).unionByName(sent.select(F.col("partner").alias("doc"), "partner", "shard", F.lit(0).alias("role")).distinct()).join(place, "doc")
+    cell = [F.pmod(F.xxhash64(c), F.col(n)) for c, n in (("doc", "across"), ("partner", "down"))]
+    sent = pairs.join(grid, "family").select("doc", "partner", F.pmod(F.xxhash64("family", *cell), F.lit(shards)).alias("shard"))
+    asked = sent.unionByName(sent.select(F.col("partner").alias("doc"), F.lit(None).cast("long").alias("partner"), "shard").distinct())
+    return asked.groupBy("shard", "doc").agg(F.collect_list("partner").alias("partners")).join(known.select("chunk", "doc").distinct(), "doc")
+
+
+def _confirmed(corpus: Corpus, pairs: DataFrame, known: DataFrame, percent: int, name: str) -> DataFrame:
+    """Of pairs (doc, partner) those whose sets are similar enough, as edges (a, b)."""
+    asked = _asked(written(pairs, f"{name}-likely"), known, name)
+    packed_rows = "shard long, doc long, partners array<bigint>, sets binary"
+    fit = fitted(packed_rows)
+    none = fit(pa.table({"shard": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "partners": pa.array([], pa.list_(pa.int64())), "sets": pa.array([], pa.binary())}))
 
     def send(t: pa.Table, want: pa.Table) -> pa.Table:
         if not t.num_rows or not want.num_rows:
-            return pa.table({n: pa.array([], k) for n, k in (("shard", pa.int64()), ("role", pa.int32()), ("doc", pa.int64()), ("partner", pa.int64()), ("sets", pa.binary()))})
+            return none
         b = opened(t.column("body")[0].as_py())
         ids = b.column(b.schema.get_field_index("doc_id")).cast(pa.int64())
         need = pc.is_in(ids, value_set=pc.unique(want.column("doc")))
@@ -261,9 +276,9 @@ def _confirmed(corpus: Corpus, pairs: DataFrame, known: DataFrame, percent: int,
         own: dict[int, list[int]] = {}
         for i, d in enumerate(ids.tolist()):
             own.setdefault(d, []).append(i)
-        rows = [(s, r, d, p, packed[i]) for d, p, s, r in zip(*(want.column(c).to_pylist() for c in ("doc", "partner", "shard", "role")), strict=True) for i in own.get(d, ())]
-        s, r, d, p, x = zip(*rows, strict=True) if rows else ((),) * 5
-        out = pa.table({"shard": pa.array(s, pa.int64()), "role": pa.array(r, pa.int32()), "doc": pa.array(d, pa.int64()), "partner": pa.array(p, pa.int64()), "sets": pa.array(x, pa.binary())})
+        rows = [(k, i) for k, d in enumerate(want.column("doc").to_pylist()) for i in own.get(d, ())]
+        x = [packed[i] for _, i in rows]
+        out = fit(want.select(["shard", "doc", "partners"]).take(pa.array([k for k, _ in rows], pa.int64())).append_column("sets", pa.array(x, pa.binary()))).combine_chunks()
         ends = np.searchsorted(np.cumsum([len(y) for y in x]), np.arange(BATCH_BYTES, out.nbytes + BATCH_BYTES, BATCH_BYTES), "right").tolist()
         cuts = sorted({0, len(rows), *(min(len(rows), i + 1) for i in ends)})
         return pa.concat_tables([out.slice(i, j - i) for i, j in zip(cuts, cuts[1:] or [0], strict=False)])  # small batches: executors hold one at a time
@@ -273,17 +288,17 @@ def _confirmed(corpus: Corpus, pairs: DataFrame, known: DataFrame, percent: int,
         return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
     def confirm(t: pa.Table) -> pa.Table:
-        role, doc, partner = (t.column(c).to_numpy() for c in ("role", "doc", "partner"))
-        raw = t.column("sets")
+        doc, raw, listed = (t.column(c).combine_chunks() for c in ("doc", "sets", "partners"))
+        doc, partner = doc.to_numpy(), listed.flatten().to_numpy()
         center: dict[int, list[int]] = {}
-        for i in np.flatnonzero(role == 0).tolist():
-            center.setdefault(int(partner[i]), []).append(i)
+        for i in np.flatnonzero(np.isin(doc, partner)).tolist():
+            center.setdefault(int(doc[i]), []).append(i)
         found = []
-        member = np.flatnonzero(role == 1)
-        member = member[np.argsort(partner[member], kind="stable")]
-        cut = np.flatnonzero(np.diff(partner[member])) + 1
-        for group in np.split(member, cut):
-            for c in center.get(int(partner[group[0]]), ()) if len(group) else ():
+        member = np.repeat(np.arange(len(doc)), pc.list_value_length(listed).to_numpy())
+        order = np.argsort(partner, kind="stable")
+        member, partner = member[order], partner[order]
+        for group, p in zip(np.split(member, cut := np.flatnonzero(np.diff(partner)) + 1), partner[np.concatenate(([0], cut))].tolist() if len(partner) else [0], strict=True):
+            for c in center.get(p, ()) if len(group) else ():
                 own = unpacked(raw[c].as_py())
                 for part in range(0, len(group), 256):
                     rows = group[part : part + 256]
@@ -296,11 +311,11 @@ def _confirmed(corpus: Corpus, pairs: DataFrame, known: DataFrame, percent: int,
                     ends = np.cumsum(n)
                     both = total[ends] - total[ends - n]
                     ok = (both > 0) & (100 * both >= percent * (n + len(own) - both))
-                    found.extend((int(doc[i]), int(partner[i])) for i in rows[ok].tolist())
+                    found.extend((int(doc[i]), p) for i in rows[ok].tolist())
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    made = corpus.rows.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(send, "shard long, role int, doc long, partner long, sets binary")
+    made = corpus.rows.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(send, packed_rows)
     return written(made.groupBy("shard").applyInArrow(confirm, "a long, b long").distinct(), f"{name}-links")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Hasher, buffers, chunks, held_out, padded, text_table, tune, with_fields, words, written
+from attesta.llm.common import BROADCAST_BYTES, Hasher, buffers, chunks, held_out, padded, text_table, tune, with_fields, words, written
 
 MAX_ROWS = 200_000
 FEATURES, WIDTH, RIDGE, SEED = 384, 1.0, 1e-3, 7
@@ -156,6 +156,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     n = y.count()
     if n > max_rows:
         y = y.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40)) < int((1 << 40) * max_rows / n))
+        n = y.count()
+    if 32 * n <= BROADCAST_BYTES:  # else statistics are shuffled
+        y = F.broadcast(y)
     return written(x.join(y, "doc_id"), "labelled")
 
 

@@ -1,3 +1,7 @@
+import gc
+import time
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -98,3 +102,30 @@ def test_shared_folder_can_be_emptied(spark):
     with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
         spark.catalog.clearCache()
         kept.count()
+
+
+def test_tables_go_with_what_reads_them(spark):
+    folder = Path(common.shared_dir(spark).removeprefix("file://"), "attesta")
+    there = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+
+    def collected():
+        for _ in range(2):  # Python's objects, then (py4j lets go of them once a second) the driver's
+            gc.collect()
+            time.sleep(1.5)
+            spark.sparkContext._jvm.System.gc()
+        common.sweep(spark)
+
+    collected()
+    before = there()
+    one = common.written(spark.range(3), "some")
+    out = near_dedup.near_dedup(spark.createDataFrame([(1, "some words here"), (2, "Some words here"), (3, None)], "doc_id long, text string"))
+    ids = out.select("doc_id")
+    del out
+    collected()
+    made = there() - before
+    assert {n.rpartition("-")[0] for n in made} >= {"some", "near", "signatures"}
+    assert sorted(r["doc_id"] for r in ids.collect()) == [1, 3] and one.count() == 3
+    del ids
+    collected()
+    assert {n.rpartition("-")[0] for n in there() - before} == {"some"}
+    assert not any(t.name.removeprefix("attesta_").replace("_", "-") in made for t in spark.catalog.listTables())

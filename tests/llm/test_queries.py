@@ -1,10 +1,11 @@
 import hashlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from attesta.llm import pieces, quality, queries
+from attesta.llm import common, pieces, quality, queries
 from tests import compare
 from tests.llm import brute
 
@@ -75,3 +76,11 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     for name, f in queries.QUERIES.items():
         if name not in ("op6_top_k", "op10_url_filter"):
             assert f(spark, str(tmp_path)).select(F.count("*")).first()[0] == 0
+
+
+def test_pipeline_lets_go_of_tables(spark, sf):
+    folder = Path(common.shared_dir(spark).removeprefix("file://"), "attesta")
+    there = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+    before = there()
+    out = corpus_pipeline.run(spark, sf)
+    assert {n.rpartition("-")[0] for n in there() - before} == {"stage-decontaminate"} and out.count()

@@ -71,6 +71,27 @@ def test_near(docs, docs_list, empty):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.near_dedup(empty).count() == 0
 
 
+def test_near_in_parts_of_families(docs, docs_list, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SPREAD", 2)
+    monkeypatch.setattr(near_dedup, "SHARD", 2_000)
+    assert got(near_dedup.near_duplicates(docs, chunk=4000), "doc_id", "n_shingles", "component_id", "kept") == want(brute.near(docs_list))
+
+
+@pytest.mark.parametrize("spread", [4_000, 8])
+def test_near_sends_a_set_once_and_not_with_each_pair(spark, monkeypatch, spread):
+    monkeypatch.setattr(near_dedup, "SPREAD", spread)
+    monkeypatch.setattr(near_dedup, "SHARD", 6 * 1000)
+    families = [range(0, 40), range(100, 110), range(200, 203)]
+    pairs = {(y, x) for f in families for x in f for y in f if x < y}
+    known = spark.createDataFrame([(d % 7, d, 10) for f in families for d in f], "chunk long, doc long, n long")
+    rows = near_dedup._asked(spark.createDataFrame(sorted(pairs), "doc long, partner long"), known, "test").collect()
+    there = {(r["shard"], r["doc"]) for r in rows}
+    held = sorted((r["doc"], p) for r in rows for p in r["partners"])
+    assert held == sorted(pairs) and all((r["shard"], p) in there for r in rows for p in r["partners"])
+    assert all(r["chunk"] == r["doc"] % 7 for r in rows) and len(there) == len(rows)
+    assert len(rows) == 53 if spread > 40 else 53 < len(rows) < len(pairs)
+
+
 ITEMS = [(1, " ".join(f"w{i}" for i in range(14))), (2, "Short ITEM, here"), (3, None), (4, "..."), (None, "the Of data rows hot merge sort quick lazy dog it"), (1, "two words"), (10, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu")]
 
 
