@@ -88,7 +88,7 @@ def calibrated(predicted: DataFrame, knots: DataFrame | None) -> DataFrame:
     """p and its interval through the isotonic map with these knots (x, y); without any, as they are."""
     if knots is None:
         return predicted
-    out = predicted
+    out, knots = predicted, checkpointed(knots.select("x", "y"))  # read three times
     for c in ("p", "ci_lo", "ci_hi"):
         out = calibration.isotonic_apply(out, knots, c).withColumn(c, F.coalesce("calibrated", c)).drop("calibrated")
     return out.select(*predicted.columns)

@@ -7,6 +7,8 @@ exclusive facts. Rows are independent; a batch of them runs in numpy. Votes arri
 from __future__ import annotations
 
 import functools
+import sys
+from collections import Counter
 from collections.abc import Iterable
 from hashlib import sha256
 
@@ -21,6 +23,8 @@ from attesta.sources.shared import spread
 
 SAMPLES, LEAST, EXACT, GAMMA = 512, 64, 12, 0.5
 EPI_PRIOR = {"crisp": (1.0, 1.0), "frequency": (99.0, 1.0)}
+#: Numbers by node and world that are held at a time.
+BLOCK = 1 << 20
 
 
 def samples_for(budget: int) -> int:
@@ -45,7 +49,7 @@ _SHUFFLES, _GRIDS = _Kept(8_192), _Kept(4_096)
 def permutations(tags: list[str], n: int) -> np.ndarray:
     """(tags, n): a shuffle of n for each tag that depends on the tag only; all tags take each of the n steps together."""
     m = len(tags)
-    order = np.tile(np.arange(n), (m, 1))
+    order = np.tile(np.arange(n, dtype=np.uint16 if n <= 1 << 16 else np.int64), (m, 1))
     state = np.array([int.from_bytes(sha256(t.encode()).digest()[:8], "big") for t in tags], np.uint64)
     rows = np.arange(m)
     for i in range(n - 1, 0, -1):
@@ -86,8 +90,8 @@ def _prepare(tags: set[str], pairs: set[tuple[float, float]], n: int) -> None:
         _GRIDS.add([(*p, n) for p in pairs], grids(pairs, n))
 
 
-#: Problems whose shuffles and grids are made together.
-TOGETHER = 256
+#: Problems, and facts of them, whose shuffles and grids are made together.
+TOGETHER, FACTS = 256, 2048
 
 
 def _parts(pdf: pd.DataFrame):
@@ -95,19 +99,149 @@ def _parts(pdf: pd.DataFrame):
         yield pdf.iloc[a : a + TOGETHER]
 
 
+def _by_facts(pdf: pd.DataFrame):
+    """Problems in parts of up to TOGETHER, with up to FACTS facts unless one has more."""
+    begin = facts = 0
+    for i, n in enumerate(map(len, pdf.facts)):
+        if i > begin and (i - begin == TOGETHER or facts + n > FACTS):
+            yield pdf.iloc[begin:i]
+            begin, facts = i, 0
+        facts += n
+    yield pdf.iloc[begin:]
+
+
+def _others(xs: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of xs the product of all others."""
+    out, run = [], 1.0
+    for x in xs:
+        out.append(run)
+        run = run * x
+    run = 1.0
+    for i in range(len(xs) - 1, -1, -1):
+        out[i] = out[i] * run
+        run = run * xs[i]
+    return out
+
+
+def _apart(conjuncts: frozenset) -> list[frozenset]:
+    """Conjuncts in sets that share no fact."""
+    parent: dict[str, str] = {}
+
+    def root(f):
+        while parent[f] != f:
+            parent[f] = f = parent[parent[f]]
+        return f
+
+    for c in conjuncts:
+        first, *rest = sorted(c)
+        parent.setdefault(first, first)
+        for f in rest:
+            parent[root(parent.setdefault(f, f))] = root(first)
+    sets: dict[str, list] = {}
+    for c in conjuncts:
+        sets.setdefault(root(min(c)), []).append(c)
+    return [frozenset(s) for _, s in sorted((min(min(c) for c in s), s) for s in sets.values())]
+
+
+class Chance:
+    """Probability that some conjunct of a disjunction holds, of facts that are independent: exact for any number of conjuncts.
+
+    Conjuncts without a common fact are independent. Those that share facts are told apart by the fact that most of them have, with it and without it, and what is left is treated
+    alike; a few with more common facts than conjuncts by inclusion and exclusion. Time and nodes are linear where few facts are shared; in the worst case, as with any exact method, they are exponential in
+    the shared facts of one set. The nodes are made once; worlds run through them in blocks of bounded size."""
+
+    def __init__(self, dnf: Iterable[Iterable[str]]):
+        self.nodes: list[tuple] = []
+        self.seen: dict[frozenset, int] = {}
+        dnf = frozenset(map(frozenset, dnf))
+        facts = set().union(*dnf)
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 4 * len(facts)))
+        self.top = self._some(dnf)
+        self.step = max(1, BLOCK // len(self.nodes))
+
+    def _add(self, *node) -> int:
+        self.nodes.append(node)
+        return len(self.nodes) - 1
+
+    def _some(self, conjuncts: frozenset) -> int:
+        if frozenset() in conjuncts:
+            return self._add("all", ())
+        parts = [self._part(s) for s in _apart(conjuncts)]
+        return parts[0] if len(parts) == 1 else self._add("some", parts)
+
+    def _part(self, own: frozenset) -> int:
+        if own not in self.seen:
+            times = Counter(f for c in own for f in c)
+            shared = sum(m > 1 for m in times.values())
+            if len(own) == 1:
+                node = self._add("all", tuple(sorted(*own)))
+            elif len(own) <= EXACT and shared >= len(own):
+                every = sorted(map(sorted, own))
+                picks = ([c for i, c in enumerate(every) if pick >> i & 1] for pick in range(1, 1 << len(every)))
+                node = self._add("sum", [(1 if len(c) % 2 else -1, tuple(sorted(set().union(*c)))) for c in picks])
+            else:
+                f = min(times, key=lambda f: (-times[f], f))
+                node = self._add("if", f, self._some(frozenset(c - {f} for c in own)), self._some(frozenset(c for c in own if f not in c)))
+            self.seen[own] = node
+        return self.seen[own]
+
+    def _run(self, p: dict[str, np.ndarray], at: slice, n: int) -> list[np.ndarray]:
+        zero, one = np.zeros(n), np.ones(n)
+        get = lambda f: p[f][at] if f in p else zero
+        product = lambda fs: functools.reduce(np.multiply, map(get, fs), one)
+        out: list[np.ndarray] = []
+        for kind, *x in self.nodes:
+            if kind == "all":
+                out.append(product(x[0]))
+            elif kind == "some":
+                out.append(1 - functools.reduce(np.multiply, (1 - out[i] for i in x[0]), one))
+            elif kind == "if":
+                f = get(x[0])
+                out.append(f * out[x[1]] + (1 - f) * out[x[2]])
+            else:
+                out.append(sum(sign * product(fs) for sign, fs in x[0]))
+        return out
+
+    def _blocks(self, n: int):
+        return ((slice(a, min(n, a + self.step)), min(n, a + self.step) - a) for a in range(0, n, self.step))
+
+    def value(self, p: dict[str, np.ndarray], n: int) -> np.ndarray:
+        return np.concatenate([self._run(p, at, m)[self.top] for at, m in self._blocks(n)])
+
+    def slopes(self, p: dict[str, np.ndarray], n: int):
+        """(worlds, by fact the difference that it makes to be true or false), by block: one pass back through the nodes for all facts."""
+        for at, m in self._blocks(n):
+            value, zero = self._run(p, at, m), np.zeros(m)
+            get = lambda f: p[f][at] if f in p else zero  # noqa: B023, E731
+            own: list = [0.0] * len(self.nodes)
+            own[self.top] = np.ones(m)
+            out: dict[str, np.ndarray] = {}
+
+            def add(fs, g):
+                for f, d in zip(fs, _others([get(f) for f in fs]), strict=True):  # noqa: B023
+                    out[f] = out.get(f, zero) + g * d  # noqa: B023
+
+            for i in range(len(self.nodes) - 1, -1, -1):
+                (kind, *x), g = self.nodes[i], own[i]
+                own[i] = None
+                if kind == "all":
+                    add(x[0], g)
+                elif kind == "some":
+                    for k, d in zip(x[0], _others([1 - value[k] for k in x[0]]), strict=True):
+                        own[k] = own[k] + g * d
+                elif kind == "if":
+                    f, yes, no = x
+                    out[f] = out.get(f, zero) + g * (value[yes] - value[no])
+                    own[yes], own[no] = own[yes] + g * get(f), own[no] + g * (1 - get(f))
+                else:
+                    for sign, fs in x[0]:
+                        add(fs, sign * g)
+            yield at, out
+
+
 def mass(dnf: list[list[str]], p: dict[str, np.ndarray], n: int) -> np.ndarray:
-    """Probability that some conjunct holds, by world: inclusion and exclusion up to EXACT conjuncts, beyond it a noisy-or of the largest."""
-    conj = lambda c: functools.reduce(np.multiply, (p.get(f, np.zeros(n)) for f in c), np.ones(n))
-    if not dnf:
-        return np.zeros(n)
-    if len(dnf) <= EXACT:
-        total = np.zeros(n)
-        for pick in range(1, 1 << len(dnf)):
-            chosen = [c for i, c in enumerate(dnf) if pick >> i & 1]
-            total += (1 if len(chosen) % 2 else -1) * conj(set().union(*chosen))
-        return total
-    each = np.sort(np.stack([conj(c) for c in dnf]), 0)[::-1][:EXACT]
-    return 1 - np.prod(1 - each, 0)
+    """Probability that some conjunct holds, by world."""
+    return Chance(dnf).value(p, n)
 
 
 def _logodds(votes: list[dict], rates: dict[str, tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
@@ -137,20 +271,22 @@ def solve(dnf: list[list[str]], facts: dict[str, dict], exclusive: Iterable[list
     for actor in sorted({v["actor"] for st in facts.values() for v in st.get("votes") or ()}):
         tp, fn, fp, tn = (confusion or {}).get(actor, (0, 0, 0, 0))
         rates[actor] = (_grid(E.SENS_PRIOR[0] + tp, E.SENS_PRIOR[1] + fn, n)[permutation(actor + "|sens", n)], _grid(E.FPR_PRIOR[0] + fp, E.FPR_PRIOR[1] + tn, n)[permutation(actor + "|fpr", n)])
-    truth, theta, cont = {}, {}, {}
+    truth, theta, cont, both = {}, {}, {}, {}
+    zero, one, steps = np.zeros(n), np.ones(n), (np.arange(n) + 0.5) / n
     for f, st in facts.items():
-        u = ((np.arange(n) + 0.5) / n)[permutation(f + "|bernoulli", n)]
+        u = steps[permutation(f + "|bernoulli", n)]
         if st.get("pinned"):
-            truth[f] = theta[f] = cont[f] = np.zeros(n)
+            truth[f] = theta[f] = cont[f] = zero
         elif st["stmt_type"] == "crisp" and st.get("votes"):
             p = 1 / (1 + np.exp(-np.clip(_logodds(st["votes"], rates, n), -60, 60)))
-            truth[f], theta[f], cont[f] = (u < p).astype(float), np.ones(n), p
+            truth[f], theta[f], cont[f] = (u < p).astype(float), one, p
         else:
             valid = _grid(*map(float, st["epi"]), n)[permutation(f + "|validity", n)]
             truth[f] = (u < valid).astype(float)
             rate = st["stmt_type"] == "frequency"
-            theta[f] = _grid(*map(float, st["alea"]), n)[permutation(f + "|rate", n)] if rate else np.ones(n)
+            theta[f] = _grid(*map(float, st["alea"]), n)[permutation(f + "|rate", n)] if rate else one
             cont[f] = theta[f] if rate else valid
+        both[f] = truth[f] if theta[f] is one else truth[f] * theta[f]
     groups = [g for g in ([f for f in g if f in facts] for g in exclusive) if len(g) > 1]
     ok = np.ones(n, bool)
     for g in groups:
@@ -159,19 +295,24 @@ def solve(dnf: list[list[str]], facts: dict[str, dict], exclusive: Iterable[list
     mpe = {f: int(not st.get("pinned") and mean[f] >= 0.5) for f, st in facts.items()}
     for g in groups:
         on = [f for f in g if mpe[f]]
+        best = max(on, key=mean.__getitem__, default=None)
         for f in on:
-            mpe[f] = int(f == max(on, key=mean.__getitem__))
+            mpe[f] = int(f == best)
     if not ok.any():
         return {"p": 0.0, "ci_lo": 0.0, "ci_hi": 0.0, "epistemic": 0.0, "aleatoric": 0.0, "rejected": 1.0, "tension": True, "sensitivity": {}, "mpe": {}}
-    both = {f: truth[f] * theta[f] for f in facts}
-    got, smooth = mass(dnf, both, n)[ok], mass(dnf, cont, n)[ok]
+    chance = Chance(dnf)
+    got, smooth = chance.value(both, n)[ok], chance.value(cont, n)[ok]
     lo, hi = np.quantile(smooth, [0.05, 0.95])
     p = got.mean()
     if not lo <= p <= hi:
         p = min(hi, max(lo, smooth.mean()))
-    sens = {f: float(abs(mass(dnf, both | {f: theta[f]}, n)[ok].mean() - mass(dnf, both | {f: np.zeros(n)}, n)[ok].mean())) for f in sorted({f for c in dnf for f in c} & set(facts))}
+    sens = {f: 0.0 for f in sorted({f for c in dnf for f in c} & set(facts))}
+    for at, slope in chance.slopes(both, n):
+        for f in sens:
+            sens[f] += float((theta[f][at] * slope.get(f, 0.0))[ok[at]].sum())
+    sens = {f: abs(x) / int(ok.sum()) for f, x in sens.items()}
     rated = any(st["stmt_type"] == "frequency" for st in facts.values())
-    return {"p": float(p), "ci_lo": float(lo), "ci_hi": float(hi), "epistemic": float(got.std()), "aleatoric": float(mass(dnf, theta, n)[ok].mean()) if rated else 0.0, "rejected": float(1 - ok.mean()), "tension": False, "sensitivity": sens, "mpe": mpe}
+    return {"p": float(p), "ci_lo": float(lo), "ci_hi": float(hi), "epistemic": float(got.std()), "aleatoric": float(chance.value(theta, n)[ok].mean()) if rated else 0.0, "rejected": float(1 - ok.mean()), "tension": False, "sensitivity": sens, "mpe": mpe}
 
 
 RESULT = "goal string, p double, ci_lo double, ci_hi double, epistemic double, aleatoric double, rejected double, tension boolean, sensitivity map<string,double>, mpe map<string,int>"
@@ -235,10 +376,12 @@ def predict_goals(problems: DataFrame, samples: int = SAMPLES) -> DataFrame:
     votes: array<struct<actor, vote, sig, count, log_lr, tp, fn, fp, tn>>, by class as predict_crisp() makes them."""
 
     def run(frames):
-        for pdf in (x for whole in frames for x in _parts(whole)):
+        for pdf in (x for whole in frames for x in _by_facts(whole)):
             get = lambda f, k: f[k] if isinstance(f, dict) else getattr(f, k)
             every = [f for fs in pdf.facts for f in fs]
-            _prepare({get(f, "fact") + t for f in every for t in ("|bernoulli", "|validity", "|rate")}, {(float(get(f, x)), float(get(f, y))) for f in every for x, y in (("epi_a", "epi_b"), ("alea_a", "alea_b"))}, samples)
+            said = ((f.get("votes") if isinstance(f, dict) else getattr(f, "votes", None)) for f in every)
+            actors = {get(v, "actor") for votes in said if votes is not None for v in votes}
+            _prepare({get(f, "fact") + t for f in every for t in ("|bernoulli", "|validity", "|rate")} | {a + t for a in actors for t in ("|sens", "|fpr")}, {(float(get(f, x)), float(get(f, y))) for f in every for x, y in (("epi_a", "epi_b"), ("alea_a", "alea_b"))}, samples)
             out = []
             for r in pdf.itertuples():
                 facts, conf = {}, {}

@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,5 +29,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """df over as many partitions as the session shuffles into, which small but costly rows keep (others are put together at run time)."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    """df over as many partitions as the session shuffles into, which small but costly rows keep (others are put together at run time).
+
+    Rows go by a hash of the columns: where df already lies by the columns themselves, a shuffle by them would be left out and the partitions put together after all."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *([F.xxhash64(*columns)] if columns else []))
