@@ -573,7 +573,7 @@ def _log(s, d):
     rows = rows.unionByName(last).withColumn("payload_hash", F.sha2(F.col("payload").cast("binary"), 256))
     none = F.lit(None).cast("string")
     events = ledger.chain(rows.select("order", "ts", "kind", "actor", "payload_hash", none.alias("source_ref"), none.alias("context_sig")), ["order"])
-    return checkpointed(events), rows.select("payload_hash", "payload").distinct()
+    return events, rows.select("payload_hash", "payload").distinct()
 
 
 def _half(s, d, events):
@@ -695,7 +695,7 @@ def _event_chain(s, d):
     none = F.lit(None).cast("string")
     body = F.to_json(F.struct("fact", "outcome", "value"), {"ignoreNullFields": "false"})  # canonical: keys in order, no numbers
     rows = e.select("seq", F.col("ts_ms").alias("ts"), F.lit("observation").alias("kind"), "actor", F.sha2(body.cast("binary"), 256).alias("payload_hash"), none.alias("source_ref"), none.alias("context_sig"))
-    return checkpointed(ledger.chain(rows, ["seq", "ts", "payload_hash"]))
+    return ledger.chain(rows, ["seq", "ts", "payload_hash"])
 
 
 @query("event_chain_hash")

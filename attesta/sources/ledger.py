@@ -6,14 +6,18 @@ breaking the chain. A log has one writer; readers need no lock.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Iterable
 from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.functions.canon import canon_json
+from attesta.sources.shared import checkpointed, shared_dir
 
 KINDS = {"alias", "assertion", "gate_run", "admission", "observation", "claim", "resolution", "pin", "supersede", "retraction", "redaction", "reliability", "calibration", "demotion"}
 GENESIS = "0" * 64
@@ -49,25 +53,56 @@ def chained(rows: Iterable[tuple], head: tuple[int, str] = (0, GENESIS)) -> tupl
     return events, list(payloads.items())
 
 
-def chain(rows: DataFrame, order: list[str], head: tuple[int, str] = (0, GENESIS)) -> DataFrame:
-    """EVENT of rows (ts, kind, actor, payload_hash, source_ref, context_sig) after head, in the order of the columns named. One task links them in a stream, as each hash needs the one before; payloads are hashed before, in parallel."""
+#: Events that one task links.
+SEGMENT = 1 << 21
+
+
+def _link(rows: DataFrame, order: list[str], head: tuple[int, str]) -> DataFrame:
+    """EVENT of rows after head, by one task in a stream."""
     names = [f.split()[0] for f in EVENT.split(", ")]
 
     def link(batches):
         seq, prev = head
+        quote = functools.lru_cache(1 << 14)(canon_json)
         for b in batches:
-            out = []
-            for row in zip(*(b.column(c).to_pylist() for c in names[1:7]), strict=True):
+            first, before, own = seq + 1, [], []
+            for ts, kind, actor, ref, source, sig in zip(*(b.column(c).to_pylist() for c in names[1:7]), strict=True):
                 seq += 1
-                own = event_hash(seq, *row, prev)
-                out.append((seq, *row, prev, own))
-                prev = own
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.string()) for k, c in enumerate(zip(*out, strict=True))], names)
+                plain = f'"{ref}"' if ref is not None and ref.isascii() and ref.isalnum() else canon_json(ref)
+                before.append(prev)
+                # the text of canon_json(), see event_hash()
+                prev = sha256(f'[{seq},{"null" if ts is None else ts},{quote(kind)},{quote(actor)},{plain},{quote(source)},{quote(sig)},{quote(prev) if seq == first else f'"{prev}"'}]'.encode()).hexdigest()
+                own.append(prev)
+            if own:
+                given = [b.column(c).cast(pa.int64() if c == "ts" else pa.string()) for c in names[1:7]]
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, seq + 1), pa.int64()), *given, pa.array(before, pa.string()), pa.array(own, pa.string())], names)
 
     return rows.repartition(1).sortWithinPartitions(*order).select(F.col("ts").cast("long").alias("ts"), *names[2:7]).mapInArrow(link, EVENT)
 
 
+def chain(rows: DataFrame, order: list[str], head: tuple[int, str] = (0, GENESIS)) -> DataFrame:
+    """EVENT of rows (ts, kind, actor, payload_hash, source_ref, context_sig) after head, in the order of the columns named, as a table in the shared folder.
+
+    Each hash needs the one before, so events are linked one after another; payloads are hashed before, in parallel. Rows are cut into segments of about SEGMENT by ranges of the order, each of
+    which one task sorts and links after the head of the one before: no task reads or holds more than a segment, however long the log."""
+    names = [*dict.fromkeys([*order, *(f.split()[0] for f in EVENT.split(", ")[1:7])])]
+    rows = rows.select(*names)
+    segments = -(-rows.count() // SEGMENT)
+    if segments <= 1:
+        return checkpointed(_link(rows, order, head))
+    spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/attesta/kept-{uuid.uuid4().hex}"
+    cut = rows.repartitionByRange(segments, *order).withColumn("_segment", F.spark_partition_id())
+    cut.write.partitionBy("_segment").parquet(f"{path}/rows")
+    whole = T.StructType([*rows.schema.fields, T.StructField("_segment", T.IntegerType())])
+    cut = spark.read.schema(whole).parquet(f"{path}/rows")
+    for i in range(segments):
+        _link(cut.where(F.col("_segment") == i), order, head).write.mode("append").parquet(f"{path}/events")
+        done = spark.read.schema(EVENT).parquet(f"{path}/events")
+        last = done.where(F.col("seq") > head[0]).agg(F.max(F.struct("seq", "hash")).alias("h")).first()["h"]
+        head = (last["seq"], last["hash"]) if last else head
+    return spark.read.schema(EVENT).parquet(f"{path}/events")
+
+
 class Ledger:
     """A log in a folder. Appending is one writer's job and takes one task, as each hash needs the one before; everything else is parallel."""
 
