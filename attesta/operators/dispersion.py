@@ -38,11 +38,13 @@ def mdl(groups: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("accepted", F.col("dl_guard") + F.col("dl_given") < F.col("dl_residual"))
 
 
-def pvalues(groups: DataFrame, by: list[str]) -> DataFrame:
-    """by, z, p: with the simulated null beyond the screen. Only tallies reach Python, and only of groups that can be tested."""
+def pvalues(groups: DataFrame, by: list[str], bar: float | None = None) -> DataFrame:
+    """by, z, p: with the simulated null beyond the screen. Only tallies reach Python, and only of groups that can be tested. With bar, a p above it may be any other above it."""
     z = overdispersion(groups, by).where("z IS NOT NULL").select(*by, "z")
-    arrays = groups.where("n > 0").groupBy(*by).agg(F.collect_list("n").alias("ns"), F.collect_list("k").alias("ks"))
-    return spread(z.join(arrays, by), *by).withColumn("p", tarone_p_udf()("ns", "ks")).drop("ns", "ks")
+    # in order of value: draws are made in the order of groups, so another order is another p
+    listed = groups.where("n > 0").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("val", "n", "k"))).alias("g"))
+    arrays = listed.select(*by, F.col("g.n").alias("ns"), F.col("g.k").alias("ks"))
+    return spread(z.join(arrays, by), *by).withColumn("p", tarone_p_udf()("ns", "ks", F.lit(bar).cast("double"))).drop("ns", "ks")
 
 
 def benjamini_hochberg(tests: DataFrame, family: list[str], order: list[str], alpha: float = 0.05) -> DataFrame:

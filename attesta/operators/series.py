@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.special import avalanche_udf, fisher_p_udf, tarone_p_udf
@@ -63,12 +63,20 @@ def temporal_dispersion(series: DataFrame, alpha: float = 0.05) -> DataFrame:
     scale = F.filter(F.array(*map(F.lit, SCALES)), lambda s: F.col("n") >= 3 * s)
     blocks = numbered.select("fact", "x", "i", F.size(scale).alias("m"), F.explode(scale).alias("size")).groupBy("fact", "m", "size", F.floor(F.col("i") / F.col("size")).alias("block")).agg(F.count("*").alias("n"), F.sum("x").alias("k")).where("n = size")
     tested = blocks.groupBy("fact", "m", "size").agg(F.collect_list("n").alias("ns"), F.collect_list("k").alias("ks"))
-    p = spread(tested, "fact", "size").withColumn("raw", tarone_p_udf()("ns", "ks")).where("raw IS NOT NULL AND raw < 0.5").withColumn("p", F.least(F.lit(1.0), F.col("raw") * F.col("m")))
+    p = spread(tested, "fact", "size").withColumn("raw", tarone_p_udf()("ns", "ks", F.lit(alpha) / F.col("m"))).where("raw IS NOT NULL").withColumn("p", F.least(F.lit(1.0), F.col("raw") * F.col("m")))
     best = p.where(F.col("p") <= alpha).groupBy("fact").agg(F.min(F.struct("p", "size")).alias("b"))
     return best.select("fact", F.col("b.p").alias("p"), F.col("b.size").alias("size"))
 
 
-def holdout(obs: DataFrame, by: list[str], stride: int = 4) -> DataFrame:
+STRIDE = 4
+
+
+def held(n: Column) -> Column:
+    """How many of n observations holdout() holds out."""
+    return F.floor(n / STRIDE)
+
+
+def holdout(obs: DataFrame, by: list[str], stride: int = STRIDE) -> DataFrame:
     """obs with held_out: every stride-th of the series in the order of a hash of seq."""
     mixed = obs.withColumn("_h", avalanche_udf()(F.col("seq")))
     w = Window.partitionBy(*by).orderBy("_h", "seq")

@@ -6,7 +6,7 @@ commutative counters, so each is one partial aggregation and one shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import expressions as E
@@ -67,12 +67,20 @@ def context_breakdown(obs: DataFrame) -> DataFrame:
     return groups.unionByName(rest)
 
 
+def few_keys(obs: DataFrame, most_keys: int = 4) -> DataFrame:
+    """Facts that record at most most_keys context keys."""
+    return obs.select("fact", F.explode(F.map_keys("ctx")).alias("k")).groupBy("fact").agg(F.count_distinct("k").alias("m")).where(F.col("m") <= most_keys).select("fact")
+
+
+def pairs(ctx: str) -> Column:
+    """(key, val) of all pairs of context keys."""
+    entry = F.array_sort(F.map_entries(ctx))
+    return F.flatten(F.transform(entry, lambda a: F.transform(F.filter(entry, lambda b: b["key"] > a["key"]), lambda b: F.struct(F.concat(F.lit("derived:"), a["key"], F.lit("x"), b["key"]).alias("key"), F.concat_ws("|", a["value"], b["value"]).alias("val")))))
+
+
 def interactions(obs: DataFrame, most_keys: int = 4) -> DataFrame:
     """(fact, seq, key, val) of pairs of context keys, for facts that record at most most_keys keys."""
-    keys = obs.select("fact", F.explode(F.map_keys("ctx")).alias("k")).groupBy("fact").agg(F.count_distinct("k").alias("m")).where(F.col("m") <= most_keys).select("fact")
-    entry = F.array_sort(F.map_entries("ctx"))
-    pairs = F.flatten(F.transform(entry, lambda a: F.transform(F.filter(entry, lambda b: b["key"] > a["key"]), lambda b: F.struct(F.concat(F.lit("derived:"), a["key"], F.lit("x"), b["key"]).alias("key"), F.concat_ws("|", a["value"], b["value"]).alias("val")))))
-    return obs.join(keys, "fact", "left_semi").select("fact", "seq", F.explode(pairs).alias("p")).select("fact", "seq", "p.key", "p.val")
+    return obs.join(few_keys(obs, most_keys), "fact", "left_semi").select("fact", "seq", F.explode(pairs("ctx")).alias("p")).select("fact", "seq", "p.key", "p.val")
 
 
 def open_vocabulary(counts: DataFrame, alpha: float = 1.0, weights: DataFrame | None = None, interval: bool = True) -> DataFrame:
